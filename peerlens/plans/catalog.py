@@ -1,7 +1,10 @@
 """Loads every query module; importing it fills the registry."""
 
 from . import (  # noqa: F401
+    queries_fill,
+    queries_rollup,
     queries_series,
+    queries_sheets,
 )
 from .registry import ORACLES, QUERIES
 
