@@ -1,7 +1,7 @@
 """Figures of the industry workbook under the conventions of each report slide.
 
-Input sheets are long: keys, label, col, cur, prev.  `segment` holds every line of business, `health`
-the health lines; personal accident is only in the former and is added where a slide includes it.
+Input is long: keys, sheet, label, col, cur, prev.  Sheet `segment` holds every line of business, sheet
+`health` the health lines; personal accident is only in the former and is added where a slide includes it.
 """
 
 from __future__ import annotations
@@ -12,9 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import growth
-from .rollup import mix_share
-from .series import exact_sum
+from ..functions.numbers import growth, ratio
 
 
 @dataclass(frozen=True)
@@ -46,66 +44,80 @@ def _memberships(label: Column, layout: Layout) -> Column:
     )
 
 
-def units(segment: DataFrame, health: DataFrame, keys: Sequence[str], layout: Layout) -> DataFrame:
-    """keys, unit, part, cur, prev: health parts, accident (PA), health total and all-lines total per unit."""
-    part = F.lit(None).cast("string")
-    for name, col in layout.parts.items():
-        part = F.when(F.col("col") == col, F.lit(name)).otherwise(part)
-    h = health.withColumn("part", F.when(F.col("col") == layout.total_col, "Health").otherwise(part))
-    s = segment.withColumn("part", F.when(F.col("col") == layout.accident, "PA").when(
-        F.col("col") == layout.total_col, "All lines"))
-    rows = h.unionByName(s).where(F.col("part").isNotNull())
-    rows = rows.select(*keys, "part", "cur", "prev", F.inline(_memberships(F.col("label"), layout)))
+def units(sheets: DataFrame, keys: Sequence[str], layout: Layout) -> DataFrame:
+    """One wide row per keys and unit: every column of both sheets, this year (c_*) and last (p_*)."""
+    name = F.concat("sheet", F.lit("|"), "col")
+    rows = sheets.select(*keys, name.alias("_n"), "cur", "prev", F.inline(_memberships(F.col("label"), layout)))
     signed = lambda c: F.col("sign") * F.coalesce(F.col(c).cast("decimal(24,4)"), F.lit(0))
-    return rows.groupBy(*keys, "unit", "part").agg(
-        F.sum(signed("cur")).cast("double").alias("cur"), F.sum(signed("prev")).cast("double").alias("prev"))
-
-
-def slides(segment: DataFrame, health: DataFrame, keys: Sequence[str], layout: Layout) -> DataFrame:
-    """keys, slide, company, metric1, metric2, cur, prior for slides 3 to 11 and 14."""
-    u = units(segment, health, keys, layout)
-    parts = list(layout.parts)
-    five = [*parts, "PA"]
-    two = lambda c: F.round(F.col(c), 2)
-    groups = ("Private", "Public", "SAHI")
-
-    def out(df, slide, company, metric1, metric2, cur, prior):
+    sums = rows.groupBy(*keys, "unit", "_n").agg(
+        F.sum(signed("cur")).cast("double").alias("c"), F.sum(signed("prev")).cast("double").alias("p"))
+    # a unit has as many entries as the workbook has columns
+    return sums.groupBy(*keys, "unit").agg(
+        F.map_from_entries(F.collect_list(F.struct("_n", F.struct("c", "p")))).alias("f"))
+
+
+def _exact(*values: Column) -> Column:
+    total = F.lit(0).cast("decimal(24,4)")
+    for v in values:
+        total = total + F.coalesce(v.cast("decimal(24,4)"), F.lit(0))
+    return total.cast("double")
+
+
+def slides(sheets: DataFrame, keys: Sequence[str], layout: Layout) -> DataFrame:
+    """keys, slide, company, metric1, metric2, cur, prior for slides 3 to 11 and 14.
+
+    All figures of a unit are in its one wide row, so every slide is a projection of it.
+    """
+    u = units(sheets, keys, layout)
+    name, parts = F.col("unit"), list(layout.parts)
+    fig = lambda sheet, col: F.try_element_at("f", F.lit(f"{sheet}|{col}"))
+    part = {p: fig("health", col) for p, col in layout.parts.items()} | {"PA": fig("segment", layout.accident)}
+    whole, health = fig("segment", layout.total_col), fig("health", layout.total_col)
+    incl = {s: _exact(health[s], part["PA"][s]) for s in ("c", "p")}
+    total = {s: _exact(*[v[s] for v in part.values()]) for s in ("c", "p")}
+    rise = growth(incl["c"], incl["p"])
+
+    def share(p: str, s: str) -> Column:
+        v = part[p][s]
+        return F.when((total[s] == 0) & (v == 0), F.lit(0.0)).otherwise(ratio(v, total[s]))
+
+    def row(when: Column, slide: int, company, metric1, metric2, cur: Column, prior: Column) -> Column:
         text = lambda v: v if isinstance(v, Column) else F.lit(v)
-        return df.select(
-            *keys, F.lit(slide).alias("slide"), text(company).alias("company"), text(metric1).alias("metric1"),
-            text(metric2).cast("string").alias("metric2"), cur.cast("double").alias("cur"), prior.cast("double").alias("prior"))
-
-    none = F.lit(None)
-    name, part, cur, prev = F.col("unit"), F.col("part"), F.col("cur"), F.col("prev")
-    is_peer = name.isin(*layout.peers)
-    all_lines = u.where(part == "All lines")
-    # health with accident: one row per unit
-    incl = u.where(part.isin("Health", "PA")).groupBy(*keys, "unit").agg(exact_sum(cur).alias("cur"), exact_sum(prev).alias("prev"))
-    mixes = u.where(part.isin(*five))
-    shares = mix_share(mix_share(mixes, [*keys, "unit"], "cur", "sc"), [*keys, "unit"], "prev", "sp")
-    rise = growth(cur, prev)
-    industry_row = segment.where((F.col("label") == layout.total_row) & (F.col("col") != layout.total_col))
-
-    pieces = [
-        out(all_lines.where(name.isin("Private", "Public", "Specialized Insurer")), 3, "Industry", "Market share", name, two("cur"), two("prev")),
-        out(all_lines.where(name == "SAHI subtotal"), 3, "Industry", "Market share", "SAHI", two("cur"), two("prev")),
-        out(industry_row, 3, "Industry", "Market share", F.col("col"), two("cur"), two("prev")),
-        out(incl.where(name.isin(*groups)), 4, "Health Industry", "Market share", name, two("cur"), two("prev")),
-        out(mixes.where(name == "Industry"), 4, "Health Industry", "Market share", part, two("cur"), two("prev")),
-        out(incl.where(is_peer), 5, "SAHI Market", "Market share", name, two("cur"), two("prev")),
-        out(mixes.where(name.isin(*groups)), 6, name, "Market share", part, cur, prev),
-        out(mixes.where(is_peer), 7, name, "Market share", part, cur, prev),
-        out(incl.where(name == "Industry"), 8, "Industry Total", "Growth %", "", rise, F.lit(0.0)),
-        out(all_lines.where(name == "SAHI subtotal"), 8, "SAHI subtotal", "Growth %", "", rise, F.lit(0.0)),
-        out(incl.where(is_peer | (name == "SAHI")), 9, name, "SAHI Growth", "GDPI Growth SAHI", F.round(rise, 4), none),
-        out(mixes.where(name.isin("Private", "Public", "Industry")), 10, "Segment-wise GDPI mix", name, part, cur, prev),
-        out(shares.where(name == "SAHI"), 10, "Segment-wise GDPI mix", name, part, F.col("sc"), F.col("sp")),
-        out(shares.where(is_peer | (name == "SAHI")), 11, "Segment-wise GDPI mix - SAHI", name, part, F.col("sc"), F.col("sp")),
-        out(u.where(is_peer & (part == parts[0])), 14, name, "Retail Revenue", "", cur, prev),
-        out(u.where(is_peer & (part == parts[0]) & cur.isNotNull() & prev.isNotNull()), 14, name, "Retail Accretion",
-            "Retail Revenue CY-Retail Revenue PY", F.round(cur.cast("decimal(24,4)") - prev.cast("decimal(24,4)"), 2), none),
+        return F.when(when, F.struct(
+            F.lit(slide).alias("slide"), text(company).alias("company"), text(metric1).alias("metric1"),
+            text(metric2).cast("string").alias("metric2"), cur.cast("double").alias("cur"), prior.cast("double").alias("prior")))
+
+    is_peer, peer_like = name.isin(*layout.peers), name.isin("SAHI", *layout.peers)
+    is_group, is_industry = name.isin("Private", "Public", "SAHI"), name == "Industry"
+    none, mix, r2 = F.lit(None), "Segment-wise GDPI mix", lambda v: F.round(v, 2)
+    first = part[parts[0]]
+    rows = [
+        row(name.isin("Private", "Public", "Specialized Insurer"), 3, "Industry", "Market share", name, r2(whole["c"]), r2(whole["p"])),
+        row(name == "SAHI subtotal", 3, "Industry", "Market share", "SAHI", r2(whole["c"]), r2(whole["p"])),
+        row(is_group, 4, "Health Industry", "Market share", name, r2(incl["c"]), r2(incl["p"])),
+        row(is_peer, 5, "SAHI Market", "Market share", name, r2(incl["c"]), r2(incl["p"])),
+        row(is_industry, 8, "Industry Total", "Growth %", "", rise, F.lit(0.0)),
+        row(name == "SAHI subtotal", 8, "SAHI subtotal", "Growth %", "", growth(whole["c"], whole["p"]), F.lit(0.0)),
+        row(peer_like, 9, name, "SAHI Growth", "GDPI Growth SAHI", F.round(rise, 4), none),
+        row(is_peer, 14, name, "Retail Revenue", "", first["c"], first["p"]),
+        row(is_peer, 14, name, "Retail Accretion", "Retail Revenue CY-Retail Revenue PY",
+            F.round(first["c"].cast("decimal(24,4)") - first["p"].cast("decimal(24,4)"), 2), none),
     ]
-    result = pieces[0]
-    for piece in pieces[1:]:
-        result = result.unionByName(piece)
-    return result
+    for p, v in part.items():
+        rows += [
+            row(is_industry, 4, "Health Industry", "Market share", p, r2(v["c"]), r2(v["p"])),
+            row(is_group, 6, name, "Market share", p, v["c"], v["p"]),
+            row(is_peer, 7, name, "Market share", p, v["c"], v["p"]),
+            row(name.isin("Private", "Public", "Industry"), 10, mix, name, p, v["c"], v["p"]),
+            row(name == "SAHI", 10, mix, name, p, share(p, "c"), share(p, "p")),
+            row(peer_like, 11, mix + " - SAHI", name, p, share(p, "c"), share(p, "p")),
+        ]
+    entries = F.filter(F.map_entries("f"), lambda e: e["key"].startswith("segment|") & (e["key"] != f"segment|{layout.total_col}"))
+    columns = F.when(is_industry, F.transform(entries, lambda e: F.struct(
+        F.lit(3).alias("slide"), F.lit("Industry").alias("company"), F.lit("Market share").alias("metric1"),
+        F.split_part(e["key"], F.lit("|"), F.lit(2)).alias("metric2"), r2(e["value"]["c"]).alias("cur"), r2(e["value"]["p"]).alias("prior"))))
+    printed = F.concat(F.filter(F.array(*rows), lambda x: x.isNotNull()), F.coalesce(columns, F.array().cast(_ROW)))
+    return u.select(*keys, F.inline(printed))
+
+
+_ROW = "array<struct<slide:int,company:string,metric1:string,metric2:string,cur:double,prior:double>>"

@@ -2,9 +2,11 @@
 
 from . import (  # noqa: F401
     queries_fill,
+    queries_grid,
     queries_rollup,
     queries_series,
     queries_sheets,
+    queries_text,
 )
 from .registry import ORACLES, QUERIES
 

@@ -10,7 +10,7 @@ from ..sources import block_sheet, history
 from ..sources.tables import read_table
 from .queries_series import HISTORY
 from .queries_series import history as long_history
-from .registry import paired_sql, panel_sql, query
+from .registry import paired_sql, panel_sql, query, staged
 from .render_sheets import SEGMENT_COLUMNS, block_sheets, history_books
 
 KEYS = ["sheet", "fy", "q"]
@@ -24,15 +24,14 @@ SHEETS = paired_sql("grp, entity, segment, q", "value, gross") + f"""
    GROUP BY GROUPING SETS ((sheet, fy, q, grp, entity, segment), (sheet, fy, q, grp, entity), (sheet, fy, q, grp, segment),
      (sheet, fy, q, grp), (sheet, fy, q, segment), (sheet, fy, q)))
 , sheet AS (SELECT sheet, fy, q, CASE WHEN gg = 1 THEN 'Industry Total' WHEN ge = 1 THEN grp || ' sub Total' ELSE entity END AS label,
-   CASE WHEN gs = 1 THEN 'Grand Total' ELSE CASE segment {COLS} END END AS col, cur, prev FROM sums)"""
+   CASE WHEN gs = 1 THEN 'Grand Total' ELSE CASE segment {COLS} END END AS col, cur, prev FROM sums)
+, grid AS (SELECT sheet, fy, q, label, col, cur, prev FROM (SELECT DISTINCT sheet, fy, q, label FROM sheet) l
+   CROSS JOIN (SELECT DISTINCT col FROM sheet) c LEFT JOIN sheet s USING (sheet, fy, q, label, col))"""
 
 
-@query("block_sheet", SHEETS + """
-SELECT sheet, fy, q, label, c.col, cur, prev FROM
- (SELECT DISTINCT sheet, fy, q, label FROM sheet) l
- CROSS JOIN (SELECT DISTINCT col FROM sheet) c LEFT JOIN sheet s USING (sheet, fy, q, label, col)""")
+@query("block_sheet", SHEETS + " SELECT * FROM grid")
 def read_block_sheet(spark, sf_dir):
-    return block_sheet.read_block_sheet(block_sheets(spark, sf_dir), KEYS)
+    return block_sheet.read_block_sheet(staged(block_sheets, spark, sf_dir), KEYS)
 
 
 @query("block_sheet_market_share", SHEETS + """
@@ -40,7 +39,7 @@ def read_block_sheet(spark, sf_dir):
 SELECT a.sheet, a.fy, a.q, a.col, a.cur / b.cur AS cur, a.prev / nullif(b.prev, 0) AS prev FROM t a
 JOIN t b ON a.sheet = b.sheet AND a.fy = b.fy AND a.q = b.q AND b.col = 'Grand Total'""")
 def read_market_share(spark, sf_dir):
-    return block_sheet.read_market_share(block_sheets(spark, sf_dir), KEYS)
+    return block_sheet.read_market_share(staged(block_sheets, spark, sf_dir), KEYS)
 
 
 WANTED = ["Fire", "Marine Cargo", "Health", "Crop"]
@@ -51,12 +50,9 @@ SELECT sheet, fy, q, CASE col WHEN 'Fire' THEN 'Fire' WHEN 'Health ' THEN 'Healt
 FROM sheet WHERE label = 'Industry Total' AND col IN ('Fire', 'Health ', 'Marine  Cargo')
 UNION ALL SELECT DISTINCT sheet, fy, q, 'Crop', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), true FROM sheet""")
 def sheet_column_lookup(spark, sf_dir):
-    rows = block_sheets(spark, sf_dir)
+    rows = staged(block_sheets, spark, sf_dir)
     wanted = rows.select(*KEYS).distinct().withColumn("name", F.explode(F.array(*[F.lit(n) for n in WANTED])))
-    found, missing = block_sheet.lookup_columns(block_sheet.read_block_sheet(rows, KEYS), wanted, KEYS, "Industry Total")
-    none = F.lit(None).cast("double")
-    return found.withColumn("missing", F.lit(False)).unionByName(
-        missing.withColumns({"cur": none, "prev": none, "missing": F.lit(True)}))
+    return block_sheet.lookup_columns(block_sheet.read_block_sheet(rows, KEYS), wanted, KEYS, "Industry Total")
 
 
 PEERS = ["NATION_2", "NATION_7", "NATION_12", "NATION_17", "NATION_22"]
@@ -70,7 +66,7 @@ G = "round((cur - prev) / nullif(prev, 0), 4)"
 
 @query("industry_lookups", SHEETS + f"""
 , m AS (
-  SELECT sheet, fy, q, col, u.unit, u.sign, cur, prev FROM sheet, LATERAL (SELECT unnest(CASE
+  SELECT sheet, fy, q, col, u.unit, u.sign, cur, prev FROM grid, LATERAL (SELECT unnest(CASE
      WHEN label IN {IN_PEERS} THEN [{{unit: 'SAHI', sign: 1}}, {{unit: label, sign: 1}}]
      WHEN label IN ('NATION_0', 'NATION_10') THEN [{{unit: 'Public', sign: 1}}, {{unit: 'Private', sign: -1}}]
      WHEN label = 'AFRICA sub Total' THEN [{{unit: 'Private', sign: 1}}]
@@ -89,7 +85,7 @@ G = "round((cur - prev) / nullif(prev, 0), 4)"
      CASE WHEN tp = 0 AND prev = 0 THEN 0 ELSE round(prev / nullif(tp, 0), 4) END AS sp FROM mx JOIN tot USING (fy, q, unit))
 SELECT fy, q, 3 AS slide, 'Industry' AS company, 'Market share' AS metric1, CASE unit WHEN 'SAHI subtotal' THEN 'SAHI' ELSE unit END AS metric2,
   round(cur, 2) AS cur, round(prev, 2) AS prior FROM u WHERE part = 'All lines' AND unit IN ('Private', 'Public', 'Specialized Insurer', 'SAHI subtotal')
-UNION ALL SELECT fy, q, 3, 'Industry', 'Market share', col, round(cur, 2), round(prev, 2) FROM sheet WHERE sheet = 'segment' AND label = 'Industry Total' AND col <> 'Grand Total'
+UNION ALL SELECT fy, q, 3, 'Industry', 'Market share', col, round(coalesce(cur, 0), 2), round(coalesce(prev, 0), 2) FROM grid WHERE sheet = 'segment' AND label = 'Industry Total' AND col <> 'Grand Total'
 UNION ALL SELECT fy, q, 4, 'Health Industry', 'Market share', unit, round(cur, 2), round(prev, 2) FROM incl WHERE unit IN ('Private', 'Public', 'SAHI')
 UNION ALL SELECT fy, q, 4, 'Health Industry', 'Market share', part, round(cur, 2), round(prev, 2) FROM mx WHERE unit = 'Industry'
 UNION ALL SELECT fy, q, 5, 'SAHI Market', 'Market share', unit, round(cur, 2), round(prev, 2) FROM incl WHERE unit IN {IN_PEERS}
@@ -105,9 +101,8 @@ UNION ALL SELECT fy, q, 14, unit, 'Retail Revenue', '', cur, prev FROM u WHERE p
 UNION ALL SELECT fy, q, 14, unit, 'Retail Accretion', 'Retail Revenue CY-Retail Revenue PY',
   CAST(round(CAST(cur AS DECIMAL(38,4)) - CAST(prev AS DECIMAL(38,4)), 2) AS DOUBLE), NULL FROM u WHERE part = 'Retail' AND unit IN {IN_PEERS}""")
 def industry_lookups(spark, sf_dir):
-    sheet = block_sheet.read_block_sheet(block_sheets(spark, sf_dir), KEYS)
-    pick = lambda name: sheet.where(F.col("sheet") == name).drop("sheet")
-    return industry.slides(pick("segment"), pick("health"), ["fy", "q"], LAYOUT)
+    sheet = block_sheet.read_block_sheet(staged(block_sheets, spark, sf_dir), KEYS)
+    return industry.slides(sheet, ["fy", "q"], LAYOUT)
 
 
 def entity_of(label):
@@ -121,7 +116,7 @@ SELECT e.segment, e.title, e.entity, 'FY' || lpad(CAST((y + 1) % 100 AS VARCHAR)
 FROM (SELECT DISTINCT segment, title, entity FROM t) e CROSS JOIN range(1994, 2002) r(y)
 LEFT JOIN t ON t.segment = e.segment AND t.title = e.title AND t.entity = e.entity AND t.fy = y""")
 def history_unpivot(spark, sf_dir):
-    return history.read_history(history_books(spark, sf_dir), ["segment"], entity_of)
+    return history.read_history(staged(history_books, spark, sf_dir), ["segment"], entity_of)
 
 
 def _appended(spark, sf_dir):

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import written_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def staged(build, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered input as a written table: readers pass over it several times, as they would over stored filings."""
+    return written_table(build(spark, sf_dir), build.__name__)
+
+
 # Order lines with their dimensions, as every SQL counterpart below sees them.
 FACTS = """
 facts AS (

@@ -54,15 +54,19 @@ def block_sheets(spark, sf_dir):
     title = F.array(F.struct(F.lit(-2).alias("sub"), F.concat(F.array(F.lit("Premium statistics")), blank).alias("cells")),
                     F.struct(F.lit(-1).alias("sub"), header.alias("cells")))
     k = ["sheet", "fy", "q"]
-    ent = units.where(F.col("entity").isNotNull()).select(*k, "grp", F.lit(1).alias("part"), "entity", F.inline(entity_rows))
-    grp = units.where(F.col("entity").isNull() & F.col("grp").isNotNull()).select(
-        *k, "grp", F.lit(2).alias("part"), F.lit("").alias("entity"), F.inline(group_rows))
-    sec = units.where(F.col("entity").isNull() & F.col("grp").isNotNull()).select(
-        *k, "grp", F.lit(0).alias("part"), F.lit("").alias("entity"), F.inline(F.array(section)))
-    total = units.where(F.col("grp").isNull())
-    foot = total.select(*k, F.lit("~").alias("grp"), F.lit(3).alias("part"), F.lit("").alias("entity"), F.inline(footer))
-    head = total.select(*k, F.lit(" ").alias("grp"), F.lit(0).alias("part"), F.lit("").alias("entity"), F.inline(title))
-    rows = head.unionByName(sec).unionByName(ent).unionByName(grp).unionByName(foot)
+    # each aggregate row knows which sheet rows it prints
+    printed = (
+        F.when(F.col("entity").isNotNull(), entity_rows)
+        .when(F.col("grp").isNotNull(), F.concat(F.array(section), group_rows))
+        .otherwise(F.concat(title, footer))
+    )
+    rows = units.select(*k, "grp", "entity", F.inline(printed))
+    sub = F.col("sub")
+    rows = rows.select(
+        *k, "sub", "cells",
+        F.when(F.col("grp").isNotNull(), F.col("grp")).when(sub < 0, " ").otherwise("~").alias("grp"),
+        F.when(F.col("entity").isNotNull(), 1).when(sub == 0, 0).otherwise(2).alias("part"),
+        F.coalesce("entity", F.lit("")).alias("entity"))
     # a sheet has two rows per entity and a few per group: the dimension tables bound it
     order = Window.partitionBy(*k).orderBy("grp", "part", "entity", "sub")
     return rows.select(*k, (F.row_number().over(order) - 1).alias("r"), "cells")
@@ -73,17 +77,19 @@ def history_books(spark, sf_dir, measures=("value", "gross", "claims")):
     years = list(range(1994, 2002))
     p = panel(spark, sf_dir, ["segment", "entity", "fy"], measures)
     long = p.unpivot(["segment", "entity", "fy"], list(measures), "title", "value")
-    at = [F.max(F.when(F.col("fy") == y, F.col("value"))).cast("string") for y in years]
-    ent = long.groupBy("segment", "title", "entity").agg(F.array(*at).alias("vals"))
-    tot = long.groupBy("segment", "title").agg(
+    keys = [F.col(c) for c in ("segment", "title", "entity")]
+    sums = long.groupingSets([keys, keys[:2]], *keys).agg(
         F.array(*[exact_sum(F.when(F.col("fy") == y, F.col("value"))).cast("string") for y in years]).alias("vals"))
     nulls = F.array_repeat(F.lit(None).cast("string"), len(years))
     labels = F.array(*[fy_end_label(F.lit(y)) for y in years])
     line = lambda part, label, vals: F.struct(
         F.lit(part).alias("part"), F.concat(F.array(label), vals).alias("cells"))
-    frame = tot.select("segment", "title", F.lit("").alias("entity"), F.inline(F.array(
+    frame = F.array(
         line(0, F.concat(F.initcap("title"), F.lit(": ")), nulls), line(1, F.lit("Particulars (INR)"), labels),
-        line(3, F.lit("Total"), F.col("vals")), line(4, F.lit(None).cast("string"), nulls))))
-    body = ent.select("segment", "title", "entity", F.inline(F.array(line(2, F.col("entity"), F.col("vals")))))
+        line(3, F.lit("Total"), F.col("vals")), line(4, F.lit(None).cast("string"), nulls))
+    body = F.array(line(2, F.col("entity"), F.col("vals")))
+    rows = sums.select(
+        "segment", "title", F.coalesce("entity", F.lit("")).alias("entity"),
+        F.inline(F.when(F.col("entity").isNull(), frame).otherwise(body)))
     order = Window.partitionBy("segment").orderBy("title", "part", "entity")
-    return frame.unionByName(body).select("segment", (F.row_number().over(order) - 1).alias("r"), "cells")
+    return rows.select("segment", (F.row_number().over(order) - 1).alias("r"), "cells")

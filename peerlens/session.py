@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives the loss of executors."""
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a parquet table in the shared folder, read back.
+
+    Cuts the lineage where a result is used several times, survives the loss of executors and lets
+    each reader fetch only the columns it needs.
+    """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = f"{shared_dir(spark).rstrip('/')}/peerlens/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import to_double
-from ..functions.scans import carry_forward, next_value
+from ..functions.scans import carry_forward
 from ..functions.text import fold_label
 from ..operators.fill import last_per_key
 
@@ -57,13 +57,15 @@ def read_block_sheet(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     place = F.col("r") - F.col("_base_r")
     taken = F.when(F.col("_base_kind") == "data", place % 2 == 1).otherwise(place % 2 == 0)
     taken = F.col("is_prev") & F.coalesce(taken, F.lit(False))
-    # the row below has the same column names and numbers at r + 1
-    with_next = next_value(
-        scanned.withColumn("_taken", taken), keys, "r", {"_nl": "is_prev", "_nv": "vals"})
-    heads = with_next.where((F.col("kind") == "data") & ~F.col("_taken"))
-    prev = F.when(F.coalesce("_nl", F.lit(False)), F.col("_nv"))
-    long = heads.select(
-        *keys, "r", F.trim("label").alias("label"), F.posexplode("names").alias("_i", "col"), "vals", prev.alias("_prev"),
+    # a taken row joins its head, one row up; the two meet in one grouping
+    heads = scanned.withColumn("_taken", taken).where((F.col("kind") == "data") | F.col("_taken"))
+    pairs = heads.groupBy(*keys, F.when(F.col("_taken"), F.col("r") - 1).otherwise(F.col("r")).alias("r")).agg(
+        F.max(F.when(~F.col("_taken"), F.struct(F.trim("label").alias("label"), "names", "vals"))).alias("_h"),
+        F.max(F.when(F.col("_taken"), F.col("vals"))).alias("_prev"),
+    ).where(F.col("_h").isNotNull())
+    long = pairs.select(
+        *keys, "r", F.col("_h.label").alias("label"), F.posexplode("_h.names").alias("_i", "col"),
+        F.col("_h.vals").alias("vals"), "_prev",
     ).select(*keys, "r", "label", "col", F.get("vals", F.col("_i")).alias("cur"), F.get("_prev", F.col("_i")).alias("prev"))
     return last_per_key(long, [*keys, "label", "col"], "r", ["cur", "prev"])
 
@@ -80,13 +82,13 @@ def read_market_share(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def lookup_columns(sheet: DataFrame, wanted: DataFrame, keys: Sequence[str], row: str) -> tuple[DataFrame, DataFrame]:
-    """Figures of one row for wanted columns matched on their folded names, and the names without a column.
+def lookup_columns(sheet: DataFrame, wanted: DataFrame, keys: Sequence[str], row: str) -> DataFrame:
+    """Figures of one row for wanted columns matched on their folded names.
 
-    `wanted` lists names per the same keys.
+    `wanted` lists names per the same keys; a name without a column comes back flagged as missing.
     """
-    have = sheet.where(F.col("label") == row).withColumn("_f", fold_label(F.col("col")))
+    have = sheet.where(F.col("label") == row).select(
+        *keys, fold_label(F.col("col")).alias("_f"), "cur", "prev", F.lit(True).alias("_hit"))
     asked = wanted.withColumn("_f", fold_label(F.col("name")))
-    found = asked.join(have, [*keys, "_f"]).select(*keys, "name", "cur", "prev")
-    missing = asked.join(have, [*keys, "_f"], "left_anti").select(*keys, "name")
-    return found, missing
+    return asked.join(have, [*keys, "_f"], "left").select(
+        *keys, "name", "cur", "prev", F.col("_hit").isNull().alias("missing"))
