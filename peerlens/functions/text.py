@@ -50,16 +50,21 @@ def canonical_entity(text: Column, rules: list[tuple[str, str, str]]) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Text a reader sees: scripts, styles, comments and tags removed."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    out = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>", " ")
+    out = F.regexp_replace(out, r"(?is)<style\b.*?</style\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     return F.regexp_replace(out, r"(?s)<[^>]*>", " ")
 
 
+def plain_number(token: Column) -> Column:
+    """A stated number without sign, separators, trailing points and trailing zeros after a point."""
+    bare = F.regexp_replace(F.regexp_replace(token, "[-,]", ""), r"\.+$", "")
+    return F.when(bare.rlike(r"^\d+\.\d+$"), F.regexp_replace(F.regexp_replace(bare, "0+$", ""), r"\.$", "")).otherwise(bare)
+
+
 def stated_numbers(text: Column) -> Column:
-    """Distinct numbers stated in a text, thousands separators dropped, as written otherwise."""
-    plain = F.regexp_replace(text, r"(\d),(?=\d)", "$1")
-    found = F.regexp_extract_all(plain, F.lit(r"(-?\d[\d.]*)"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, r"\.+$", "")))
+    """Distinct numbers stated in a text, in plain form."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(-?\d[\d.,]*)"), F.lit(1)), plain_number))
 
 
 def traceable_tokens(tokens: Column) -> Column:

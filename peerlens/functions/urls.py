@@ -21,7 +21,7 @@ def is_signed(url: Column) -> Column:
 
 
 def _tokens(month: Column, year: Column, quarter: Column) -> list[tuple[Column, str]]:
-    """Literal and placeholder, longer spellings before the shorter ones inside them."""
+    """Literal and placeholder, in the order they are replaced: spans before years, months before their short forms."""
     short = F.concat(two_digits(year), F.lit("-"), two_digits(year + 1))
     return [
         (short, "{fy_short}"),

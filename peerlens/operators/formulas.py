@@ -123,6 +123,10 @@ COMPANY_METRICS = [
     Metric(23, "Claims Settlement Ratio", None, settlement_ratio, True),
     Metric(23, "No. of claims to No. of policies", None,
            lambda v: F.round(F.try_divide(v("claims_count"), F.coalesce(F.nullif(v("policies_printed"), F.lit(0.0)), v("policies"))), 6), True),
+    Metric(27, "Claim Settlement Ratio (Amount)", None,
+           lambda v: ratio(v("amount_settled"), v("amount_start") + v("amount_reported") - F.coalesce(v("amount_end"), F.lit(0.0))), True),
+    Metric(27, "Claim Complaints per 10,000 claims", None, lambda v: v("claim_complaints"), True),
+    Metric(27, "Policy Complaints per 10,000 policies", None, lambda v: v("policy_complaints"), True),
     Metric(23, "Average Claim Size", None,
            lambda v: F.round(F.try_divide(v("claims_paid_lakh") * 1e5, v("claims_paid_count")), 2), True),
 ]

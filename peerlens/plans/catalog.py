@@ -3,6 +3,8 @@
 from . import (  # noqa: F401
     queries_fill,
     queries_grid,
+    queries_quality,
+    queries_report,
     queries_rollup,
     queries_series,
     queries_sheets,

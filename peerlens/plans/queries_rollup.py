@@ -233,7 +233,8 @@ INPUTS = {
     "claims_paid_count": "claims_reported", "claims_os_start": "quantity", "it_capex": "manpower", "rent": "opex",
     "employees": "quantity", "opening_offices": "claims_settled", "closing_offices": "claims_reported",
     "investment_income_1": "commission", "investment_income_2": "accepted", "cumulative_capital": "gross",
-    "channel_premium": "gross", "channel_policies": "policies",
+    "channel_premium": "gross", "channel_policies": "policies", "amount_settled": "claims", "amount_start": "gross",
+    "amount_reported": "value", "claim_complaints": "claims_settled", "policy_complaints": "claims_reported",
 }
 MEASURES = ["gross", "accepted", "value", "earned", "claims", "commission", "opex", "manpower", "ceded", "claims_reported",
             "claims_settled", "quantity", "policies"]

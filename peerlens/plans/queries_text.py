@@ -159,7 +159,7 @@ def fold_text(spark, sf_dir):
 
 @query("unit_conversion", """
 SELECT o_orderkey AS okey, ['money', 'percent', 'ratio', 'count'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS kind,
- CASE o_orderkey % 4 WHEN 0 THEN round(o_totalprice / 100, 2) WHEN 1 THEN round(o_totalprice / 100, 4) WHEN 2 THEN round(o_totalprice, 4) ELSE round(o_totalprice) END AS value,
+ CASE o_orderkey % 4 WHEN 0 THEN CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(4,2)), 2) AS DOUBLE) WHEN 1 THEN round(o_totalprice / 100, 4) WHEN 2 THEN round(o_totalprice, 4) ELSE round(o_totalprice) END AS value,
  CASE WHEN o_totalprice / 1000 > 20 THEN o_totalprice / 1000 / 100 ELSE o_totalprice / 1000 END AS multiple FROM orders""")
 def unit_conversion(spark, sf_dir):
     kind = F.element_at(F.array(*[F.lit(k) for k in ("money", "percent", "ratio", "count")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
