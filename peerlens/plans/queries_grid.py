@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.numbers import printed_number
 from ..operators import grid, items
+from ..session import shared_dir
+from ..sources import filings
 from . import render_filings as render
 from .registry import query, staged
 
@@ -248,3 +252,27 @@ def form_pages(spark, sf_dir):
     return grid.first_pages(pages, ["doc", "fy", "form"])
 
 
+
+
+@query("filing_json", FILINGS + " UNION ALL ".join(
+    f" SELECT doc, fy, '{n}' AS item, {fig(m, True)} AS cur, {fig(m, False)} AS prior FROM filed GROUP BY doc, fy" for n, m in ITEMS_SQL))
+def filing_json(spark, sf_dir):
+    # the same statements stored as nested documents, read back and flattened
+    rows = render.statement_grid(spark, sf_dir).withColumn("company", F.concat_ws("/", "doc", "fy"))
+    path = f"{shared_dir(spark).rstrip('/')}/peerlens/filings-{uuid.uuid4().hex}"
+    filings.nest(rows, "company").write.json(path)
+    stored = filings.table_rows(filings.read_filings(spark, path), "company")
+    part = lambda n: F.split_part("company", F.lit("/"), F.lit(n))
+    stored = grid.pages_with_form(stored, "NL-1").select(
+        part(1).cast("bigint").alias("doc"), part(2).cast("int").alias("fy"), F.lit(3).alias("quarter"), "page", "tbl", "r", "cells")
+    return items.income_statement(stored, ["doc", "fy"])
+
+
+@query("gross_or_components", FILINGS + f"""
+, s AS (SELECT doc, fy, {fig('accepted', True)} AS g, {fig('accepted', False)} AS gp, {fig('commission', True)} AS c, {fig('commission', False)} AS cp,
+   {fig('opex', True)} AS o, {fig('opex', False)} AS op FROM filed GROUP BY doc, fy)
+SELECT doc, fy, CASE WHEN g = 0 AND gp = 0 THEN CAST(CAST(c AS DECIMAL(24,4)) + CAST(o AS DECIMAL(24,4)) AS DOUBLE) ELSE g END AS cur,
+  CASE WHEN g = 0 AND gp = 0 THEN CAST(CAST(cp AS DECIMAL(24,4)) + CAST(op AS DECIMAL(24,4)) AS DOUBLE) ELSE gp END AS prior FROM s""")
+def gross_or_components(spark, sf_dir):
+    found = items.income_statement(staged(render.statement_grid, spark, sf_dir), ["doc", "fy"])
+    return items.gross_or_components(found, ["doc", "fy"], "Accepted", ["Commission", "Operating Expenses"])

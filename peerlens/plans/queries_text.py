@@ -166,3 +166,20 @@ def unit_conversion(spark, sf_dir):
     return read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("okey"), kind.alias("kind"), num.convert_units(F.col("o_totalprice"), kind).alias("value"),
         num.as_multiple(F.col("o_totalprice") / 1000).alias("multiple"))
+
+
+# conversations stand in for documents of several pages: a turn is a page
+@query("first_matching_page", """
+SELECT conv_id, min(turn) AS turn FROM conversations WHERE regexp_matches(text, '(?i)\\b(the|and)\\b') GROUP BY conv_id""")
+def first_matching_page(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "conversations")
+    return lines.pages_matching(pages, ["conv_id"], r"(?i)\b(the|and)\b", "turn").select("conv_id", "turn")
+
+
+@query("continuation_pages", """
+WITH last AS (SELECT conv_id, max(turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT c.conv_id, c.turn FROM conversations c JOIN last l USING (conv_id)
+WHERE c.role = 'user' OR (c.turn = l.t + 1 AND regexp_matches(c.text, '^[A-M]'))""")
+def continuation_pages(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "conversations")
+    return lines.with_continuation(pages, ["conv_id"], F.col("role") == "user", "^[A-M]", "turn").select("conv_id", "turn")

@@ -14,7 +14,7 @@ _MAP = T.MapType(T.StringType(), SOURCE_ENTRY)
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object name -> settings as rows: name, slug, file_name, url, file_type, url_template."""
-    return explode_sources(spark.read.option("wholetext", True).text(path), "value")
+    return explode_sources(spark.read.text(path, wholetext=True), "value")
 
 
 def explode_sources(df: DataFrame, column: str) -> DataFrame:
