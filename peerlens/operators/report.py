@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import display_growth
 from ..functions.periods import fy_end_label, trend_label
-from .series import cap_for, exact_sum, trend_with_point
+from .series import cap_for, exact_sum
 
 SEGMENT_LABEL_FROM = 0.04  # smaller segments carry no label
 SLICE_LABEL_FROM = 0.03
@@ -56,26 +56,34 @@ def panels(long: DataFrame, by: Sequence[str], entity: str, scales: dict[str, fl
     return rows.join(ends, keys).withColumn("leads", F.coalesce(F.col("cur") == best, F.lit(False))).drop("_hi", "_lo")
 
 
-def trends(ytd: DataFrame, entity: str, titles: Sequence[str], annualized: Sequence[str] = ()) -> DataFrame:
-    """report_fy, report_q, title, entity, label, value for every reporting period.
+def trends(
+    ytd: DataFrame, entity: str, titles: Sequence[str], periods: Sequence[tuple[int, int]], annualized: Sequence[str] = ()
+) -> DataFrame:
+    """report_fy, report_q, title, entity, label, value for each reporting period (fy, quarter) asked for.
 
-    The completed years of each period and, in its first three quarters, its own point; flow metrics
-    named in `annualized` are scaled to a full year there.  ytd: entity, fy, q and one column per title.
+    A report shows the years completed by then and, in its first three quarters, its own point; flow
+    metrics named in `annualized` are scaled to a full year there.  ytd: entity, fy, q and one column
+    per title.  Each row knows the reports it belongs to, so there is no join and one pass.
     """
     months = F.col("q") * 3
     scaled = {t: F.col(t) * (12 / months) for t in annualized}
     long = ytd.withColumns(scaled) if scaled else ytd
-    long = long.unpivot([entity, "fy", "q"], list(titles), "title", "value")
-    years = long.where(F.col("q") == 4).select("title", entity, F.col("fy").alias("_y"), "value")
-    # a completed year is seen by every later period of the table: periods are few
-    periods = ytd.select(F.col("fy").alias("report_fy"), F.col("q").alias("report_q")).distinct()
-    past = periods.join(years, F.col("_y") + 1 <= cap_for(F.col("report_fy"), F.col("report_q"))).select(
-        "report_fy", "report_q", "title", entity, fy_end_label(F.col("_y")).alias("label"), "value")
-    point = long.select(
-        F.col("fy").alias("report_fy"), F.col("q").alias("report_q"), "title", entity,
-        trend_label(F.col("fy"), F.col("q")).alias("label"), "value")
-    keys = ["report_fy", "report_q", "title", entity]
-    return trend_with_point(past, point, keys, "label").where(F.col("value").isNotNull())
+    return in_reports(long, periods).unpivot(["report_fy", "report_q", entity, "label"], list(titles), "title", "value").where(
+        F.col("value").isNotNull())
+
+
+def in_reports(df: DataFrame, periods: Sequence[tuple[int, int]], fy: str = "fy", q: str = "q") -> DataFrame:
+    """One copy of a year-to-date row per report that shows it, with report_fy, report_q and its label."""
+    reports = F.array(*[F.struct(F.lit(y).alias("report_fy"), F.lit(n).alias("report_q")) for y, n in periods])
+    year, quarter = F.col(fy), F.col(q)
+
+    def shows(r: Column) -> Column:
+        completed = (quarter == 4) & (year + 1 <= cap_for(r["report_fy"], r["report_q"]))
+        own = (quarter < 4) & (r["report_fy"] == year) & (r["report_q"] == quarter)
+        return completed | own
+
+    label = F.when(quarter == 4, fy_end_label(year)).otherwise(trend_label(year, quarter))
+    return df.withColumn("label", label).select("*", F.inline(F.filter(reports, shows)))
 
 
 def statement(wide: DataFrame, keys: Sequence[str], lines: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -17,6 +17,8 @@ from ..functions.periods import fiscal_quarter, fiscal_year
 from ..sources.tables import read_table
 
 UNIT = 10_000
+# reporting periods the order dates reach: January 1995 (last quarter of 1994) to August 2001
+REPORT_PERIODS = [(1994, 4), *[(y, n) for y in range(1995, 2001) for n in (1, 2, 3, 4)], (2001, 1), (2001, 2)]
 
 
 def _cents() -> Column:

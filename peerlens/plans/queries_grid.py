@@ -102,8 +102,8 @@ def share_premium(spark, sf_dir):
 
 
 def capital_sql(now):
-    return (f"CAST(round((CAST(nullif({fig('gross', now)}, 0) AS DECIMAL(24,4)) + CAST({fig('accepted', now)} AS DECIMAL(24,4))"
-            f" + CAST({premium_sql(now)} AS DECIMAL(24,4))) / 100, 2) AS DOUBLE)")
+    return (f"CAST(round(CAST(CAST(nullif({fig('gross', now)}, 0) AS DECIMAL(24,4)) + CAST({fig('accepted', now)} AS DECIMAL(24,4))"
+            f" + CAST({premium_sql(now)} AS DECIMAL(24,4)) AS DECIMAL(24,4)) * CAST(0.01 AS DECIMAL(4,2)), 2) AS DOUBLE)")
 
 
 @query("cumulative_capital", FILINGS + f" SELECT doc, fy, {capital_sql(True)} AS cur, {capital_sql(False)} AS prior FROM filed GROUP BY doc, fy")
@@ -170,7 +170,8 @@ CODE_SQL = ("CASE partkey % 10 " + " ".join(f"WHEN {i} THEN '{dict(CODE_ROWS)[c]
 
 @query("investment_portfolio", FILINGS + f"""
 , p AS (SELECT doc, fy, partkey % 10 AS code, {CODE_SQL} AS bucket, round(SUM(gross) FILTER (now), 2) AS c, round(SUM(gross) FILTER (NOT now), 2) AS p FROM filed GROUP BY ALL)
-SELECT doc, fy, bucket, CAST(round(SUM(nullif(c, 0)) / 100, 2) AS DOUBLE) AS cur, CAST(round(SUM(nullif(p, 0)) / 100, 2) AS DOUBLE) AS prior FROM p
+SELECT doc, fy, bucket, CAST(round(CAST(SUM(nullif(c, 0)) AS DECIMAL(24,4)) * CAST(0.01 AS DECIMAL(4,2)), 2) AS DOUBLE) AS cur,
+  CAST(round(CAST(SUM(nullif(p, 0)) AS DECIMAL(24,4)) * CAST(0.01 AS DECIMAL(4,2)), 2) AS DOUBLE) AS prior FROM p
 WHERE bucket IS NOT NULL GROUP BY ALL""")
 def investment_portfolio(spark, sf_dir):
     codes = items.investment_codes(staged(render.investment_grid, spark, sf_dir), KEYS)

@@ -9,7 +9,7 @@ from ..functions.numbers import as_multiple, growth, ratio
 from ..functions.periods import fiscal_quarter, fiscal_year
 from ..operators import formulas, report, rollup, series
 from ..sources.tables import read_table
-from .panel import UNIT, entities, line_measures, pair_periods, paired_panel, panel
+from .panel import REPORT_PERIODS, UNIT, entities, line_measures, pair_periods, paired_panel, panel
 from .queries_rollup import ALL_MEASURES, EXPENSE, GWP, LOB, LOSS, MANPOWER, OFFICES, STATE_SQL, STATES, long_sql, wide_metrics, zone_dimension
 from .registry import FACTS, paired_sql, panel_sql, query
 
@@ -382,7 +382,7 @@ def trend_table(number):
         p = panel(spark, sf_dir, ["entity", "fy", "q"], TREND_MEASURES)
         ytd = series.year_to_date(p, ["entity"], TREND_MEASURES)
         ytd = ytd.select("entity", "fy", "q", *[c().alias(t) for t, (c, _) in titles.items()])
-        return report.trends(ytd, "entity", list(titles), annual)
+        return report.trends(ytd, "entity", list(titles), REPORT_PERIODS, annual)
 
     return run
 

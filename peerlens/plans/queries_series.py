@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import adaptive_text, display_growth, growth, growth_label, indian_grouping
 from ..functions.periods import (
-    closing_date, fiscal_quarter, fiscal_year, fy_end_label, fy_label, fy_label_long, fy_options, months_elapsed, period_column, period_ending_text,
+    closing_date, fiscal_quarter, fiscal_year, fy_label, fy_label_long, fy_options, months_elapsed, period_column, period_ending_text,
     period_label, trend_label,
 )
 from ..operators import series
+from ..operators.report import in_reports
 from ..sources.tables import read_table
-from .panel import UNIT, order_rows, paired_panel, panel, with_entity
+from .panel import REPORT_PERIODS, UNIT, order_rows, paired_panel, panel, with_entity
 from .registry import FACTS, paired_sql, panel_sql, query
 
 GROWTH = "round((value - value_prior) / nullif(value_prior, 0), 4)"
@@ -152,17 +153,9 @@ FROM periods p JOIN full_years y ON y.fy + 1 <= CASE WHEN p.q = 4 THEN p.fy + 1
 UNION ALL
 SELECT fy, q, entity, 'Q' || q || ' FY' || lpad(CAST((fy + 1) % 100 AS VARCHAR), 2, '0'), value FROM ytd WHERE q < 4""")
 def trend_with_point(spark, sf_dir):
-    ytd = ytd_panel(spark, sf_dir)
-    years = ytd.where(F.col("q") == 4).select("entity", F.col("fy").alias("y"), "value")
-    # every report period sees the years completed by then: periods are few, years per period fewer
-    periods = ytd.select(F.col("fy").alias("report_fy"), F.col("q").alias("report_q")).distinct()
-    past = periods.join(
-        years, F.col("y") + 1 <= series.cap_for(F.col("report_fy"), F.col("report_q"))
-    ).select("report_fy", "report_q", "entity", fy_end_label(F.col("y")).alias("label"), "value")
-    point = ytd.select(
-        F.col("fy").alias("report_fy"), F.col("q").alias("report_q"), "entity",
-        trend_label(F.col("fy"), F.col("q")).alias("label"), "value",
-    )
+    rows = in_reports(ytd_panel(spark, sf_dir), REPORT_PERIODS)
+    cols = ["report_fy", "report_q", "entity", "label", "value"]
+    past, point = rows.where(F.col("q") == 4).select(*cols), rows.where(F.col("q") < 4).select(*cols)
     return series.trend_with_point(past, point, ["report_fy", "report_q", "entity"], "label")
 
 
@@ -171,14 +164,11 @@ SELECT p.fy AS report_fy, p.q AS report_q, title, entity, max(fy_end) AS last_ye
 FROM history JOIN (SELECT DISTINCT fy, q FROM facts) p ON fy_end <= CASE WHEN p.q = 4 THEN p.fy + 1 ELSE p.fy END
 GROUP BY ALL""")
 def year_cap(spark, sf_dir):
-    periods = panel(spark, sf_dir, ["fy", "q"], ["policies"]).select(
-        F.col("fy").alias("report_fy"), F.col("q").alias("report_q"))
-    cap = series.cap_for(F.col("report_fy"), F.col("report_q"))
-    return (
-        history(spark, sf_dir).join(periods, F.col("fy_end") <= cap)
-        .groupBy("report_fy", "report_q", "title", "entity")
-        .agg(F.max("fy_end").alias("last_year"), F.count("*").alias("years"))
-    )
+    reports = F.array(*[F.struct(F.lit(y).alias("report_fy"), F.lit(n).alias("report_q")) for y, n in REPORT_PERIODS])
+    rows = history(spark, sf_dir).select("*", F.inline(reports))
+    capped = series.cap_years(rows, series.cap_for(F.col("report_fy"), F.col("report_q")))
+    return capped.groupBy("report_fy", "report_q", "title", "entity").agg(
+        F.max("fy_end").alias("last_year"), F.count("*").alias("years"))
 
 
 LEAD = paired_sql("entity, nationkey, q", "value, commission") + """
