@@ -116,8 +116,8 @@ FROM e JOIN h x ON x.fy_end = a JOIN h y ON y.fy_end = b AND x.entity = y.entity
 def rpt_09(spark, sf_dir):
     # complete years only: the data's first year is one quarter, its last one is under way
     years = panel(spark, sf_dir, ["entity", "fy"]).where(F.col("fy").between(1995, 2000))
-    history = rollup.with_all_row(years, ["fy"], "entity", ["value"]).select(
-        F.lit("GDPI").alias("title"), "entity", (F.col("fy") + 1).alias("fy_end"), "value")
+    history = rollup.with_all_row(years, ["fy"], "entity", ["value"]).unpivot(["entity", "fy"], ["value"], "title", "value").select(
+        "title", "entity", (F.col("fy") + 1).alias("fy_end"), "value")
     return series.cagr(history, "title", "entity", "fy_end", "value").drop("title")
 
 
