@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ from .series import opening_closing_average
 Getter = Callable[[str], Column]
 
 
+def _money(c: Column) -> Column:
+    """Sums that are rounded afterwards are added as decimals: a half must be a half."""
+    return c.cast("decimal(24,4)")
+
+
 def gross_written(v: Getter) -> Column:
     return base_plus(v("direct_premium"), v("accepted_premium"))
 
@@ -49,12 +55,13 @@ def management_ratio(v: Getter) -> Column:
 
 def manpower(v: Getter) -> Column:
     """Staff cost without half of the in-house claims handling."""
-    part = F.nullif(v("in_house_claims"), F.lit(0.0))
-    return F.coalesce(F.round(v("manpower") - F.lit(0.5) * part, 2), v("manpower"))
+    part = _money(F.nullif(v("in_house_claims"), F.lit(0.0)))
+    return F.coalesce(F.round(_money(v("manpower")) - F.lit(Decimal("0.5")) * part, 2).cast("double"), v("manpower"))
 
 
 def net_worth(v: Getter) -> Column:
-    return F.round(v("capital") + v("reserves") - F.coalesce(v("debit_balance"), F.lit(0.0)), 2)
+    total = _money(v("capital")) + _money(v("reserves")) - F.coalesce(_money(v("debit_balance")), F.lit(0))
+    return F.round(total, 2).cast("double")
 
 
 def cost_per_employee(v: Getter) -> Column:

@@ -268,7 +268,8 @@ def long_sql(keys: str, metrics: list[tuple[int, str, str | None, str, bool]]) -
 
 
 GWP = "({gross} + {accepted})"
-MANPOWER = "(CASE WHEN {accepted} <> 0 THEN round({manpower} - 0.5 * {accepted}, 2) ELSE {manpower} END)"
+MANPOWER = ("(CASE WHEN {accepted} <> 0 THEN CAST(round(CAST({manpower} AS DECIMAL(24,4)) - CAST(0.5 AS DECIMAL(2,1)) * CAST({accepted} AS DECIMAL(24,4)), 2)"
+            " AS DOUBLE) ELSE {manpower} END)")
 EXPENSE = "round(({commission} + {opex}) / nullif({value}, 0), 4)"
 LOSS = "round({claims} / nullif({earned}, 0), 4)"
 RATIOS = [
@@ -320,7 +321,7 @@ def settlement_ratio(spark, sf_dir):
     return formulas.evaluate(wide, ["entity", "segment", "fy", "q"], formulas.COMPANY_METRICS, {"Claims Settlement Ratio"})
 
 
-NW = "round({gross} + {value} - {claims}, 2)"
+NW = ("CAST(round(CAST({gross} AS DECIMAL(24,4)) + CAST({value} AS DECIMAL(24,4)) - CAST({claims} AS DECIMAL(24,4)), 2) AS DOUBLE)")
 NW_CUR, NW_PRIOR = NW.format(gross="gross", value="value", claims="claims"), NW.format(
     gross="gross_prior", value="value_prior", claims="claims_prior")
 

@@ -84,11 +84,11 @@ G = "round((cur - prev) / nullif(prev, 0), 4)"
 , sh AS (SELECT mx.*, CASE WHEN tc = 0 AND cur = 0 THEN 0 ELSE round(cur / nullif(tc, 0), 4) END AS sc,
      CASE WHEN tp = 0 AND prev = 0 THEN 0 ELSE round(prev / nullif(tp, 0), 4) END AS sp FROM mx JOIN tot USING (fy, q, unit))
 SELECT fy, q, 3 AS slide, 'Industry' AS company, 'Market share' AS metric1, CASE unit WHEN 'SAHI subtotal' THEN 'SAHI' ELSE unit END AS metric2,
-  round(cur, 2) AS cur, round(prev, 2) AS prior FROM u WHERE part = 'All lines' AND unit IN ('Private', 'Public', 'Specialized Insurer', 'SAHI subtotal')
-UNION ALL SELECT fy, q, 3, 'Industry', 'Market share', col, round(coalesce(cur, 0), 2), round(coalesce(prev, 0), 2) FROM grid WHERE sheet = 'segment' AND label = 'Industry Total' AND col <> 'Grand Total'
-UNION ALL SELECT fy, q, 4, 'Health Industry', 'Market share', unit, round(cur, 2), round(prev, 2) FROM incl WHERE unit IN ('Private', 'Public', 'SAHI')
-UNION ALL SELECT fy, q, 4, 'Health Industry', 'Market share', part, round(cur, 2), round(prev, 2) FROM mx WHERE unit = 'Industry'
-UNION ALL SELECT fy, q, 5, 'SAHI Market', 'Market share', unit, round(cur, 2), round(prev, 2) FROM incl WHERE unit IN {IN_PEERS}
+  CAST(round(CAST(cur AS DECIMAL(24,4)), 2) AS DOUBLE) AS cur, CAST(round(CAST(prev AS DECIMAL(24,4)), 2) AS DOUBLE) AS prior FROM u WHERE part = 'All lines' AND unit IN ('Private', 'Public', 'Specialized Insurer', 'SAHI subtotal')
+UNION ALL SELECT fy, q, 3, 'Industry', 'Market share', col, CAST(round(CAST(coalesce(cur, 0) AS DECIMAL(24,4)), 2) AS DOUBLE), CAST(round(CAST(coalesce(prev, 0) AS DECIMAL(24,4)), 2) AS DOUBLE) FROM grid WHERE sheet = 'segment' AND label = 'Industry Total' AND col <> 'Grand Total'
+UNION ALL SELECT fy, q, 4, 'Health Industry', 'Market share', unit, CAST(round(CAST(cur AS DECIMAL(24,4)), 2) AS DOUBLE), CAST(round(CAST(prev AS DECIMAL(24,4)), 2) AS DOUBLE) FROM incl WHERE unit IN ('Private', 'Public', 'SAHI')
+UNION ALL SELECT fy, q, 4, 'Health Industry', 'Market share', part, CAST(round(CAST(cur AS DECIMAL(24,4)), 2) AS DOUBLE), CAST(round(CAST(prev AS DECIMAL(24,4)), 2) AS DOUBLE) FROM mx WHERE unit = 'Industry'
+UNION ALL SELECT fy, q, 5, 'SAHI Market', 'Market share', unit, CAST(round(CAST(cur AS DECIMAL(24,4)), 2) AS DOUBLE), CAST(round(CAST(prev AS DECIMAL(24,4)), 2) AS DOUBLE) FROM incl WHERE unit IN {IN_PEERS}
 UNION ALL SELECT fy, q, 6, unit, 'Market share', part, cur, prev FROM mx WHERE unit IN ('Private', 'Public', 'SAHI')
 UNION ALL SELECT fy, q, 7, unit, 'Market share', part, cur, prev FROM mx WHERE unit IN {IN_PEERS}
 UNION ALL SELECT fy, q, 8, 'Industry Total', 'Growth %', '', {G}, 0 FROM incl WHERE unit = 'Industry'
