@@ -301,7 +301,7 @@ def ratio_table(spark, sf_dir):
 OFFICES = "coalesce((nullif({claims_settled}, 0) + nullif({claims_reported}, 0)) / 2, nullif({claims_settled}, 0), nullif({claims_reported}, 0))"
 PER_UNIT = [
     (25, "Manpower cost per employee", None, f"round({MANPOWER} * 100 / nullif({{quantity}}, 0), 4)", True),
-    (25, "Facility rental per office per month", None, f"round({{opex}} * 100 / (q * 3) / {OFFICES}, 4)", True),
+    (25, "Facility rental per office per month", None, f"round({{opex}} * 100 / (q * 3 * {OFFICES}), 4)", True),
     (15, "Individual ATS", None, "round(nullif({gross}, 0) * 1e7::DOUBLE / nullif({policies}, 0), 2)", False),
     (23, "No. of claims to No. of policies", None, "round({claims_reported} / nullif({policies}, 0), 6)", True),
     (23, "Average Claim Size", None, "round({claims} * 1e5::DOUBLE / nullif({claims_reported}, 0), 2)", True),
