@@ -72,7 +72,7 @@ def cost_per_employee(v: Getter) -> Column:
 
 def rental_per_office(v: Getter, months: Column) -> Column:
     offices = F.coalesce(opening_closing_average(v("opening_offices"), v("closing_offices")), v("offices"))
-    return F.round(F.try_divide(v("rent") * 100, months * offices), 4)
+    return F.round(F.try_divide(_money(v("rent")) * 100, (months * offices).cast("decimal(20,2)")), 4).cast("double")
 
 
 def return_on_equity(c: Getter, p: Getter) -> Column:

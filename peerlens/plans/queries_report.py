@@ -10,7 +10,7 @@ from ..functions.periods import fiscal_quarter, fiscal_year
 from ..operators import formulas, report, rollup, series
 from ..sources.tables import read_table
 from .panel import REPORT_PERIODS, UNIT, entities, line_measures, pair_periods, paired_panel, panel
-from .queries_rollup import ALL_MEASURES, EXPENSE, GWP, LOB, LOSS, MANPOWER, NW, OFFICES, STATE_SQL, STATES, long_sql, wide_metrics, zone_dimension
+from .queries_rollup import ALL_MEASURES, EXPENSE, GWP, LOB, LOSS, MANPOWER, NW, RENTAL, STATE_SQL, STATES, long_sql, wide_metrics, zone_dimension
 from .registry import FACTS, paired_sql, panel_sql, query
 
 D = "CAST(SUM(CAST({0} AS DECIMAL(38,4))) AS DOUBLE)"
@@ -301,7 +301,7 @@ PANELS = {
           (24, "IT spend to GWP ratio", None, f"round({{manpower}} / nullif({GWP}, 0), 4)", True)], {}, ["Opex. To GWP ratio", "Manpower to GWP ratio"]),
     25: ([(25, "Manpower cost to total Opex", None, f"round({MANPOWER} / nullif({{opex}}, 0), 4)", False),
           (25, "Manpower cost per employee", None, f"round({MANPOWER} * 100 / nullif({{quantity}}, 0), 4)", True),
-          (25, "Facility rental per office per month", None, f"round({{opex}} * 100 / (q * 3 * {OFFICES}), 4)", True)], {}, []),
+          (25, "Facility rental per office per month", None, RENTAL, True)], {}, []),
     26: ([(26, "Capital", None, "{gross}", False), (26, "Net Worth", None, f"round({NW} * 100, 2)", False), (26, "PBT", None, "{commission}", False)], {"Net Worth": 0.01}, []),
     27: ([(27, "Claim Settlement Ratio (Amount)", None, "round({claims} / nullif({gross} + {value}, 0), 4)", True),
           (27, "Claim Complaints per 10,000 claims", None, "{claims_settled}", True), (27, "Policy Complaints per 10,000 policies", None, "{claims_reported}", True)],

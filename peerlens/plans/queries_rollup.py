@@ -298,10 +298,13 @@ def ratio_table(spark, sf_dir):
     return formulas.evaluate(wide_metrics(spark, sf_dir, ["entity"]), ["entity", "fy", "q"], formulas.COMPANY_METRICS, names)
 
 
-OFFICES = "coalesce((nullif({claims_settled}, 0) + nullif({claims_reported}, 0)) / 2, nullif({claims_settled}, 0), nullif({claims_reported}, 0))"
+# whole-number rounding: twice the office count is whole, so is the rent in units of 1e-4
+OFFICES_TWICE = ("CAST(CASE WHEN {claims_settled} <> 0 AND {claims_reported} <> 0 THEN {claims_settled} + {claims_reported} "
+                 "WHEN {claims_settled} <> 0 THEN 2 * {claims_settled} WHEN {claims_reported} <> 0 THEN 2 * {claims_reported} END * q * 3 AS HUGEINT)")
+RENTAL = f"CAST((400 * CAST(round({{opex}} * 10000) AS HUGEINT) + {OFFICES_TWICE}) // (2 * {OFFICES_TWICE}) AS DOUBLE) / 10000"
 PER_UNIT = [
     (25, "Manpower cost per employee", None, f"round({MANPOWER} * 100 / nullif({{quantity}}, 0), 4)", True),
-    (25, "Facility rental per office per month", None, f"round({{opex}} * 100 / (q * 3 * {OFFICES}), 4)", True),
+    (25, "Facility rental per office per month", None, RENTAL, True),
     (15, "Individual ATS", None, "round(nullif({gross}, 0) * 1e7::DOUBLE / nullif({policies}, 0), 2)", False),
     (23, "No. of claims to No. of policies", None, "round({claims_reported} / nullif({policies}, 0), 6)", True),
     (23, "Average Claim Size", None, "round({claims} * 1e5::DOUBLE / nullif({claims_reported}, 0), 2)", True),
