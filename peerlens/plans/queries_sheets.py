@@ -143,7 +143,7 @@ def append_year_skipped(spark, sf_dir):
     return _appended(spark, sf_dir)[1]
 
 
-ALIASES = [("contains", "nation_1 ", "ONE"), ("contains", "niva", "TWO"), ("contains", "nation_2", "TWENTIES"),
+ALIASES = [("contains", "nation_1 ", "ONE"), ("contains", "nova", "TWO"), ("contains", "nation_2", "TWENTIES"),
            ("equals", "nation_3", "THREE"), ("contains", "nation", "NATION")]
 
 
