@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 20  # bytes worked on at once; bounds the temporaries, never the text
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NEWLINE = np.zeros(256, bool)
+NEWLINE[0x0A] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
@@ -63,21 +65,21 @@ def by_bytes(texts: pa.Array, most: int = 4 * SEGMENT):
         start = stop
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each word in order: runs of bytes other than space and 0x09-0x0D, A-Z in lower case."""
+def words(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each word in order: runs of bytes outside `gap` (space and 0x09-0x0D), A-Z in lower case."""
     hashes, rows, at = [], [], 0
     while at < len(raw):
         end = min(at + SEGMENT, len(raw))
         if end < len(raw):  # cut where no word runs on: before white space, or where a text begins
-            cut = np.flatnonzero(_SPACE[raw[at:end]])
+            cut = np.flatnonzero(gap[raw[at:end]])
             inside = offsets[(offsets > at) & (offsets <= end)]
             end = max(at + int(cut[-1]) if len(cut) else 0, int(inside[-1]) if len(inside) else 0)
             if end <= at:  # one word longer than a segment
-                more = np.flatnonzero(_SPACE[raw[at + 1 :]])
+                more = np.flatnonzero(gap[raw[at + 1 :]])
                 nxt = offsets[offsets > at]
                 end = min(at + 1 + int(more[0]) if len(more) else len(raw), int(nxt[0]))
         part = raw[at:end]
-        word = ~_SPACE[part]
+        word = ~gap[part]
         fresh = np.ones(len(part), bool)
         fresh[1:] = ~word[:-1]
         begins = offsets[(offsets >= at) & (offsets < end)] - at

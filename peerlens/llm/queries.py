@@ -8,9 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, written_table
 from ..sources.tables import read_table
-from . import bpe, mixing, pii
+from . import bpe, fingerprints, mixing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,19 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+THRESHOLD = 0.3  # documents with a lower score are rejected
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = written_table(docs.select("doc_id", quality.statistics("text").alias("x")), "quality-statistics")
+    model = quality.train(stats, read_table(spark, sf_dir, "labels"))
+    out = stats.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.scored(model, "x").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
@@ -47,6 +60,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and its neighbour."""
+    return fingerprints.compare_edits(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source."""
