@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, written_table
 from ..sources.tables import read_table
-from . import bpe, fingerprints, html_extract, mixing, pii, quality
+from . import bpe, fingerprints, html_extract, jaccard_join, mixing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +67,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    return jaccard_join.join_components(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited text and its neighbour."""
