@@ -31,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written_table
-from .arrow_text import binaries, by_bytes, mixed, unpacked, utf8, words
+from .arrow_text import binaries, by_bytes, list_array, mixed, unpacked, utf8, words
 from .components import components
 
 WORDS = 5
@@ -143,37 +144,53 @@ def _keys(low: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return mixed(low ^ mixed(bucket.astype(np.uint64) + np.uint64(1)))
 
 
-def _shared(block: pa.Table) -> pa.Table:
-    """Shingles of a bucket that two or more classes have: cls, size, keys (u64), rarity (u16: number of classes)."""
-    bucket = block["bucket"][0].as_py()
-    col = {n: unpacked(block[n], t)[0] for n, t in (("cls", "<i8"), ("sizes", "<u4"), ("counts", "<u4"), ("low", "<u4"), ("frequent", "<u8"))}
-    owner = np.repeat(np.arange(len(col["cls"])), col["counts"])
-    if bucket < 0:
-        high = unpacked(block["high"], "<u4")[0]
-        keys = col["low"].astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-        rarity = np.full(len(keys), _HOT)
-    else:
-        low = col["low"].astype(np.uint64) | (unpacked(block["high"], "<u2")[0].astype(np.uint64) << np.uint64(32))
-        names = col["cls"][owner]
-        order = np.lexsort((names, low))
-        low, names, owner = low[order], names[order], owner[order]
-        fresh = np.ones(len(low), bool)
-        fresh[1:] = (low[1:] != low[:-1]) | (names[1:] != names[:-1])
-        low, owner = low[fresh], owner[fresh]
-        start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
-        runs = np.diff(np.append(start, len(low)))
-        rarity = np.repeat(np.minimum(runs, 65534), runs).astype(np.uint16)
-        marks = np.unique(col["frequent"])
-        if len(marks) and len(low):
-            rarity[marks[np.minimum(np.searchsorted(marks, low), len(marks) - 1)] == low] = _HOT
-        keep = rarity > 1
-        keys, owner, rarity = _keys(low[keep], np.full(int(keep.sum()), bucket)), owner[keep], rarity[keep]
-        order = np.argsort(owner, kind="stable")
+_SHARED = "part long, cls binary, sizes binary, counts binary, keys binary, rarity binary"
+
+
+def _shared(parts: int):
+    """Shingles of a bucket that two or more classes have, packed by part of the classes, with their rarity (u16).
+
+    Rarity: the number of classes that have the shingle, the same for all of them.
+    """
+
+    def run(block: pa.Table) -> pa.Table:
+        bucket = block["bucket"][0].as_py()
+        col = {n: unpacked(block[n], t)[0] for n, t in (("cls", "<i8"), ("sizes", "<u4"), ("counts", "<u4"), ("low", "<u4"), ("frequent", "<u8"))}
+        owner = np.repeat(np.arange(len(col["cls"])), col["counts"])
+        if bucket < 0:
+            high = unpacked(block["high"], "<u4")[0]
+            keys = col["low"].astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+            rarity = np.full(len(keys), _HOT)
+        else:
+            low = col["low"].astype(np.uint64) | (unpacked(block["high"], "<u2")[0].astype(np.uint64) << np.uint64(32))
+            names = col["cls"][owner]
+            order = np.lexsort((names, low))
+            low, names, owner = low[order], names[order], owner[order]
+            fresh = np.ones(len(low), bool)
+            fresh[1:] = (low[1:] != low[:-1]) | (names[1:] != names[:-1])
+            low, owner = low[fresh], owner[fresh]
+            start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+            runs = np.diff(np.append(start, len(low)))
+            rarity = np.repeat(np.minimum(runs, 65534), runs).astype(np.uint16)
+            marks = np.unique(col["frequent"])
+            if len(marks) and len(low):
+                rarity[marks[np.minimum(np.searchsorted(marks, low), len(marks) - 1)] == low] = _HOT
+            keep = rarity > 1
+            keys, owner, rarity = _keys(low[keep], np.full(int(keep.sum()), bucket)), owner[keep], rarity[keep]
+        part = col["cls"].view(np.uint64) % np.uint64(parts)
+        order = np.lexsort((owner, part[owner]))
         keys, owner, rarity = keys[order], owner[order], rarity[order]
-    who, counts = np.unique(owner, return_counts=True)
-    return pa.table({
-        "cls": pa.array(col["cls"][who]), "size": pa.array(col["sizes"][who].astype(np.int64)),
-        "keys": binaries(keys, counts), "rarity": binaries(rarity, counts)})
+        edges = np.searchsorted(part[owner], np.arange(parts + 1, dtype=np.uint64))
+        rows = []
+        for k in np.flatnonzero(np.diff(edges)):
+            at = slice(edges[k], edges[k + 1])
+            who, counts = np.unique(owner[at], return_counts=True)
+            rows.append((int(k), col["cls"][who], col["sizes"][who], counts.astype(np.uint32), keys[at], rarity[at]))
+        out = [pa.array([r[0] for r in rows], pa.int64())]
+        out += [pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(1, 6)]
+        return pa.Table.from_arrays(out, [c.split()[0] for c in _SHARED.split(", ")])
+
+    return run
 
 
 def overlap(s: int, t: int, share: int = SHARE) -> int:
@@ -205,40 +222,39 @@ def boundary(sizes: dict[int, int], share: int = SHARE, most: int = 24, scan: fl
 
 
 def _candidates(small: int, share: int):
-    """cls, size, keys, lists from the gathered shared shingles of each class: what it is looked up by."""
-
-    def run(batches):
-        for batch in batches:
-            parts = batch["parts"]
-            keys, each = unpacked(parts.flatten().field("keys"), "<u8")
-            rarity, _ = unpacked(parts.flatten().field("rarity"), "<u2")
-            ends = np.concatenate([[0], np.cumsum(each)])[parts.offsets.to_numpy()[1:] - parts.offsets.to_numpy()[0]]
-            counts = np.diff(np.concatenate([[0], ends]))
-            out_keys, out_lists, keep = [], [], []
-            for i, (size, end, n) in enumerate(zip(batch["size"].to_pylist(), ends.tolist(), counts.tolist())):
-                own, rare = keys[end - n : end], rarity[end - n : end]
-                own, first = np.unique(own, return_index=True)
-                rare = rare[first]
-                lists = []
-                if size <= small:
-                    for o in subset_sizes(size, share):
-                        if o <= len(own):
-                            chosen = np.array(list(combinations(range(len(own)), o)), np.int64)
-                            lists.append(mixed(mixed(own + np.uint64(o))[chosen].sum(1, dtype=np.uint64)))
-                if 100 * size >= share * (small + 1):
-                    take = prefix_length(size, share) - (size - len(own))
-                    if take > 0:
-                        lists.append(own[np.lexsort((own, rare))[:take]])
-                if lists:
-                    keep.append(i)
-                    out_keys.append(own)
-                    out_lists.append(np.concatenate(lists))
-            size = [len(x) for x in out_keys]
-            yield pa.RecordBatch.from_arrays([
-                batch["cls"].take(pa.array(keep, pa.int64())), batch["size"].take(pa.array(keep, pa.int64())),
-                binaries(np.concatenate([*out_keys, keys[:0]]), np.array(size, np.int64)),
-                binaries(np.concatenate([*out_lists, keys[:0]]), np.array([len(x) for x in out_lists], np.int64))],
-                ["cls", "size", "keys", "lists"])
+    """cls, size, keys, lists of the classes of a part: their shared shingles, and what they are looked up by."""
+
+    def run(part: pa.Table) -> pa.Table:
+        col = {n: unpacked(part[n], t)[0] for n, t in (("cls", "<i8"), ("sizes", "<u4"), ("counts", "<u4"), ("keys", "<u8"), ("rarity", "<u2"))}
+        names, first, code = np.unique(col["cls"], return_index=True, return_inverse=True)
+        owner = np.repeat(code, col["counts"])
+        order = np.lexsort((col["keys"], owner))
+        keys, rarity, owner = col["keys"][order], col["rarity"][order], owner[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        keys, rarity, owner = keys[fresh], rarity[fresh], owner[fresh]
+        edges = np.searchsorted(owner, np.arange(len(names) + 1)).tolist()
+        out_keys, out_lists, keep = [keys[:0]], [keys[:0]], []
+        for i, size in enumerate(col["sizes"][first].tolist()):
+            own, rare = keys[edges[i] : edges[i + 1]], rarity[edges[i] : edges[i + 1]]
+            lists = []
+            if size <= small:
+                for o in subset_sizes(size, share):
+                    if o <= len(own):
+                        chosen = np.array(list(combinations(range(len(own)), o)), np.int64)
+                        lists.append(mixed(mixed(own + np.uint64(o))[chosen].sum(1, dtype=np.uint64)))
+            if 100 * size >= share * (small + 1):
+                take = prefix_length(size, share) - (size - len(own))
+                if take > 0:
+                    lists.append(own[np.lexsort((own, rare))[:take]])
+            if lists:
+                keep.append(i)
+                out_keys.append(own)
+                out_lists.append(np.concatenate(lists))
+        return pa.table({
+            "cls": names[keep], "size": col["sizes"][first][keep].astype(np.int64),
+            "keys": binaries(np.concatenate(out_keys), np.array([len(x) for x in out_keys[1:]], np.int64)),
+            "lists": binaries(np.concatenate(out_lists), np.array([len(x) for x in out_lists[1:]], np.int64))})
 
     return run
 
@@ -341,19 +357,16 @@ def _linked(share: int):
     return linked
 
 
-def _as_longs():
-    @F.arrow_udf("array<long>")
-    def longs(packed: pa.Array) -> pa.Array:
-        values, counts = unpacked(packed, "<i8")
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
-
-    return longs
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _longs(packed: pa.Array) -> pa.Array:
+    values, counts = unpacked(packed, "<i8")
+    return list_array(pa.array(values), counts)
 
 
 def labels_of(sets: DataFrame, share: int = SHARE, group: int = GROUP) -> DataFrame:
     """cls, label for the classes of `sets` (cls, size, keys, lists): equal labels for what links, over any number of steps."""
     spark = sets.sparkSession
-    lists = written_table(sets.select("cls", "size", F.explode(_as_longs()("lists")).alias("key")), "jaccard-lists")
+    lists = written_table(sets.select("cls", "size", F.explode(_longs("lists")).alias("key")), "jaccard-lists")
     hubs = lists.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).where("m > 1")
     touching = components(lists.join(hubs, "key").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "jaccard-groups")
     weight = (F.octet_length("keys") + F.octet_length("lists")) / 8
@@ -400,9 +413,9 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     small = boundary({r.s: r.sets for r in facts}, share)
     buckets = max(sum(r.total for r in facts) // BUCKET + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = rows.select("text").mapInArrow(_blocks(buckets), _BLOCK)
-    shared = blocks.groupBy("bucket").applyInArrow(_shared, "cls long, size long, keys binary, rarity binary")
-    gathered = shared.groupBy("cls").agg(F.first("size").alias("size"), F.collect_list(F.struct("keys", "rarity")).alias("parts"))
-    sets = written_table(gathered.mapInArrow(_candidates(small, share), "cls long, size long, keys binary, lists binary"), "jaccard-sets")
+    shared = blocks.groupBy("bucket").applyInArrow(_shared(buckets), _SHARED)
+    sets = shared.groupBy("part").applyInArrow(_candidates(small, share), "cls long, size long, keys binary, lists binary")
+    sets = written_table(sets, "jaccard-sets")
     labels = written_table(labels_of(sets, share, group), "jaccard-labels")
     at = classes.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "least")
     at = written_table(at, "jaccard-labelled")
