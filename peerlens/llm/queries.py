@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, written_table
 from ..sources.tables import read_table
-from . import bpe, fingerprints, html_extract, jaccard_join, mixing, pii, quality, suffix_dedup
+from . import bpe, embedding_join, fingerprints, html_extract, jaccard_join, mixing, pii, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+@query
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding_join.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 THRESHOLD = 0.3  # documents with a lower score are rejected
 
 
