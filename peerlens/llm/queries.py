@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, written_table
 from ..sources.tables import read_table
-from . import bpe, embedding_join, fingerprints, html_extract, jaccard_join, mixing, pii, quality, suffix_dedup
+from . import bpe, embedding_join, fingerprints, html_extract, jaccard_join, mixing, pii, pitman_yor, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of those not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pitman_yor.score_texts(docs, pitman_yor.held_out(F.col("doc_id")))
+
+
 @query
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
