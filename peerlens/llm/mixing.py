@@ -17,12 +17,14 @@ like others. An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written_table
 from .arrow_text import list_array, rows_of
@@ -175,3 +177,35 @@ def mix(
     return (
         dealt.select("k", "shard", "doc_id", "source", "size", "source_size", "target", "order")
         .join(shards.select("k", "shard", "won"), ["k", "shard"]).groupBy("k", "shard").applyInArrow(select, out))
+
+
+_GAP = re.compile(r"[\x20\x09-\x0D]+")
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def taken_texts(text: pa.Array, takes: pa.Array) -> pa.Array:
+    """The texts that takes (passes, ranges) of a document give: a copy for each pass, and the words of the ranges, if
+    any, joined by single spaces."""
+    out = []
+    for t, own in zip(text, takes):
+        t, got = t.as_py() or "", []
+        for take in own.as_py() or ():
+            got += [t] * take["passes"]
+            if take["ranges"]:
+                words = _GAP.split(t.strip("\x20\x09\x0A\x0B\x0C\x0D"))
+                got.append(" ".join(w for r in take["ranges"] for w in words[r["start"] : r["end"]]))
+        out.append(got)
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The documents as the mix takes them: the rows of `docs`, once for each text that `taken_texts` gives.
+
+    A document of which nothing is taken goes. Rows equal in id and text are taken as many times as there are of them.
+    """
+    id_of = how.pop("doc_id", "doc_id")
+    named = docs.withColumn("__row", F.xxhash64(id_of, text))
+    takes = mix(named, n_words(text), doc_id="__row", **how).where("taken > 0").groupBy(F.col("doc_id").alias("__row")).agg(
+        F.collect_list(F.struct("passes", "ranges")).alias("__takes"))
+    once = named.dropDuplicates(["__row"]).join(takes, "__row")
+    return once.withColumn(text, F.explode(taken_texts(text, "__takes"))).drop("__row", "__takes").select(docs.columns)
