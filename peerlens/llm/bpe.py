@@ -5,6 +5,10 @@ character, every way to split a token into two others is a merge of the token's
 vocabulary's pattern and each piece is encoded on its own, without special tokens. Decoding looks each id up in the
 reversed byte table, so characters that were split over several tokens come back whole once the bytes are joined.
 
+Packed encoding cuts a text further, at every single space between two characters that are not white space: the pattern
+begins a piece there whatever stands around it. Runs between such cuts recur, so each goes through the library once and
+its ids are kept, up to a bounded number of runs.
+
 A null text is an empty one and has no tokens; an empty list decodes to no bytes. Ids are packed as little-endian
 unsigned 32-bit integers; `unpacked_ids` gives them as an array.
 """
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import binaries, by_bytes, list_array, unpacked
+from .arrow_text import SEGMENT, by_bytes, list_array, unpacked
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -65,11 +70,59 @@ def tokenizer(vocabulary: str):
     return out
 
 
-def _encoded(text: pa.Array, vocabulary: str):
-    """Encodings of the texts, a few megabytes at a time."""
-    for start, stop in by_bytes(text):
-        yield tokenizer(vocabulary).encode_batch(
-            [t or "" for t in text[start:stop].to_pylist()], add_special_tokens=False)
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_OTHER = re.compile(r" \s|\s |\A | \Z")  # a space that is no cut
+_KEPT = 400_000  # runs in each of two generations of kept ids
+
+
+class _Runs:
+    """Packed ids of runs seen lately: a full generation becomes the old one, and what is used of that is kept on."""
+
+    def __init__(self):
+        self.now, self.old = {}, {}
+
+    def fresh(self, runs: set[str]) -> list[str]:
+        """Those of the runs whose ids are to be added."""
+        if len(self.now) > _KEPT:
+            self.now, self.old = {}, self.now
+        missing = runs - self.now.keys()
+        kept = missing & self.old.keys()
+        self.now.update(zip(kept, map(self.old.__getitem__, kept)))
+        return list(missing - kept)
+
+
+_known: dict[str, tuple[_Runs, _Runs]] = {}
+
+
+@lru_cache(4)
+def _table(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all tokens end to end, start and length of each)."""
+    tokens = token_bytes(vocabulary)
+    length = np.array([len(t) for t in tokens], np.int32)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length, dtype=np.int32) - length, length
+
+
+def packed_ids(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
+    """Little-endian ids of each text."""
+    first, later = _known.setdefault(vocabulary, (_Runs(), _Runs()))
+    runs = [_CUT.split(t) if _OTHER.search(t) else t.split(" ") for t in texts]
+    heads = [r.pop(0) for r in runs]
+    library = tokenizer(vocabulary)
+    begin = first.fresh(set(heads))
+    for run, e in zip(begin, library.encode_batch(begin, add_special_tokens=False)):
+        first.now[run] = np.array(e.ids, "<u4").tobytes()
+    follow = later.fresh(set().union(*runs))
+    for at in range(0, len(follow), 512):  # many runs in one text, told apart by the bytes of their tokens
+        part = follow[at : at + 512]
+        ids = np.array(library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(r.encode()) + 1 for r in part])
+        cuts = (4 * (np.searchsorted(np.cumsum(_table(vocabulary)[2][ids]), ends) + 1)).tolist()
+        raw, start = ids.tobytes(), 0
+        for run, cut in zip(part, cuts):
+            later.now[run] = raw[start:cut]
+            start = cut
+    ids = later.now.__getitem__
+    return [first.now[head] + b"".join(map(ids, r)) for head, r in zip(heads, runs)]
 
 
 def encode(text: Column | str, vocabulary: str = VOCABULARY) -> Column:
@@ -77,13 +130,10 @@ def encode(text: Column | str, vocabulary: str = VOCABULARY) -> Column:
 
     @F.arrow_udf("binary")
     def packed(text: pa.Array) -> pa.Array:
-        ids, counts = [np.zeros(0, "<u4")], []
-        for batch in _encoded(text, vocabulary):
-            for e in batch:
-                one = np.array(e.ids, "<u4")
-                ids.append(one)
-                counts.append(len(one))
-        return binaries(np.concatenate(ids), np.array(counts, np.int64))
+        out: list[bytes] = []
+        for a, b in by_bytes(text):
+            out += packed_ids([t or "" for t in text[a:b].to_pylist()], vocabulary)
+        return pa.array(out, pa.binary())
 
     return packed(text)
 
@@ -97,8 +147,9 @@ def encode_with_offsets(text: Column | str, vocabulary: str = VOCABULARY) -> Col
     @F.arrow_udf("array<struct<id:int,start:int,end:int>>")
     def tokens(text: pa.Array) -> pa.Array:
         ids, marks, counts = [], [], []
-        for batch in _encoded(text, vocabulary):
-            for e in batch:
+        for a, b in by_bytes(text, SEGMENT):
+            texts = [t or "" for t in text[a:b].to_pylist()]
+            for e in tokenizer(vocabulary).encode_batch(texts, add_special_tokens=False):
                 ids += e.ids
                 marks += e.offsets
                 counts.append(len(e.ids))
@@ -115,10 +166,17 @@ def decode(packed: Column | str, vocabulary: str = VOCABULARY) -> Column:
 
     @F.arrow_udf("binary")
     def plain(packed: pa.Array) -> pa.Array:
-        table = token_bytes(vocabulary)
+        flat, start, length = _table(vocabulary)
         ids, counts = unpacked(packed.fill_null(b""), "<u4")
-        ends = np.cumsum(counts)
-        out = [b"".join([table[i] for i in ids[end - n : end].tolist()]) for end, n in zip(ends, counts)]
+        ends, out = np.cumsum(counts), []
+        for end, n in zip(ends.tolist(), counts.tolist()):
+            parts = []
+            for at in range(end - n, end, SEGMENT):
+                some = ids[at : min(at + SEGMENT, end)]
+                sizes = length[some]
+                stops = np.cumsum(sizes, dtype=np.int32)
+                parts.append(flat[np.arange(stops[-1], dtype=np.int32) + np.repeat(start[some] - stops + sizes, sizes)].tobytes())
+            out.append(b"".join(parts))
         return pa.array(out, pa.binary(), mask=np.asarray(packed.is_null()))
 
     return plain(packed)

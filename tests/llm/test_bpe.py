@@ -26,8 +26,10 @@ def test_ids_equal_tiktoken_on_random_text(reference):
     rng = random.Random(3)
     pool = "abcdefgh ETAON  \n\t'sll0123456789.,;!éñß漢字かな😀‍́ \u0085 <|endoftext|>"
     for _ in range(2000):
-        text = "".join(rng.choice(pool) for _ in range(rng.randrange(60)))
+        spaces = rng.choice(["", " ", "   \n", "\u00a0 \u2003 \x1f\x85"])
+        text = "".join(rng.choice(pool + spaces) for _ in range(rng.randrange(60)))
         assert bpe.tokenizer(bpe.VOCABULARY).encode(text, add_special_tokens=False).ids == reference.encode_ordinary(text), text
+        assert np.frombuffer(bpe.packed_ids([text])[0], "<u4").tolist() == reference.encode_ordinary(text), text
 
 
 def test_round_trip_and_offsets(spark):
