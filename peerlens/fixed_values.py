@@ -1,14 +1,15 @@
 """Names and codes that filings and reports use as they are."""
 
-# state or union territory -> zone
-STATE_ZONES = {
-    "North": ["Delhi", "Uttar Pradesh", "Haryana", "Punjab", "Uttarakhand", "Chandigarh", "Himachal Pradesh",
-              "Jammu & Kashmir", "Ladakh"],
-    "South": ["Karnataka", "Tamil Nadu", "Kerala", "Puducherry", "Andaman and Nicobar Islands", "Lakshadweep"],
-    "East": ["West Bengal", "Bihar", "Jharkhand", "Assam", "Tripura", "Manipur", "Meghalaya", "Arunachal Pradesh",
-             "Nagaland", "Sikkim", "Mizoram"],
-    "West": ["Maharashtra", "Gujarat", "Goa", "Daman & Diu", "Dadra and Nagar Haveli"],
-    "Central": ["Telangana", "Madhya Pradesh", "Andhra Pradesh", "Odisha", "Chhattisgarh"],
+# fixed values: state or union territory -> zone
+ZONE_OF_STATE = {
+    "Delhi": "North", "Uttar Pradesh": "North", "Haryana": "North", "Punjab": "North", "Rajasthan": "North",
+    "Uttarakhand": "North", "Chandigarh": "North", "Himachal Pradesh": "North", "Jammu & Kashmir": "North", "Ladakh": "North",
+    "Karnataka": "South", "Tamil Nadu": "South", "Kerala": "South", "Puducherry": "South",
+    "Andaman and Nicobar Islands": "South", "Lakshadweep": "South",
+    "West Bengal": "East", "Bihar": "East", "Jharkhand": "East", "Assam": "East", "Tripura": "East", "Manipur": "East",
+    "Meghalaya": "East", "Arunachal Pradesh": "East", "Nagaland": "East", "Sikkim": "East", "Mizoram": "East",
+    "Maharashtra": "West", "Gujarat": "West", "Goa": "West", "Daman & Diu": "West", "Dadra and Nagar Haveli": "West",
+    "Telangana": "Central", "Madhya Pradesh": "Central", "Andhra Pradesh": "Central", "Odisha": "Central", "Chhattisgarh": "Central",
 }
 NAMED_STATES = ["Uttar Pradesh", "Maharashtra", "Karnataka", "Haryana", "Tamil Nadu", "Kerala", "Delhi"]
 

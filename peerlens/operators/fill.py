@@ -41,19 +41,35 @@ def _filled(state: tuple[Column, Column, Column], cur: Column, prior: Column, fo
     )
 
 
-def fill_exact(
-    target: DataFrame, source: DataFrame, keys: Sequence[str], force: bool = False, digits: int = 4
-) -> DataFrame:
-    """Exact lookup on all keys (null keys match null keys); values are stored rounded."""
-    src = source.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.round("cur", digits).alias("_c"), F.round("prior", digits).alias("_p"),
-        growth(F.col("cur"), F.col("prior")).alias("_g"), F.coalesce("cur", "prior").isNotNull().alias("_has"),
-    )
+def _met(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds _k_ columns by which keys meet: texts trimmed, an empty text the same as none."""
+    kinds = dict(df.dtypes)
+    meet = lambda k: F.coalesce(F.trim(F.col(k)), F.lit("")) if kinds[k] == "string" else F.col(k)
+    return df.withColumns({f"_k_{k}": meet(k) for k in keys})
+
+
+def _equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = target.join(src, cond, "left")
+        cond = cond & left[f"_k_{k}"].eqNullSafe(right[f"_s_{k}"])
+    return cond
+
+
+def fill_exact(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], force: bool = False, digits: int = 4, order: str | None = None
+) -> DataFrame:
+    """Exact lookup on all keys (no key meets no key, as does an empty text); values are stored rounded.
+
+    Of several source rows with a key the last by `order` counts; without an order, the one with the largest figures.
+    """
+    rank = F.col(order) if order else F.struct("cur", "prior")
+    src = _met(source, keys).groupBy(*[F.col(f"_k_{k}").alias(f"_s_{k}") for k in keys]).agg(
+        F.max_by(F.struct("cur", "prior"), rank).alias("_v"))
+    src = src.select(
+        *[f"_s_{k}" for k in keys], F.round("_v.cur", digits).alias("_c"), F.round("_v.prior", digits).alias("_p"),
+        growth(F.col("_v.cur"), F.col("_v.prior")).alias("_g"), F.coalesce("_v.cur", "_v.prior").isNotNull().alias("_has"))
+    rows = _met(target, keys)
+    joined = rows.join(src, _equal(rows, src, keys), "left")
     use = F.coalesce("_has", F.lit(False))
     if not force:
         use = use & (F.col("cur").isNull() | F.col("prior").isNull())
@@ -63,17 +79,15 @@ def fill_exact(
             "prior": F.when(use, F.coalesce("_p", "prior")).otherwise(F.col("prior")),
             "growth": F.when(use, F.coalesce("_g", "growth")).otherwise(F.col("growth")),
         }
-    ).drop("_c", "_p", "_g", "_has", *[f"_k_{k}" for k in keys])
+    ).select(*target.columns)
 
 
 def unmatched(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows still lacking a period that the source has no value for."""
-    usable = source.where(F.coalesce("cur", "prior").isNotNull()).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    lacking = target.where(F.col("cur").isNull() | F.col("prior").isNull())
-    return lacking.join(usable, cond, "left_anti")
+    usable = _met(source.where(F.coalesce("cur", "prior").isNotNull()), keys).select(
+        *[F.col(f"_k_{k}").alias(f"_s_{k}") for k in keys]).distinct()
+    lacking = _met(target.where(F.col("cur").isNull() | F.col("prior").isNull()), keys)
+    return lacking.join(usable, _equal(lacking, usable, keys), "left_anti").select(*target.columns)
 
 
 def fill_wildcard(target: DataFrame, source: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFrame:
@@ -161,11 +175,17 @@ def best_ranked(df: DataFrame, by: Sequence[str], candidate: str, rank: str, val
     return df.where(valid).groupBy(*by).agg(F.min_by(candidate, rank).alias(candidate), F.min(rank).alias(rank))
 
 
-def regroup_by_form(specs: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every spec of every form with its result; a key without a result counts as not found."""
-    wanted = specs.select("key", "kind", F.explode("forms").alias("form"))
-    return wanted.join(results, "key", "left").withColumn("found", F.coalesce("found", F.lit(False))).select(
-        *keys, "form", "key", "kind", "found", "cur", "prior")
+def regroup_by_form(specs: DataFrame, results: DataFrame, keys: Sequence[str], holders: DataFrame | None = None) -> DataFrame:
+    """Every spec of every form for every holder with its result; what a holder has no result for counts as not found.
+
+    holders: who is expected to have the specs (`keys`), by default everyone with any result.  The specs are a short list
+    and travel as one array per holder, so no row meets another by the spec key alone.
+    """
+    listed = specs.select("key", "kind", F.explode("forms").alias("form"))
+    items = [F.struct(*[F.lit(r[c]).alias(c) for c in ("form", "key", "kind")]) for r in listed.collect()]  # the list itself
+    wanted = (holders or results).select(*keys).distinct().select(*keys, F.inline(F.array(*items)))
+    met = wanted.join(results.select(*keys, "key", "found", "cur", "prior"), [*keys, "key"], "left")
+    return met.withColumn("found", F.coalesce("found", F.lit(False))).select(*keys, "form", "key", "kind", "found", "cur", "prior")
 
 
 def expected_minus_found(expected: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:

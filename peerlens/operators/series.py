@@ -131,18 +131,20 @@ def insight_rows(df: DataFrame, by: Sequence[str], **kw) -> DataFrame:
     return lead.select(*by, F.inline(F.filter(rows, lambda r: r["entity"].isNotNull())))
 
 
-def ranked(df: DataFrame, by: Sequence[str], value: str, higher_is_better: bool = True, ranges: int = 4096) -> DataFrame:
+def ranked(df: DataFrame, by: Sequence[str], value: str, higher_is_better: bool = True, ranges: int = 64) -> DataFrame:
     """Dense rank within a group, in two steps so that a large group is not ordered in one task.
 
-    The distinct values of a group fall into equal ranges between its ends; a value's rank is the number
-    of values in better ranges plus its place inside its own range.
+    The distinct values of a group fall into ranges between quantiles of the group, so a range holds about the same
+    share of it however the values lie; a value's rank is the number of values in better ranges plus its place inside
+    its own range.
     """
     by = list(by)
     places = df.where(F.col(value).isNotNull()).select(*by, value).distinct()
-    ends = places.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    up = F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), width), F.lit(0.0)) * ranges)
-    places = places.join(ends, by).withColumn("_b", -up if higher_is_better else up).drop("_lo", "_hi")
+    cuts = places.groupBy(*by).agg(
+        F.array_distinct(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 100 * ranges)).alias("_cuts"))
+    places = places.join(cuts, by)
+    up = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    places = places.withColumn("_b", -up if higher_is_better else up).drop("_cuts")
     counts = places.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     better = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(better), F.lit(0)).alias("_before"))

@@ -17,8 +17,23 @@ from ..functions.periods import fiscal_quarter, fiscal_year
 from ..sources.tables import read_table
 
 UNIT = 10_000
-# reporting periods the order dates reach: January 1995 (last quarter of 1994) to August 2001
-REPORT_PERIODS = [(1994, 4), *[(y, n) for y in range(1995, 2001) for n in (1, 2, 3, 4)], (2001, 1), (2001, 2)]
+
+
+def report_periods(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    """(fy, quarter) of all orders with lines: as many as the calendar has quarters, whatever the size of the tables."""
+    return sorted((r.fy, r.q) for r in order_rows(spark, sf_dir, ["policies"]).select("fy", "q").distinct().collect())
+
+
+def years(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last fiscal year of the orders."""
+    found = [fy for fy, _ in report_periods(spark, sf_dir)]
+    return min(found), max(found)
+
+
+def complete_years(spark: SparkSession, sf_dir: str) -> list[int]:
+    """Fiscal years of which the orders have all four quarters."""
+    periods = report_periods(spark, sf_dir)
+    return sorted({fy for fy, _ in periods if all((fy, q) in periods for q in (1, 2, 3, 4))})
 
 
 def _cents() -> Column:
@@ -117,14 +132,15 @@ def pair_periods(df: DataFrame, keys: Sequence[str], measures: Sequence[str], fy
     """Each measure m becomes m (this year) and m_prior (same period, one year earlier).
 
     Every row is offered to its own year and to the next one and the two are met in one
-    grouping: one pass over the input, no self-join, and gaps in the years stay gaps.
+    grouping: one pass over the input, no self-join, and gaps in the years stay gaps. Rows of
+    one key and year add up.
     """
     offered = df.withColumn("_shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(fy, F.col(fy) + F.col("_shift"))
     return (
         offered.groupBy(*keys, fy)
         .agg(
-            *[F.max(F.when(F.col("_shift") == 0, F.col(m))).alias(m) for m in measures],
-            *[F.max(F.when(F.col("_shift") == 1, F.col(m))).alias(f"{m}_prior") for m in measures],
+            *[F.sum(F.when(F.col("_shift") == 0, F.col(m))).alias(m) for m in measures],
+            *[F.sum(F.when(F.col("_shift") == 1, F.col(m))).alias(f"{m}_prior") for m in measures],
             F.min("_shift").alias("_first"),
         )
         .where(F.col("_first") == 0)

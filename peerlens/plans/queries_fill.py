@@ -9,7 +9,7 @@ from ..operators import fill
 from ..sources import metric_table
 from ..sources.tables import read_table
 from .fact_table import ROWS_SQL, metric_rows
-from .panel import paired_panel, panel
+from .panel import paired_panel, panel, years
 from .registry import FACTS, paired_sql, panel_sql, query
 
 KEYS = ["slide", "company", "metric1", "metric2", "fy", "q"]
@@ -48,6 +48,20 @@ def fill_exact(spark, sf_dir):
     return fill.fill_exact(with_gaps(rows), rows.where(F.col("company") != "NATION_3"), KEYS)
 
 
+@query("fill_exact_repeated", GAPS_SQL + """
+SELECT g.slide, g.company, g.metric1, g.metric2, g.fy, g.q,
+  CASE WHEN g.cur IS NULL OR g.prior IS NULL THEN coalesce(round(s.cur, 4), g.cur) ELSE g.cur END AS cur
+FROM gaps g JOIN mrows s ON g.slide = s.slide AND g.company = s.company AND g.metric1 = s.metric1
+   AND g.metric2 IS NOT DISTINCT FROM s.metric2 AND g.fy = s.fy AND g.q = s.q""")
+def fill_exact_repeated(spark, sf_dir):
+    """A source with an older row for every key, labels padded and empty for none: the newer row counts, once."""
+    rows = metric_rows(spark, sf_dir)
+    label = F.concat(F.lit(" "), F.coalesce("metric2", F.lit("")), F.lit(" "))
+    older = rows.withColumns({"cur": F.col("cur") + 1, "seq": F.lit(1), "metric2": label})
+    newer = rows.withColumns({"seq": F.lit(2), "metric2": F.coalesce("metric2", F.lit(""))})
+    return fill.fill_exact(with_gaps(rows), newer.unionByName(older), KEYS, order="seq").select(*KEYS, "cur")
+
+
 @query("fill_unmatched", GAPS_SQL + """
 SELECT slide, company, metric1, metric2, fy, q, cur, prior FROM gaps
 WHERE company = 'NATION_3' AND (cur IS NULL OR prior IS NULL)""")
@@ -156,7 +170,9 @@ FORM_SPECS = [("premium_urgent", ["NL-36"], "money"), ("premium_high", ["NL-36",
 , specs(key, form, kind) AS (VALUES ('premium_urgent', 'NL-36', 'money'), ('premium_high', 'NL-36', 'money'), ('premium_high', 'NL-4', 'money'),
    ('premium_absent', 'NL-31', 'percent'), ('premium_low', 'NL-4', 'count'))
 , r AS (SELECT 'premium_' || lower(split_part(metric2, '-', 2)) AS key, company, fy, q, true AS found, cur, prior FROM mrows WHERE slide = 12)
-SELECT company, fy, q, form, s.key, kind, coalesce(found, false) AS found, cur, prior FROM specs s LEFT JOIN r ON s.key = r.key""")
+, holders AS (SELECT DISTINCT company, fy, q FROM r)
+SELECT h.company, h.fy, h.q, form, s.key, kind, coalesce(found, false) AS found, cur, prior
+FROM holders h CROSS JOIN specs s LEFT JOIN r ON s.key = r.key AND r.company = h.company AND r.fy = h.fy AND r.q = h.q""")
 def form_regroup(spark, sf_dir):
     specs = spark.createDataFrame(FORM_SPECS, "key string, forms array<string>, kind string")
     rows = metric_rows(spark, sf_dir).where(F.col("slide") == 12)
@@ -170,11 +186,12 @@ def form_regroup(spark, sf_dir):
 
 @query("expected_minus_found", f"""WITH {FACTS}
 , found AS (SELECT DISTINCT suppkey, fy, q FROM facts)
-SELECT s_suppkey AS suppkey, CAST(y AS INTEGER) AS fy, CAST(q AS INTEGER) AS q FROM supplier, range(1994, 2002) t(y), range(1, 5) u(q)
+SELECT s_suppkey AS suppkey, CAST(y AS INTEGER) AS fy, CAST(q AS INTEGER) AS q FROM supplier, (SELECT unnest(range(CAST(lo AS BIGINT), CAST(hi AS BIGINT) + 1)) AS y FROM (SELECT min(fy) AS lo, max(fy) AS hi FROM facts)) t, range(1, 5) u(q)
 WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.suppkey = s_suppkey AND f.fy = y AND f.q = u.q)""")
 def expected_minus_found(spark, sf_dir):
+    first, last = years(spark, sf_dir)
     expected = read_table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("suppkey"), F.explode(F.sequence(F.lit(1994), F.lit(2001))).alias("fy")
+        F.col("s_suppkey").alias("suppkey"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("fy")
     ).withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(4))))
     orders = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("okey"), fiscal_year("o_orderdate").alias("fy"), fiscal_quarter("o_orderdate").alias("q"))

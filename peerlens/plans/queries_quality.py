@@ -16,7 +16,7 @@ from ..sources import metric_table
 from ..sources.tables import read_table
 from ..streaming import jobs
 from .fact_table import ROWS_SQL, metric_rows
-from .panel import panel
+from .panel import panel, years
 from .registry import FACTS, panel_sql, query
 
 ROWS = f"WITH {FACTS} {ROWS_SQL}"
@@ -59,12 +59,13 @@ def parts_vs_total(spark, sf_dir):
 
 
 @query("coverage", ROWS + """
-SELECT n_name AS company, slide, CAST(y AS INTEGER) AS fy FROM nation, (VALUES (7), (8), (12), (16)) s(slide), range(1995, 2002) t(y)
+SELECT n_name AS company, slide, CAST(y AS INTEGER) AS fy FROM nation, (VALUES (7), (8), (12), (16)) s(slide), (SELECT unnest(range(CAST(lo + 1 AS BIGINT), CAST(hi AS BIGINT) + 1)) AS y FROM (SELECT min(fy) AS lo, max(fy) AS hi FROM facts)) t
 WHERE NOT EXISTS (SELECT 1 FROM mrows m WHERE m.company = n_name AND m.slide = s.slide AND m.fy = y AND prior IS NOT NULL)""")
 def coverage(spark, sf_dir):
+    first, last = years(spark, sf_dir)  # the first year has none before it
     expected = read_table(spark, sf_dir, "nation").select(
         F.col("n_name").alias("company"), F.explode(F.array(*[F.lit(s) for s in (7, 8, 12, 16)])).alias("slide")
-    ).withColumn("fy", F.explode(F.sequence(F.lit(1995), F.lit(2001))))
+    ).withColumn("fy", F.explode(F.sequence(F.lit(first + 1), F.lit(last))))
     return quality.missing_coverage(expected, metric_rows(spark, sf_dir), ["company", "slide", "fy"], "prior")
 
 
@@ -265,15 +266,25 @@ def _run_dir(spark, name):
     return f"{shared_dir(spark).rstrip('/')}/peerlens/{name}-{uuid.uuid4().hex}"
 
 
-@query("intake_stream", "SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS INTEGER) AS size FROM documents WHERE lang <> 'de' AND n_chars > 100")
+@query("intake_stream", """
+SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS INTEGER) AS size FROM (SELECT doc_id, CASE doc_id % 6
+   WHEN 0 THEN 'FORM NL-4' WHEN 1 THEN 'FORM NL-7' ELSE 'Contents' END || chr(10) || text || chr(10) ||
+   CASE WHEN doc_id % 4 = 0 THEN 'Quarter ended March 31, 2025' ELSE 'As at 30 June 2026' END AS text FROM documents)
+WHERE doc_id % 6 < 2 AND doc_id % 4 <> 0""")
 def intake_stream(spark, sf_dir):
-    folder, valid = _run_dir(spark, "intake"), (F.col("lang") != "de") & (F.col("n_chars") > 100)
+    """Documents with a heading and a closing line pass the gate of a disclosure of June 2026; the others are kept apart."""
+    folder = _run_dir(spark, "intake")
+    gate = docs.verdict(F.col("text"), F.lit("pdf"), F.lit("June"), F.lit(2026))
     schema = read_table(spark, sf_dir, "documents").schema
+    six, four = F.col("doc_id") % 6, F.col("doc_id") % 4
+    heading = F.when(six == 0, "FORM NL-4").when(six == 1, "FORM NL-7").otherwise("Contents")
+    closing = F.when(four == 0, "Quarter ended March 31, 2025").otherwise("As at 30 June 2026")
     # the second intake starts anew and finds nothing to add
     for attempt in ("first", "again"):
         stream = jobs.file_stream(spark, sf_dir, "documents.parquet", schema)
-        jobs.intake(stream, "doc_id", "text", valid, f"{folder}/store", f"{folder}/{attempt}")
-    return jobs.newest_intake(spark, f"{folder}/store").select("doc_id", "sha256", "size")
+        stream = stream.withColumn("text", F.concat(heading, F.lit("\n"), "text", F.lit("\n"), closing))
+        jobs.intake(stream, "doc_id", "text", gate, f"{folder}/store", f"{folder}/{attempt}", f"{folder}/refused")
+    return jobs.newest_intake(spark, f"{folder}/store", "doc_id").select("doc_id", "sha256", "size")
 
 
 @query("progress_fold", """

@@ -9,8 +9,8 @@ from ..functions.numbers import as_multiple, growth, ratio
 from ..functions.periods import fiscal_quarter, fiscal_year
 from ..operators import formulas, report, rollup, series
 from ..sources.tables import read_table
-from .panel import REPORT_PERIODS, UNIT, entities, line_measures, pair_periods, paired_panel, panel
-from .queries_rollup import ALL_MEASURES, EXPENSE, GWP, LOB, LOSS, MANPOWER, NW, RENTAL, STATE_SQL, STATES, long_sql, wide_metrics, zone_dimension
+from .panel import UNIT, complete_years, entities, line_measures, pair_periods, paired_panel, panel, report_periods
+from .queries_rollup import ALL_MEASURES, EXPENSE, GWP, IN_STATE, LOB, LOSS, MANPOWER, NW, RENTAL, STATE_SQL, long_sql, wide_metrics, with_state, zone_dimension
 from .registry import FACTS, paired_sql, panel_sql, query
 
 D = "CAST(SUM(CAST({0} AS DECIMAL(38,4))) AS DOUBLE)"
@@ -108,14 +108,15 @@ def rpt_08(spark, sf_dir):
 
 
 @query("rpt_09", panel_sql("entity, fy") + f"""
-, h AS (SELECT entity, fy + 1 AS fy_end, value FROM panel WHERE fy BETWEEN 1995 AND 2000
-  UNION ALL SELECT 'Industry', fy + 1, {D.format('value')} FROM panel WHERE fy BETWEEN 1995 AND 2000 GROUP BY fy)
+, full_y AS (SELECT fy FROM (SELECT DISTINCT fy, q FROM facts) GROUP BY fy HAVING count(*) = 4)
+, h AS (SELECT entity, fy + 1 AS fy_end, value FROM panel WHERE fy IN (SELECT fy FROM full_y)
+  UNION ALL SELECT 'Industry', fy + 1, {D.format('value')} FROM panel WHERE fy IN (SELECT fy FROM full_y) GROUP BY fy)
 , e AS (SELECT min(fy_end) AS a, max(fy_end) AS b FROM h)
 SELECT x.entity, a AS first_year, b AS last_year, x.value AS first_value, y.value AS last_value, round(pow(y.value / x.value, 1.0 / (b - a)) - 1, 8) AS cagr
 FROM e JOIN h x ON x.fy_end = a JOIN h y ON y.fy_end = b AND x.entity = y.entity WHERE x.value > 0""")
 def rpt_09(spark, sf_dir):
-    # complete years only: the data's first year is one quarter, its last one is under way
-    years = panel(spark, sf_dir, ["entity", "fy"]).where(F.col("fy").between(1995, 2000))
+    # complete years only: the data's first and last ones may have fewer than four quarters
+    years = panel(spark, sf_dir, ["entity", "fy"]).where(F.col("fy").isin(complete_years(spark, sf_dir)))
     history = rollup.with_all_row(years, ["fy"], "entity", ["value"]).unpivot(["entity", "fy"], ["value"], "title", "value").select(
         "title", "entity", (F.col("fy") + 1).alias("fy_end"), "value")
     return series.cagr(history, "title", "entity", "fy_end", "value").drop("title")
@@ -156,12 +157,11 @@ GEO = paired_sql("segment, nationkey, q") + STATE_SQL
 
 
 def by_states(spark, sf_dir):
-    df = pairs_at(spark, sf_dir, "segment", "nationkey")
-    return df.withColumn("state", F.get(F.array(*[F.lit(s) for s in STATES]), F.col("nationkey")))
+    return with_state(pairs_at(spark, sf_dir, "segment", "nationkey"))
 
 
 @query("rpt_16", stacked_sql(GEO + f", b AS (SELECT fy, q, segment, zone, {D.format('value')} AS cur, {D.format('value_prior')} AS prior"
-       " FROM pairs JOIN states USING (nationkey) GROUP BY ALL)" + SHOWN_SQL.format("segment"), "segment", "zone", True))
+       " FROM pairs " + IN_STATE + " WHERE zone IS NOT NULL GROUP BY ALL)" + SHOWN_SQL.format("segment"), "segment", "zone", True))
 def rpt_16(spark, sf_dir):
     df = by_states(spark, sf_dir)
     zoned = rollup.classify(df, zone_dimension(spark), "state", "zone").where(F.col("zone") != "Others (unclassified)")
@@ -169,7 +169,7 @@ def rpt_16(spark, sf_dir):
 
 
 @query("rpt_17", stacked_sql(GEO + f", b AS (SELECT fy, q, segment, CASE WHEN state IN ({', '.join(repr(s) for s in fixed.NAMED_STATES)}) THEN state ELSE 'Others' END AS state,"
-       f" {D.format('value')} AS cur, {D.format('value_prior')} AS prior FROM pairs LEFT JOIN states USING (nationkey) GROUP BY ALL)" + SHOWN_SQL.format("segment"), "segment", "state", True))
+       f" {D.format('value')} AS cur, {D.format('value_prior')} AS prior FROM pairs {IN_STATE} GROUP BY ALL)" + SHOWN_SQL.format("segment"), "segment", "state", True))
 def rpt_17(spark, sf_dir):
     df = by_states(spark, sf_dir)
     named = df.withColumn("state", rollup.named_or_others(F.col("state"), fixed.NAMED_STATES))
@@ -381,7 +381,7 @@ def trend_table(number):
         p = panel(spark, sf_dir, ["entity", "fy", "q"], TREND_MEASURES)
         ytd = series.year_to_date(p, ["entity"], TREND_MEASURES)
         ytd = ytd.select("entity", "fy", "q", *[c().alias(t) for t, (c, _) in titles.items()])
-        return report.trends(ytd, "entity", list(titles), REPORT_PERIODS, annual)
+        return report.trends(ytd, "entity", list(titles), report_periods(spark, sf_dir), annual)
 
     return run
 

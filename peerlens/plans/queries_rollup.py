@@ -107,24 +107,40 @@ def row_fractions(spark, sf_dir):
     return rollup.mix_share(p, ["entity", "fy", "q"], "value", "fraction", None)
 
 
-STATES = [s for members in fixed.STATE_ZONES.values() for s in members]
-STATE_VALUES = ", ".join(f"({i}, '{s}', '{z}')" for i, (s, z) in enumerate(fixed.dimension_rows(fixed.STATE_ZONES)))
-STATE_SQL = f", states(nationkey, state, zone) AS (VALUES {STATE_VALUES})"
+# states in the order of their numbers; the last name belongs to no zone
+STATES = [*fixed.ZONE_OF_STATE, "Offshore"]
+# the expected zones, written out once more so that the table above is checked and not repeated
+EXPECTED_ZONES = {
+    "North": "Rajasthan|Delhi|Punjab|Haryana|Chandigarh|Ladakh|Jammu & Kashmir|Himachal Pradesh|Uttarakhand|Uttar Pradesh",
+    "South": "Kerala|Tamil Nadu|Karnataka|Puducherry|Lakshadweep|Andaman and Nicobar Islands",
+    "East": "Assam|Arunachal Pradesh|Bihar|Jharkhand|Manipur|Meghalaya|Mizoram|Nagaland|Sikkim|Tripura|West Bengal",
+    "West": "Goa|Gujarat|Maharashtra|Daman & Diu|Dadra and Nagar Haveli",
+    "Central": "Andhra Pradesh|Chhattisgarh|Madhya Pradesh|Odisha|Telangana"}
+STATE_NO = "CASE WHEN segment IN ('BUILDING', 'MACHINERY') THEN nationkey + 13 ELSE nationkey END"
+STATE_SQL = (
+    ", states(state_no, state) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(STATES)) + ")"
+    ", zones(state, zone) AS (VALUES " + ", ".join(f"('{s}', '{z}')" for z, names in EXPECTED_ZONES.items() for s in names.split("|")) + ")")
+IN_STATE = f"LEFT JOIN states ON state_no = {STATE_NO} LEFT JOIN zones USING (state)"
+
+
+def with_state(df):
+    """The state of a row: its nation's number, moved on for two of the segments so that all states are reached."""
+    number = F.when(F.col("segment").isin("BUILDING", "MACHINERY"), F.col("nationkey") + 13).otherwise(F.col("nationkey"))
+    return df.withColumn("state", F.get(F.array(*[F.lit(s) for s in STATES]), number))
 
 
 def by_state(spark, sf_dir, measures=("value",)):
-    """Figures per business segment and state: the nation's number picks the state."""
-    p = panel(spark, sf_dir, ["segment", "nationkey", "fy", "q"], measures)
-    return p.withColumn("state", F.get(F.array(*[F.lit(s) for s in STATES]), F.col("nationkey")))
+    """Figures per business segment and state."""
+    return with_state(panel(spark, sf_dir, ["segment", "nationkey", "fy", "q"], measures))
 
 
 def zone_dimension(spark):
-    return spark.createDataFrame(fixed.dimension_rows(fixed.STATE_ZONES), "state string, zone string")
+    return spark.createDataFrame(list(fixed.ZONE_OF_STATE.items()), "state string, zone string")
 
 
 @query("zone_share", panel_sql("segment, nationkey, fy, q", "value, gross") + STATE_SQL + f"""
 , z AS (SELECT segment, fy, q, coalesce(zone, 'Others (unclassified)') AS zone, {D.format('value')} AS value
-        FROM panel LEFT JOIN states USING (nationkey) GROUP BY ALL)
+        FROM panel {IN_STATE} GROUP BY ALL)
 , b AS (SELECT segment, fy, q, {D.format('gross')} AS gross FROM panel GROUP BY ALL)
 SELECT segment, fy, q, zone, value, gross, round(value / nullif(gross, 0), 4) AS share FROM z JOIN b USING (segment, fy, q)""")
 def zone_share(spark, sf_dir):
@@ -136,7 +152,7 @@ def zone_share(spark, sf_dir):
 
 @query("state_share_others", panel_sql("segment, nationkey, fy, q", "value, gross") + STATE_SQL + f"""
 , z AS (SELECT segment, fy, q, CASE WHEN state IN ({', '.join(f"'{s}'" for s in fixed.NAMED_STATES)}) THEN state ELSE 'Others' END AS state,
-        {D.format('value')} AS value FROM panel LEFT JOIN states USING (nationkey) GROUP BY ALL)
+        {D.format('value')} AS value FROM panel {IN_STATE} GROUP BY ALL)
 , b AS (SELECT segment, fy, q, {D.format('gross')} AS gross FROM panel GROUP BY ALL)
 SELECT segment, fy, q, state, value, gross, round(value / nullif(gross, 0), 4) AS share FROM z JOIN b USING (segment, fy, q)""")
 def state_share_others(spark, sf_dir):

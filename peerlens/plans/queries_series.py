@@ -13,7 +13,7 @@ from ..functions.periods import (
 from ..operators import series
 from ..operators.report import in_reports
 from ..sources.tables import read_table
-from .panel import REPORT_PERIODS, UNIT, order_rows, paired_panel, panel, with_entity
+from .panel import UNIT, complete_years, order_rows, paired_panel, panel, report_periods, with_entity
 from .registry import FACTS, paired_sql, panel_sql, query
 
 GROWTH = "round((value - value_prior) / nullif(value_prior, 0), 4)"
@@ -124,15 +124,16 @@ HISTORY = panel_sql("entity, fy", "value, gross, claims") + """
 
 
 @query("cagr", HISTORY + """
-, capped AS (SELECT * FROM history WHERE fy_end <= 2001 AND fy_end >= 1996)
+, full_y AS (SELECT fy FROM (SELECT DISTINCT fy, q FROM facts) GROUP BY fy HAVING count(*) = 4)
+, capped AS (SELECT * FROM history WHERE fy_end - 1 IN (SELECT fy FROM full_y))
 , ends AS (SELECT title, min(fy_end) AS first_year, max(fy_end) AS last_year FROM capped GROUP BY title)
 SELECT title, a.entity, first_year, last_year, a.value AS first_value, b.value AS last_value,
        round(pow(b.value / a.value, 1.0 / (last_year - first_year)) - 1, 8) AS cagr
 FROM ends JOIN capped a USING (title) JOIN capped b USING (title)
 WHERE a.fy_end = first_year AND b.fy_end = last_year AND a.entity = b.entity AND a.value > 0""")
 def cagr_query(spark, sf_dir):
-    # the data's first year is one quarter only, the last one is under way
-    full = series.cap_years(history(spark, sf_dir), series.cap_for(F.lit(2001), F.lit(2))).where(F.col("fy_end") >= 1996)
+    # complete years only: the data's first and last ones may have fewer than four quarters
+    full = history(spark, sf_dir).where((F.col("fy_end") - 1).isin(complete_years(spark, sf_dir)))
     return series.cagr(full, "title", "entity", "fy_end", "value")
 
 
@@ -153,7 +154,7 @@ FROM periods p JOIN full_years y ON y.fy + 1 <= CASE WHEN p.q = 4 THEN p.fy + 1
 UNION ALL
 SELECT fy, q, entity, 'Q' || q || ' FY' || lpad(CAST((fy + 1) % 100 AS VARCHAR), 2, '0'), value FROM ytd WHERE q < 4""")
 def trend_with_point(spark, sf_dir):
-    rows = in_reports(ytd_panel(spark, sf_dir), REPORT_PERIODS)
+    rows = in_reports(ytd_panel(spark, sf_dir), report_periods(spark, sf_dir))
     cols = ["report_fy", "report_q", "entity", "label", "value"]
     past, point = rows.where(F.col("q") == 4).select(*cols), rows.where(F.col("q") < 4).select(*cols)
     return series.trend_with_point(past, point, ["report_fy", "report_q", "entity"], "label")
@@ -164,7 +165,7 @@ SELECT p.fy AS report_fy, p.q AS report_q, title, entity, max(fy_end) AS last_ye
 FROM history JOIN (SELECT DISTINCT fy, q FROM facts) p ON fy_end <= CASE WHEN p.q = 4 THEN p.fy + 1 ELSE p.fy END
 GROUP BY ALL""")
 def year_cap(spark, sf_dir):
-    reports = F.array(*[F.struct(F.lit(y).alias("report_fy"), F.lit(n).alias("report_q")) for y, n in REPORT_PERIODS])
+    reports = F.array(*[F.struct(F.lit(y).alias("report_fy"), F.lit(n).alias("report_q")) for y, n in report_periods(spark, sf_dir)])
     rows = history(spark, sf_dir).select("*", F.inline(reports))
     capped = series.cap_years(rows, series.cap_for(F.col("report_fy"), F.col("report_q")))
     return capped.groupBy("report_fy", "report_q", "title", "entity").agg(

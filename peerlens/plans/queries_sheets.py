@@ -11,6 +11,7 @@ from ..sources.tables import read_table
 from .queries_series import HISTORY
 from .queries_series import history as long_history
 from .registry import paired_sql, panel_sql, query, staged
+from .panel import years as span
 from .render_sheets import SEGMENT_COLUMNS, block_sheets, history_books
 
 KEYS = ["sheet", "fy", "q"]
@@ -113,7 +114,7 @@ def entity_of(label):
 , t AS (SELECT segment, 'Value' AS title, entity, fy, value AS value FROM panel UNION ALL SELECT segment, 'Gross', entity, fy, gross FROM panel
    UNION ALL SELECT segment, 'Claims', entity, fy, claims FROM panel)
 SELECT e.segment, e.title, e.entity, 'FY' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS year_label, CAST((y + 1) % 100 AS INTEGER) AS fy_end, value
-FROM (SELECT DISTINCT segment, title, entity FROM t) e CROSS JOIN range(1994, 2002) r(y)
+FROM (SELECT DISTINCT segment, title, entity FROM t) e CROSS JOIN (SELECT unnest(range(CAST(lo AS BIGINT), CAST(hi AS BIGINT) + 1)) AS y FROM (SELECT min(fy) AS lo, max(fy) AS hi FROM facts)) r
 LEFT JOIN t ON t.segment = e.segment AND t.title = e.title AND t.entity = e.entity AND t.fy = y""")
 def history_unpivot(spark, sf_dir):
     return history.read_history(staged(history_books, spark, sf_dir), ["segment"], entity_of)
@@ -121,23 +122,24 @@ def history_unpivot(spark, sf_dir):
 
 def _appended(spark, sf_dir):
     years = long_history(spark, sf_dir)
+    newest = span(spark, sf_dir)[1]  # ends the last complete year
     # gross was extended already; the claims figure of one entity is lost
-    past = years.where((F.col("fy_end") <= 2000) | (F.col("title") == "gross")).where(F.col("fy_end") <= 2001)
+    past = years.where((F.col("fy_end") < newest) | (F.col("title") == "gross")).where(F.col("fy_end") <= newest)
     lost = (F.col("title") == "claims") & (F.col("entity") == "NATION_4")
-    point = years.where((F.col("fy_end") == 2001) & ~lost)
+    point = years.where((F.col("fy_end") == newest) & ~lost)
     required = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("entity"))
-    return history.append_year(past, point, required, 2001, 4)
+    return history.append_year(past, point, required, newest, 4)
 
 
 @query("append_year", HISTORY + """
-SELECT title, entity, fy_end, value FROM history WHERE fy_end <= 2000 OR (fy_end = 2001 AND title <> 'claims')""")
+SELECT title, entity, fy_end, value FROM history WHERE fy_end < (SELECT max(fy) FROM facts) OR (fy_end = (SELECT max(fy) FROM facts) AND title <> 'claims')""")
 def append_year(spark, sf_dir):
     return _appended(spark, sf_dir)[0]
 
 
 @query("append_year_skipped", HISTORY + """
 SELECT 'claims' AS title, 'no value for a required entity' AS reason, count(*) AS missing FROM history
-  WHERE title = 'claims' AND fy_end = 2001 AND entity = 'NATION_4'
+  WHERE title = 'claims' AND fy_end = (SELECT max(fy) FROM facts) AND entity = 'NATION_4'
 UNION ALL SELECT 'gross', 'already has the year', 0""")
 def append_year_skipped(spark, sf_dir):
     return _appended(spark, sf_dir)[1]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.periods import fy_end_label
 from ..operators.series import exact_sum
 from .panel import paired_panel, panel
+from .panel import years as span
 
 SEGMENT_COLUMNS = {"AUTOMOBILE": "Marine  Cargo", "BUILDING": "Fire", "FURNITURE": "Health ", "HOUSEHOLD": "Aviation ", "MACHINERY": "P.A."}
 
@@ -74,7 +75,8 @@ def block_sheets(spark, sf_dir):
 
 def history_books(spark, sf_dir, measures=("value", "gross", "claims")):
     """segment (the book), r, cells: stacked yearly blocks of every measure, with total rows and blanks."""
-    years = list(range(1994, 2002))
+    first, last = span(spark, sf_dir)
+    years = list(range(first, last + 1))
     p = panel(spark, sf_dir, ["segment", "entity", "fy"], measures)
     long = p.unpivot(["segment", "entity", "fy"], list(measures), "title", "value")
     keys = [F.col(c) for c in ("segment", "title", "entity")]

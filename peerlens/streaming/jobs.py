@@ -6,12 +6,12 @@ stores live in the folder the caller names, which all executors share.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.documents import changed, with_fingerprint
-
+from ..operators.documents import changed, newest_versions, with_fingerprint
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -21,33 +21,55 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema: StructTy
     return reader.parquet(folder)
 
 
-def intake(stream: DataFrame, doc: str, text: str, valid: Column, store: str, checkpoint: str) -> None:
-    """Valid new or changed documents are appended to the store; a replayed batch adds nothing."""
+def intake(stream: DataFrame, doc: str, text: str, verdict: Column, store: str, checkpoint: str, refused: str | None = None) -> None:
+    """New or changed documents that the gate lets in are added to the store, stamped with the number of their batch.
+
+    verdict: STRUCT<ok, reason> of a row.  A replayed batch overwrites its own folder.  Of several versions in one batch
+    one is kept; what the newest stored version of a document already says adds nothing.  Only fingerprints of the store
+    are read.  refused: where documents that were not let in go, with their reason.
+    """
     spark = stream.sparkSession
-    fields = [f for f in stream.schema.fields]
-    store_schema = StructType(fields).add("sha256", "string").add("size", "integer")
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        known = _read_store(spark, store, store_schema)
-        fresh = with_fingerprint(batch.where(valid), text)
-        # copies inside one batch count once
-        fresh = changed(fresh, known, doc).dropDuplicates([doc, "sha256"])
-        fresh.write.mode("append").parquet(store)
+        judged = batch.withColumn("_v", verdict)
+        here = _number(spark, store, checkpoint, batch_id)
+        known = _read_store(spark, store, stream.schema[doc].dataType.simpleString(), doc).where(F.col("batch") < here)
+        fresh = with_fingerprint(judged.where(F.col("_v.ok")).drop("_v"), text)
+        fresh = changed(newest_versions(fresh, doc, "size"), known, doc, "batch")
+        fresh.write.mode("overwrite").parquet(f"{store}/batch={here}")
+        if refused:
+            judged.where(~F.col("_v.ok")).select(*batch.columns, "_v.reason").write.mode("overwrite").parquet(f"{refused}/batch={here}")
 
     stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _read_store(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def _number(spark: SparkSession, store: str, checkpoint: str, batch_id: int) -> int:
+    """Number of a batch in the store: batches of a new checkpoint follow those that the store has from others."""
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = context.Path(f"{checkpoint}/first-batch")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        top = context.Path(store)
+        taken = [s.getPath().getName() for s in files.listStatus(top)] if files.exists(top) else []
+        first = 1 + max([int(n.split("=")[1]) for n in taken if n.startswith("batch=")], default=-1)
+        spark.range(first, first + 1, 1, 1).write.parquet(f"{checkpoint}/first-batch")
+    return spark.read.parquet(f"{checkpoint}/first-batch").first()[0] + batch_id
+
+
+def _read_store(spark: SparkSession, path: str, doc_type: str, doc: str) -> DataFrame:
+    """Fingerprints of the store; no rows where there is none yet."""
+    schema = f"{doc} {doc_type}, sha256 string, size int, batch long"
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def newest_intake(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(store)
+def newest_intake(spark: SparkSession, store: str, doc: str) -> DataFrame:
+    """The newest stored version of every document."""
+    return newest_versions(spark.read.parquet(store), doc, "batch").drop("batch")
 
 
 def fold_columns(progress: str, status: str, time: str, tie: str) -> list[Column]:

@@ -4,8 +4,9 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from peerlens.plans import catalog
 
-QUERIES, SQLS = entry.queries(), entry.oracle_sql()
+QUERIES, SQLS = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +19,7 @@ def test_entry(spark):
 
 
 def test_names():
+    assert QUERIES.items() <= entry.queries().items() and SQLS.items() <= entry.oracle_sql().items()
     assert set(SQLS) <= set(QUERIES)
     assert set(QUERIES) - set(SQLS) == {"provenance"}
 

@@ -9,18 +9,27 @@ def test_intake_twice_and_changed(spark, tmp_path):
     src, store = str(tmp_path / "in"), str(tmp_path / "store")
     schema = "doc int, text string"
     spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], schema).coalesce(1).write.parquet(src)
-    valid = F.col("text") != "bad"
+    bad = F.col("text") == "bad"
+    gate = F.struct((~bad).alias("ok"), F.when(bad, "bad text").alias("reason"))
 
     def run(checkpoint):
         stream = jobs.file_stream(spark, src, "*.parquet", spark.read.parquet(src).schema, 1)
-        jobs.intake(stream, "doc", "text", valid, store, str(tmp_path / checkpoint))
+        jobs.intake(stream, "doc", "text", gate, store, str(tmp_path / checkpoint), str(tmp_path / "refused"))
         return sorted((r.doc, r.text) for r in spark.read.parquet(store).collect())
 
+    def add(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(src)
+
     assert run("c1") == [(1, "a"), (2, "b")]
     assert run("c1") == [(1, "a"), (2, "b")]
     assert run("c2") == [(1, "a"), (2, "b")]
-    spark.createDataFrame([(1, "a"), (2, "b2"), (3, "bad")], schema).coalesce(1).write.mode("append").parquet(src)
+    add((1, "a"), (2, "b2"), (3, "bad"))
     assert run("c1") == [(1, "a"), (2, "b"), (2, "b2")]
+    assert [(r.doc, r.reason) for r in spark.read.parquet(str(tmp_path / "refused")).collect()] == [(3, "bad text")]
+    newest = lambda: sorted((r.doc, r.text) for r in jobs.newest_intake(spark, store, "doc").collect())
+    assert newest() == [(1, "a"), (2, "b2")]
+    add((2, "b"))  # put back to the first version
+    assert run("c1") == [(1, "a"), (2, "b"), (2, "b"), (2, "b2")] and newest() == [(1, "a"), (2, "b")]
 
 
 def test_progress_in_batches(spark, sf_dir, tmp_path):
