@@ -63,6 +63,32 @@ FORM_PATTERNS = {
     "NL-41": r"FORM\s+NL-41",
 }
 
+# fixed values: wordings of period headers
+CUMULATIVE_WORDS = ["up to", "upto", "period ended", "year ended"]
+QUARTER_WORDS = ["for the quarter", "for the corresponding quarter"]
+PERIOD_WORDS = ["for the period", "for the corresponding period"]
+SNAPSHOT_WORDS = ["as at", "as on"]
+UPTO_WORDS = ["up to the quarter", "up to the corresponding quarter", "up to the period", "up to the corresponding period",
+              "upto the quarter", "upto the corresponding quarter", "upto the period", "upto the corresponding period"]
+YEAR_WORDS = ["for the year", "for the corresponding year", "up to the year", "up to the corresponding year", "upto the year",
+              "upto the corresponding year"]
+LAST_YEAR_WORDS = ["previous", "corresponding"]
+
+# fixed values: row labels
+IT_WORDS = ["information technology", "it equip", "computer", "software", "website", "intangible"]
+NOT_IT_WORDS = ["goodwill", "work in progress", "total", "previous"]
+OFFICE_WORDS = {
+    "opening": ["office at the beginning", "offices at the beginning"],
+    "closing": ["branches at the end", "offices at the end"]}
+ON_ROLL_WORDS = ["on roll", "on-roll", "onroll"]
+CLAIM_STEP_WORDS = {
+    "start": ["o/s at the begin"], "reported": ["reported during"], "settled": ["settled during"],
+    "repudiated": ["repudiated during"], "end": ["o/s at end"]}
+AGEING_WORDS = ["less than 3", "3 month to 6", "3 months to 6", "6 month to 1", "6 months to 1", "1 year and above", "1 period and above"]
+
+# fixed values: ratings and maturities of a portfolio
+RATINGS = ["Sovereign", "AAA rated", "AA or better", "Rated below AA but above A", "Rated below A"]
+
 
 def dimension_rows(groups: dict[str, list[str]]) -> list[tuple[str, str]]:
     """(member, group) rows of a mapping above, in its order."""

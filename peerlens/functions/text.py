@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,12 @@ def identifier(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[^0-9a-zA-Z]+", "_"), "^_+|_+$", "")
 
 
+def any_of(phrases: list[str], whole: bool = False) -> str:
+    """Pattern of texts that hold one of the phrases, in any case and spacing, from a word's start (whole: to its end)."""
+    worded = ["\\s+".join(re.escape(w) for w in p.split()) for p in phrases]
+    return rf"(?i)\b(?:{'|'.join(worded)})" + (r"\b" if whole else "")
+
+
 def slug(text: Column) -> Column:
     return F.replace(F.replace(F.lower(text), F.lit(" "), F.lit("-")), F.lit("&"), F.lit("and"))
 

@@ -177,7 +177,7 @@ def rpt_17(spark, sf_dir):
 
 
 # portfolios: order lines by the supplier's nation and a property of the part or line
-RATINGS = ["Sovereign", "AAA rated", "AA or better", "Rated below AA but above A", "Rated below A"]
+RATINGS = fixed.RATINGS
 MATURITIES = ["Up to 1 year", "More than 1 year and upto 3 years", "More than 3 years and upto 7 years", "More than 7 years and upto 10 years", "Above 10 years"]
 MATURITY_ENDS = [5, 15, 25, 40]
 BUCKETS = list(fixed.CODE_BUCKETS)
