@@ -4,15 +4,16 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 UTF-8 bytes; strings never cross texts and are judged on the input, not on what is left.
 
 1. Anchors. Of the GRAM-byte strings inside every LENGTH bytes the one of least hash (leftmost of equals) is an anchor:
-   equal strings of LENGTH bytes have the same anchor at the same place, and about one place in 185 is one. All strings
+   equal strings of LENGTH bytes have the same anchor at the same place, and about one place in 101 is one. All strings
    with an anchor in common lie in its window, from LENGTH - GRAM bytes before it to LENGTH bytes after its start.
 2. Classes. Windows of one anchor that are equal as a whole are one class, counted before anything is moved. A class
    with several members repeats all over. Anchors that occur once need nothing more.
-3. Shards. One window of each class of an anchor with several classes goes, with its bytes, to the shard of the anchor.
+3. Shards. One window of each class of an anchor with several classes, one of them of a single member, goes, with its bytes, to the shard of the anchor.
    A shard gets a suffix array by Larsson-Sadakane refinement (groups of equal prefixes split by the group that follows
    them, the prefix doubling every round), common prefixes by Kasai's method, all windows in step, and the runs of
-   suffixes that share LENGTH bytes. An anchor with more classes than a shard holds has several shards, which are merged
-   two by two: the suffixes of one are looked up in the array of the other by binary search.
+   suffixes that share LENGTH bytes. An anchor with more classes than a shard holds has several shards, split by text. Each
+   gives out its different strings, sorted; these are dealt by value, and the strings of one shard are looked up by binary
+   search among those merged before. The cost is linear in the number of shards.
 4. The spans of each text are joined and cut out.
 
 A text is known by a 64-bit hash of id and bytes. Null texts are empty; null ids are kept as they are. Repeated rows are
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +32,8 @@ from ..session import written_table
 from .arrow_text import by_bytes, inverse, mixed, powers, unpacked, utf8
 
 LENGTH = 400
-GRAM = 32
-SHARD = 2_000_000  # bytes of windows in a shard, about
+GRAM = 200
+SHARD = 4_000_000  # bytes of windows in a shard, about
 PIECE = 1 << 19  # bytes of a text worked on at once
 _BASE = 0xD6E8FEB86659FD93
 _PLACE = np.uint64((1 << 20) - 1)
@@ -98,30 +99,45 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     Windows are told apart by what follows them, so no two suffixes are equal.
     """
     n = len(text)
-    at = np.arange(n)
-    symbols = np.zeros(n + 7, np.uint64)
-    symbols[:n] = text.astype(np.uint64) + np.uint64(1)
+    at, ends = np.arange(n, dtype=np.int32), ends.astype(np.int32)
+    used = np.flatnonzero(np.bincount(text, minlength=256))
+    code = np.zeros(256, np.uint64)
+    code[used] = np.arange(1, len(used) + 1)
+    bits = int(len(used)).bit_length()
+    h = 63 // bits  # as many first bytes as one number holds
+    symbols = np.zeros(n + h, np.uint64)
+    symbols[:n] = code[text]
     packed = np.zeros(n, np.uint64)
-    for k in range(7):  # the first seven bytes, nothing past the end of the window
-        packed = (packed << np.uint64(9)) | np.where(at + k < ends, symbols[k : n + k], 0).astype(np.uint64)
-    order = np.lexsort((ends, packed))  # suffixes shorter than seven bytes are told apart by their window
-    key, short = packed[order], (ends - at < 7)[order]
+    for k in range(h):  # nothing past the end of the window
+        packed = (packed << np.uint64(bits)) | np.where(at + k < ends, symbols[k : n + k], np.uint64(0))
+    order = np.argsort(packed).astype(np.int32)
+    few = np.flatnonzero((ends - at < h)[order])  # suffixes shorter than that are told apart by their window
+    order[few] = order[few][np.lexsort((ends[order[few]], packed[order[few]]))]
+    key, short = packed[order], (ends - at < h)[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (short[1:] & short[:-1])])
-    group, h = np.empty(n, np.int64), 7
+    group = np.empty(n, np.int32)
+    where = None  # places of suffixes in groups that are not yet single
     while True:
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, n))
-        group[order] = np.repeat(starts + sizes - 1, sizes)  # a group is known by its last place
-        where = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        if where is None:
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, n))
+            group[order] = np.repeat(starts + sizes - 1, sizes)  # a group is known by its last place
+            where = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        else:
+            starts = np.flatnonzero(new[where])  # every group here lies in `where` as a whole
+            sizes = np.diff(np.append(starts, len(where)))
+            group[order[where]] = np.repeat(where[starts] + sizes - 1, sizes)
+            where = where[np.repeat(sizes > 1, sizes)]
         if not len(where):
             return order, group
         who = order[where]
-        following = np.where(who + h < ends[who], group[np.minimum(who + h, n - 1)] + n + 1, ends[who])
-        sort = np.lexsort((following, group[who]))
-        who, following = who[sort], following[sort]
-        order[where] = who
-        own = group[who]
-        new[where] = np.concatenate([[True], (own[1:] != own[:-1]) | (following[1:] != following[:-1])])
+        follower, stop = who + h, ends[who]
+        following = np.where(follower < stop, group[np.minimum(follower, n - 1)] + (n + 1), stop)
+        both = (group[who].astype(np.int64) << 32) | following
+        sort = np.argsort(both)
+        both = both[sort]
+        order[where] = who[sort]
+        new[where] = np.concatenate([[True], both[1:] != both[:-1]])
         h *= 2
 
 
@@ -177,50 +193,21 @@ class Shard:
         else:
             self.low = self.high = self.place
         self.repeats = self.low != self.high
-        self.found = np.zeros(len(self.order), bool)  # suffixes seen in another shard
-
-    def _words(self) -> np.ndarray:
-        """The eight bytes from each place on, as a number in the order of the bytes."""
-        padded = np.concatenate([self.text, np.zeros(8, np.uint8)]).astype(np.uint64)
-        out = np.zeros(len(self.text), np.uint64)
-        for k in range(8):
-            out = (out << np.uint64(8)) | padded[k : k + len(self.text)]
-        return out
-
-    def merge(self, other: Shard) -> None:
-        """Looks up the suffixes of another shard by binary search; marks what repeats over the two, in both."""
-        if not len(self.order) or not len(other.order):
-            return
-        steps = [*range(0, self.length - 7, 8), *([self.length - 8] if self.length % 8 else [])]
-        mine, theirs = self._words(), other._words()
-
-        def compare(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            """-1, 0 or 1 as suffixes a of the other shard come before, equal or come after suffixes b of this one."""
-            out, open_ = np.zeros(len(a), np.int8), np.arange(len(a))
-            for k in steps:
-                x, y = theirs[a[open_] + k], mine[b[open_] + k]
-                out[open_] = np.where(x < y, -1, np.where(x > y, 1, 0))
-                open_ = open_[x == y]
-                if not len(open_):
-                    break
-            return out
-
-        low, high = np.zeros(len(other.order), np.int64), np.full(len(other.order), len(self.order))
-        while (live := np.flatnonzero(low < high)).size:
-            middle = (low[live] + high[live]) // 2
-            after = compare(other.order[live], self.order[middle]) > 0
-            low[live] = np.where(after, middle + 1, low[live])
-            high[live] = np.where(after, high[live], middle)
-        there = np.flatnonzero(low < len(self.order))
-        there = there[compare(other.order[there], self.order[low[there]]) == 0]
-        run = self.run[low[there]]
-        apart = (self.low[run] != other.place[there]) | (self.high[run] != other.place[there])
-        other.found[there[apart]] = True
-        self.found |= np.isin(self.run, run[apart])
+
+    def strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, first suffix) of each run: the different strings of `length` bytes, in order of the hash."""
+        if not len(self.order):
+            return np.zeros(0, np.uint64), self.order
+        first = self.order[np.flatnonzero(np.concatenate([[True], self.run[1:] != self.run[:-1]]))]
+        n = len(self.text)
+        up, down = powers(_BASE, n + 1), powers(inverse(_BASE), n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((self.text.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        return mixed((sums[first + self.length] - sums[first]) * down[first]), first
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, start, end) of the runs of bytes that repeat, as places in the texts' windows."""
-        hit = self.order[self.repeats[self.run] | self.found] if len(self.order) else self.order
+        hit = self.order[self.repeats[self.run]] if len(self.order) else self.order
         edge = np.zeros(len(self.text) + 1, np.int64)
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + self.length, -1)
@@ -289,21 +276,63 @@ def _in_shard(length: int):
     return run
 
 
-def _over_shards(length: int):
+def _strings_of(length: int, parts: int):
+    """Of a shard that is one of several of its anchor: its own spans (part null), and for every different string its
+    hash, its place if it has but one (did, start), and the number of the shard, packed by part of the hashes."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        shard, did, start, n = _shard_of(rows, length)
+        own = _span_rows(shard, did, start, n)
+        hashes, first = shard.strings()
+        window = np.searchsorted(shard.windows, first, "right") - 1
+        place = start[window] + first - shard.windows[window]
+        lone = (shard.low == shard.high) & (n[window] == 1)
+        part = hashes % np.uint64(parts)
+        key = np.full(len(hashes), rows["key"][0].as_py(), np.int64)
+        out = []
+        for k in np.unique(part).tolist():
+            at = np.flatnonzero(part == k)
+            at = at[np.argsort(hashes[at])]
+            out.append((k, rows["sub"][0].as_py(), *(x.tobytes() for x in (key[at], hashes[at], did[window[at]], place[at], lone[at].astype(np.uint8)))))
+        empty = pa.nulls(len(own))
+        cols = [pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)] + [pa.array([r[k] for r in out], pa.binary()) for k in range(2, 7)]
+        names = ["part", "sub", "keys", "hashes", "dids", "places", "lone"]
+        spans = pa.table({**{c: empty.cast(x.type) for c, x in zip(names, cols)}, "did": own["did"], "start": own["start"], "stop": own["stop"]})
+        strings = pa.table({**dict(zip(names, cols)), **{c: pa.nulls(len(out), pa.int64()) for c in ("did", "start", "stop")}})
+        return pa.concat_tables([spans.select(strings.column_names), strings])
+
+    return run
+
+
+_STRINGS = "part long, sub long, keys binary, hashes binary, dids binary, places binary, lone binary, did long, start long, stop long"
+
+
+def _merged(length: int):
+    """Spans of the strings that two shards have: each shard's sorted strings are looked up in those merged before it."""
+
     def run(rows: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        low = rows["low"][0].as_py()
-        did = rows["did"].to_numpy()
-        _, doc = np.unique(did, return_inverse=True)
-        rows = rows.append_column("doc", pa.array(doc))
-        made = []
-        for part in (rows.filter(pc.equal(rows["sub"], low)), rows.filter(pc.not_equal(rows["sub"], low))):
-            data, sizes = unpacked(part["data"], np.uint8)
-            made.append((Shard(data, sizes, part["doc"].to_numpy(), part["start"].to_numpy(), length), part))
-        made[0][0].merge(made[1][0])
-        return pa.concat_tables([
-            _span_rows(shard, part["did"].to_numpy(), part["start"].to_numpy(), part["n"].to_numpy()) for shard, part in made])
+        kinds = dict(keys="<i8", hashes="<u8", dids="<i8", places="<i8", lone="u1")
+        names, seen, owner = np.zeros(0, np.uint64), np.zeros(0, bool), []
+        lists = []
+        for i in range(len(rows)):
+            col = {c: np.frombuffer(rows[c][i].as_py(), t) for c, t in kinds.items()}
+            name = mixed(col["hashes"] ^ col["keys"].view(np.uint64))
+            order = np.argsort(name)
+            lists.append({c: x[order] for c, x in col.items()} | {"name": name[order]})
+        for own in lists:
+            at = np.searchsorted(names, own["name"])
+            known = (at < len(names)) & (names[np.minimum(at, max(0, len(names) - 1))] == own["name"]) if len(names) else np.zeros(len(own["name"]), bool)
+            seen[at[known]] = True
+            fresh = own["name"][~known]
+            into = np.searchsorted(names, fresh)
+            names, seen = np.insert(names, into, fresh), np.insert(seen, into, False)
+        did, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for own in lists:
+            hit = seen[np.searchsorted(names, own["name"])] & (own["lone"] == 1)
+            did.append(own["dids"][hit])
+            start.append(own["places"][hit])
+        did, start = np.concatenate(did), np.concatenate(start)
+        return pa.table({"did": did, "start": start, "stop": start + length})
 
     return run
 
@@ -313,15 +342,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     spark = docs.sparkSession
     spots = written_table(docs.mapInArrow(_spots(length, gram), "did long, spot long, key long, window long"), "repeat-spots")
     classes = spots.groupBy("key", "window").agg(F.count("*").alias("n"), F.min(F.struct("did", "spot")).alias("at"))
-    of_key = Window.partitionBy("key")
-    classes = classes.select("key", "window", "n", F.count("*").over(of_key).alias("classes"), F.sum("n").over(of_key).alias("total"), "at.did", "at.spot")
-    classes = written_table(classes.where("total > 1").drop("total"), "repeat-classes")
+    classes = classes.select("key", "window", "n", "at.did", "at.spot")
+    several = classes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.min("n").alias("fewest")).where("total > 1").drop("total")
+    classes = written_table(classes.join(several, "key"), "repeat-classes")
 
     place, left, right = F.shiftright("spot", 20), F.shiftright("spot", 10).bitwiseAND(1023), F.col("spot").bitwiseAND(1023)
     whole = classes.where(F.col("n") > 1).where(left + right >= length).select("key", "window")
     spans = spots.join(whole, ["key", "window"]).select("did", (place - left).alias("start"), (place + right).alias("stop"))
 
-    several = classes.where("classes > 1")
+    several = classes.where("classes > 1 and fewest = 1")  # classes of several members repeat as they are
     wanted = several.groupBy("did").agg(F.collect_list(F.struct("key", "window", "n", "spot")).alias("wanted"))
     texts = docs.join(wanted, "did").select("did", "text", "wanted")
     windows = texts.mapInArrow(_fetched, "key long, window long, n long, did long, start long, data binary")
@@ -336,11 +365,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         large = several.where(F.col("classes") > most).groupBy("key").agg(F.first("classes").alias("classes"))
         windows = written_table(windows, "repeat-windows")
         light = windows.join(large.select("key"), "key", "left_anti")
-        heavy = windows.join(large, "key").withColumn("m", F.ceil(F.col("classes") / most))
-        heavy = heavy.withColumn("sub", F.pmod(F.xxhash64("window"), "m"))
-        heavy = heavy.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).where("other <> sub")
-        heavy = heavy.select("key", F.least("sub", "other").alias("low"), F.greatest("sub", "other").alias("high"), "sub", *columns)
-        spans = spans.union(heavy.groupBy("key", "low", "high").applyInArrow(_over_shards(length), schema))
+        heavy = windows.join(large, "key").withColumn("sub", F.pmod(F.xxhash64("did"), F.ceil(F.col("classes") / most)))
+        heavy = heavy.select("key", "sub", *columns).groupBy("key", "sub").applyInArrow(_strings_of(length, shards), _STRINGS)
+        heavy = written_table(heavy, "repeat-strings")
+        spans = spans.union(heavy.where("part is null").select("did", "start", "stop"))
+        spans = spans.union(heavy.where("part is not null").groupBy("part").applyInArrow(_merged(length), schema))
     light = light.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), *columns)
     spans = spans.union(light.groupBy("shard").applyInArrow(_in_shard(length), schema))
     return spans.distinct().groupBy("did").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

@@ -111,20 +111,21 @@ def test_suffix_array_and_common_prefixes(seed):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_merge_equals_one_shard(seed):
-    parts = random_windows(seed, "abc") + random_windows(seed + 50, "abc")
+def test_strings_of_shards_merge_to_what_one_shard_has(seed):
+    import pyarrow as pa
 
-    def shard(which, length=9):
-        text = np.frombuffer("".join(parts[i] for i in which).encode(), np.uint8)
-        return sd.Shard(text, np.array([len(parts[i]) for i in which]), np.array(which), np.zeros(len(which), np.int64), length)
+    parts = [p * 3 for p in random_windows(seed, "abc") + random_windows(seed + 50, "abc")]
+    rows = lambda which: pa.table({
+        "key": [1] * len(which), "sub": [which[0] % 2] * len(which), "n": [1] * len(which), "did": list(which), "start": [0] * len(which),
+        "data": pa.array([parts[i].encode() for i in which], pa.binary())})
 
-    def marked(s, which):
-        return {(which[w], p) for w, a, b in zip(*s.spans()) for p in range(a, b)}
+    def marked(table):
+        return {(d, p) for d, a, b in zip(*(table[c].to_pylist() for c in ("did", "start", "stop"))) for p in range(a, b)}
 
-    half = list(range(0, len(parts), 2)), list(range(1, len(parts), 2))
-    a, b, both = shard(half[0]), shard(half[1]), shard(list(range(len(parts))))
-    a.merge(b)
-    assert marked(a, half[0]) | marked(b, half[1]) == marked(both, list(range(len(parts))))
+    halves = [sd._strings_of(9, 1)(rows(list(range(k, len(parts), 2)))) for k in (0, 1)]
+    both = pa.concat_tables(halves)
+    own, strings = both.filter(pa.compute.is_null(both["part"])), both.filter(pa.compute.is_valid(both["part"]))
+    assert marked(own) | marked(sd._merged(9)(strings)) == marked(sd._in_shard(9)(rows(list(range(len(parts))))))
 
 
 def test_every_document(spark, sf_dir):
