@@ -27,11 +27,14 @@ WITH f AS (
     price * (CAST(1 AS DECIMAL(4,2)) - disc) - 2 * CASE WHEN l_linestatus = 'O' THEN price * (CAST(1 AS DECIMAL(4,2)) - disc) ELSE 0 END - price * tax AS pbt,
     CAST(1 AS DECIMAL(18,4)) AS lines
   FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_discount AS DECIMAL(4,2)) AS disc, CAST(l_tax AS DECIMAL(4,2)) AS tax FROM lineitem)
-  JOIN orders ON l_orderkey = o_orderkey WHERE quarter(o_orderdate - INTERVAL 3 MONTH) <= 3)
+  JOIN orders ON l_orderkey = o_orderkey WHERE quarter(o_orderdate - INTERVAL 3 MONTH) <= (l_suppkey // 3) % 4 + 1)
 , filed AS (SELECT *, fy0 + s AS fy, s = 0 AS now FROM f, (VALUES (0), (1)) t(s))
 , docs AS (SELECT DISTINCT doc, fy FROM filed)"""
 
 
+OWN_QUARTER = "q = (doc // 3) % 4 + 1"
+
+
 def fig(m: str, now: bool, extra: str = "true") -> str:
     """Printed figure of a measure: cumulative, two decimals, zero when nothing."""
     return f"coalesce(CAST(round(SUM({m}) FILTER ({'now' if now else 'NOT now'} AND {extra}), 2) AS DOUBLE), 0)"
@@ -76,7 +79,7 @@ def grid_headers(spark, sf_dir):
 
 
 @query("grid_decorative", FILINGS + """
-SELECT doc, fy, CASE WHEN doc % 5 = 2 THEN 1 ELSE 0 END + CASE WHEN doc % 5 <> 3 THEN 0 ELSE 0 END AS decorative FROM docs""")
+SELECT doc, fy, CASE WHEN doc % 5 = 2 THEN 1 ELSE 0 END AS decorative FROM docs""")
 def grid_decorative(spark, sf_dir):
     rows = staged(render.statement_grid, spark, sf_dir)
     caption = grid.is_decorative(F.col("cells")) & grid.mentions(F.col("cells"), ["revenue account"], ["premium"])
@@ -146,7 +149,7 @@ def channel_column_issues(spark, sf_dir):
 
 
 @query("grid_blocks", FILINGS + """
-, n AS (SELECT doc, fy, now, q = 3 AS last, CAST(SUM(CASE WHEN status = 'O' THEN lines ELSE 0 END) AS DOUBLE) AS n, flag, SUM(claims) AS a FROM filed GROUP BY ALL)
+, n AS (SELECT doc, fy, now, q = (doc // 3) % 4 + 1 AS last, CAST(SUM(CASE WHEN status = 'O' THEN lines ELSE 0 END) AS DOUBLE) AS n, flag, SUM(claims) AS a FROM filed GROUP BY ALL)
 , t AS (SELECT doc, fy, flag, SUM(n) FILTER (now) AS n, round(SUM(a) FILTER (now), 2) AS a FROM n GROUP BY ALL)
 , y AS (SELECT doc, fy, SUM(n) AS claims, CAST(SUM(a) FILTER (n > 0) AS DOUBLE) AS amount FROM t GROUP BY ALL)
 SELECT doc, fy, claims, amount, round(amount * 1e5::DOUBLE / claims, 2) AS claim_size FROM y WHERE claims > 0""")
@@ -265,7 +268,8 @@ def filing_json(spark, sf_dir):
     stored = filings.table_rows(filings.read_filings(spark, path), "company")
     part = lambda n: F.split_part("company", F.lit("/"), F.lit(n))
     stored = grid.pages_with_form(stored, "NL-1").select(
-        part(1).cast("bigint").alias("doc"), part(2).cast("int").alias("fy"), F.lit(3).alias("quarter"), "page", "tbl", "r", "cells")
+        part(1).cast("bigint").alias("doc"), part(2).cast("int").alias("fy"), "page", "tbl", "r", "cells")
+    stored = stored.withColumn("quarter", render.filing_quarter())
     return items.income_statement(stored, ["doc", "fy"])
 
 

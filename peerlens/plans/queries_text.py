@@ -10,7 +10,7 @@ from ..functions.periods import normalize_fy, two_digits
 from ..operators import items, lines
 from ..sources.tables import read_table
 from . import render_filings as render
-from .queries_grid import FILINGS, fig
+from .queries_grid import FILINGS, OWN_QUARTER, fig
 from .registry import query, staged
 
 TEXT_ITEMS = [("10 Gross Premium NL-4", "gross"), ("11 Claims Incurred (Net) NL-5", "claims"), ("12 Commission NL-6", "commission"),
@@ -33,9 +33,9 @@ def text_pages(spark, sf_dir):
         t = F.when(torn, F.regexp_replace(F.regexp_replace(t, ",(\\d{3}\\.)", " ,$1"), r"\.", " .")).otherwise(t)
         return F.when(v < 0, F.concat(F.lit("( "), t, F.lit(")"))).when(v == 0, F.lit("-")).otherwise(t)
 
-    cur, prior = F.col("fy"), F.col("fy") - 1
-    y = lambda e: F.concat(F.lit("31st Dec, "), e.cast("string"))
-    s = lambda e: F.concat(F.lit("31-Dec-"), two_digits(e))
+    cur, prior = render.closes_in(), render.closes_in() - 1
+    y = lambda e: render.closing_day("ordinal", e)
+    s = lambda e: render.closing_day("short", e)
     up, fo = "Upto the quarter", "For the quarter"
     wide_order = style != 1
     labels = F.when(wide_order, F.lit(f"{up} {fo} {up} {fo}")).otherwise(F.lit(f"{up} {fo} {fo} {up}"))
@@ -50,7 +50,7 @@ def text_pages(spark, sf_dir):
         return F.concat_ws(" ", F.lit(label), cc, cq, F.when(wide_order, pc).otherwise(pq), F.when(wide_order, pq).otherwise(pc))
 
     text = F.concat_ws("\n", F.lit("FORM NL-2-B-PL"), F.lit("PROFIT AND LOSS ACCOUNT"), header, *[item(n, m) for n, m in TEXT_ITEMS], F.lit("Page 1"))
-    return base.select("doc", "fy", F.lit(3).alias("quarter"), F.lit(1).alias("page"), text.alias("text"))
+    return base.select("doc", "fy", render.filing_quarter().alias("quarter"), F.lit(1).alias("page"), text.alias("text"))
 
 
 LABELS = {"gross": [["Gross Direct Premium"], ["Gross Premium"]], "claims": [["Claims Incurred", "(Net)"]], "commission": [["Commission"]],
@@ -74,7 +74,7 @@ def text_group_sum(spark, sf_dir):
 
 
 @query("text_column_order", FILINGS + """
-SELECT doc, fy, 0 AS cur_n, CASE WHEN doc % 4 = 1 THEN 3 ELSE 2 END AS prior_n, doc % 4 = 3 OR doc % 4 = 1 AND false AS by_order FROM docs""")
+SELECT doc, fy, 0 AS cur_n, CASE WHEN doc % 4 = 1 THEN 3 ELSE 2 END AS prior_n, doc % 4 = 3 AS by_order FROM docs""")
 def text_column_order(spark, sf_dir):
     return lines.period_columns(staged(text_pages, spark, sf_dir)).select("doc", "fy", "cur_n", "prior_n", "by_order")
 
@@ -85,7 +85,7 @@ def resolution_issues(spark, sf_dir):
     return lines.unresolved(lines.period_columns(staged(text_pages, spark, sf_dir)), ["doc", "fy"])
 
 
-@query("line_total", FILINGS + f" SELECT doc, fy, {fig('gross', False, 'q = 3') } AS total FROM filed GROUP BY doc, fy")
+@query("line_total", FILINGS + f" SELECT doc, fy, {fig('gross', False, OWN_QUARTER) } AS total FROM filed GROUP BY doc, fy")
 def line_total(spark, sf_dir):
     # the last figure of the line: last year's quarter, but for filers that swap the pair
     pages = lines.with_lines(staged(text_pages, spark, sf_dir))

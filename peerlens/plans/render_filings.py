@@ -1,4 +1,6 @@
-"""Filings rendered from order lines: one per supplier and fiscal year, closing with the third quarter.
+"""Filings rendered from order lines: one per supplier and fiscal year, closing with one of the four quarters.
+
+Which quarter a supplier files for follows from its number; a filing holds the lines of its year up to that quarter.
 
 The numbers are plain aggregates; what varies is how they are printed (five layouts by supplier number),
 so that reading a filing back must give the aggregates again, whatever its layout.
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.periods import fiscal_quarter, fiscal_year, two_digits
+from ..functions.periods import closing_month, closing_year, fiscal_quarter, fiscal_year, two_digits
 from ..sources.tables import read_table
 from .panel import line_measures
 
@@ -22,6 +24,28 @@ GRID_ITEMS = [
 KEYS = ["doc", "fy", "page", "tbl"]
 
 
+def filing_quarter() -> Column:
+    """The quarter that a supplier files for."""
+    return (F.floor(F.col("doc") / 3) % 4 + 1).cast("int")
+
+
+def closes_in() -> Column:
+    """Calendar year that this year's filing closes in."""
+    return closing_year(F.col("fy"), filing_quarter())
+
+
+def closing_day(style: str, year: Column) -> Column:
+    """The closing day as filers write it: 'December 31, 2025', '31st Dec, 2025' or '31-Dec-25'."""
+    day = F.element_at(F.array(*[F.lit(d) for d in ("30", "30", "31", "31")]), filing_quarter())
+    month, y = closing_month(filing_quarter()), year.cast("string")
+    mon = F.substring(month, 1, 3)
+    if style == "long":
+        return F.concat(month, F.lit(" "), day, F.lit(", "), y)
+    if style == "ordinal":
+        return F.concat(day, F.when(day == "31", "st ").otherwise("th "), mon, F.lit(", "), y)
+    return F.concat_ws("-", day, mon, two_digits(year))
+
+
 def line_facts(spark, sf_dir, extra: dict[str, Column] | None = None) -> DataFrame:
     """doc, fy, q, seg and other keys per order line, with the line's measures in units of 1e-4."""
     m = line_measures()
@@ -37,7 +61,7 @@ def line_facts(spark, sf_dir, extra: dict[str, Column] | None = None) -> DataFra
     orders = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("okey"), F.col("o_orderpriority").alias("channel"),
         fiscal_year("o_orderdate").alias("fy"), fiscal_quarter("o_orderdate").alias("q"))
-    out = lines.join(orders, "okey").where(F.col("q") <= 3)
+    out = lines.join(orders, "okey").where(F.col("q") <= filing_quarter())
     return out.withColumns(extra) if extra else out
 
 
@@ -48,7 +72,7 @@ def figures(facts: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
     """
     yearly = facts.groupBy("doc", "fy", "q", *by).agg(*[F.sum(m).alias(m) for m in measures])
     twice = yearly.withColumn("_s", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("fy", F.col("fy") + F.col("_s"))
-    cur, last = F.col("_s") == 0, F.col("q") == 3
+    cur, last = F.col("_s") == 0, F.col("q") == filing_quarter()
     tests = {"cc": cur, "cq": cur & last, "pc": ~cur, "pq": ~cur & last}
     total = lambda m, t: F.round(
         (F.sum(F.when(t, F.col(m)).otherwise(0).cast("decimal(19,0)")) / 10_000).cast("decimal(24,4)"), 2).cast("decimal(24,2)")
@@ -66,10 +90,10 @@ def printed(v: Column, split: Column | None = None) -> Column:
 
 def period_text(style: Column, cumulative: bool, year: Column) -> Column:
     """The header wording differs by filer: three spellings."""
-    y, yy = year.cast("string"), two_digits(year)
-    a = F.concat(F.lit("Upto the quarter ended December 31, " if cumulative else "For the quarter ended December 31, "), y)
-    b = F.concat(F.lit("For The Period Ended December 31, " if cumulative else "For The Quarter Ended December 31, "), y)
-    c = F.concat(F.lit("Up to the quarter 31-Dec-" if cumulative else "For the quarter 31-Dec-"), yy)
+    long = closing_day("long", year)
+    a = F.concat(F.lit("Upto the quarter ended " if cumulative else "For the quarter ended "), long)
+    b = F.concat(F.lit("For The Period Ended " if cumulative else "For The Quarter Ended "), long)
+    c = F.concat(F.lit("Up to the quarter " if cumulative else "For the quarter "), closing_day("short", year))
     return F.when(style == 1, b).when(style == 4, c).otherwise(a)
 
 
@@ -89,7 +113,7 @@ def statement_grid(spark, sf_dir) -> DataFrame:
         F.struct(F.lit(n).alias("item_no"), F.lit(label).alias("label"), F.col(m).alias("v"))
         for n, (label, m) in enumerate(GRID_ITEMS)])))
     twice = items.withColumn("_s", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("fy", F.col("fy") + F.col("_s"))
-    cur, last = F.col("_s") == 0, F.col("q") == 3
+    cur, last = F.col("_s") == 0, F.col("q") == filing_quarter()
     tests = {"cc": cur, "cq": cur & last, "pc": ~cur, "pq": ~cur & last}
 
     def total(t: Column) -> Column:
@@ -105,7 +129,7 @@ def statement_grid(spark, sf_dir) -> DataFrame:
     layout, label = F.col("layout"), F.array(F.col("label"))
 
     def head(k: str) -> Column:
-        year = F.col("fy") if k[0] == "c" else F.col("fy") - 1
+        year = closes_in() if k[0] == "c" else closes_in() - 1
         return F.concat(F.array(period_text(layout, k[1] == "c", year)), F.array_repeat(F.lit(None).cast("string"), 3))
 
     def arranged(of) -> Column:
@@ -137,7 +161,7 @@ def statement_grid(spark, sf_dir) -> DataFrame:
 
     rows = F.when(layout == 3, F.concat(stack(0, ("cc", "cq")), stack(n + 2, ("pc", "pq")))).otherwise(flat)
     return wide.select(
-        "doc", "fy", F.lit(3).alias("quarter"), F.lit(1).alias("page"), F.lit(0).alias("tbl"), F.inline(rows))
+        "doc", "fy", filing_quarter().alias("quarter"), F.lit(1).alias("page"), F.lit(0).alias("tbl"), F.inline(rows))
 
 
 CHANNELS = ["Individual Agents", "Corporate Agents-Banks", "Corporate Agents -Others", "Brokers", "Direct Business", "Web Aggregators"]
@@ -174,7 +198,7 @@ def channel_grid(spark, sf_dir) -> DataFrame:
         return _row(r, F.concat(F.array(F.lit(serial), F.lit(label)), *[pair(k, tag, empty) for k in kinds]))
 
     def head(k: str) -> Column:
-        year = F.col("fy") if k[0] == "c" else F.col("fy") - 1
+        year = closes_in() if k[0] == "c" else closes_in() - 1
         text = period_text(F.lit(0), k[1] == "c", year)
         if k[0] == "p":
             bare = "Upto the corresponding quarter of the previous year" if k[1] == "c" else "For the corresponding quarter of the previous year"
@@ -190,7 +214,7 @@ def channel_grid(spark, sf_dir) -> DataFrame:
         line(9, "6.", "Web Aggregators", "6"), line(10, "", "Total (A)", "all"), line(11, "", "Referral (B)", "all", True),
         line(12, "", "Grand Total (A+B)", "all"),
     ]
-    return wide.select("doc", "fy", F.lit(3).alias("quarter"), F.lit(2).alias("page"), F.lit(0).alias("tbl"), F.inline(F.array(*rows)))
+    return wide.select("doc", "fy", filing_quarter().alias("quarter"), F.lit(2).alias("page"), F.lit(0).alias("tbl"), F.inline(F.array(*rows)))
 
 
 def claims_grid(spark, sf_dir) -> DataFrame:
@@ -212,15 +236,15 @@ def claims_grid(spark, sf_dir) -> DataFrame:
     odd = F.col("doc") % 2 == 1
     title = _row(0, [F.lit("FORM NL-39"), F.lit(None), F.lit(None), F.lit(None)])
     rows = F.when(odd, F.array(title, *block(1, "cc"), *block(6, "cq"))).otherwise(F.array(title, *block(1, "cq"), *block(6, "cc")))
-    return wide.select("doc", "fy", F.lit(3).alias("quarter"), F.lit(3).alias("page"), F.lit(0).alias("tbl"), F.inline(rows))
+    return wide.select("doc", "fy", filing_quarter().alias("quarter"), F.lit(3).alias("page"), F.lit(0).alias("tbl"), F.inline(rows))
 
 
 def balance_grid(spark, sf_dir) -> DataFrame:
     """Point-in-time tables: share capital and application money, and the share premium block."""
     base = figures(line_facts(spark, sf_dir), [], ["gross", "accepted", "value", "ceded", "commission"])
     odd = F.col("doc") % 2 == 1
-    a = F.concat(F.lit("As at December 31, "), F.col("fy").cast("string"))
-    b = F.concat(F.lit("As on 31-Dec-"), two_digits(F.col("fy") - 1))
+    a = F.concat(F.lit("As at "), closing_day("long", closes_in()))
+    b = F.concat(F.lit("As on "), closing_day("short", closes_in() - 1))
     tail = F.lit(None).cast("string")  # a trailing blank column on every form
     cells = lambda label, m: [F.lit(label), F.lit("NL-8"), printed(F.col(f"{m}_cc")), printed(F.col(f"{m}_pc")), tail]
     nl3 = [_row(0, [F.lit("Particulars"), F.lit("Schedule Ref"), a, b, tail]), _row(1, cells("SHARE CAPITAL", "gross")),
@@ -233,7 +257,7 @@ def balance_grid(spark, sf_dir) -> DataFrame:
     opening = [*head, _row(3, line("Opening Balance", "value")), _row(4, line("Add: additions during the year", "commission")), _row(5, less)]
     closing = [*opening, _row(6, line("Closing Balance", "gross"))]
     end = _row(7, [F.lit("4"), F.lit("General Reserves"), F.lit("7.00"), F.lit("7.00"), tail])
-    common = ["doc", "fy", F.lit(3).alias("quarter")]
+    common = ["doc", "fy", filing_quarter().alias("quarter")]
     both = F.array(
         F.struct(F.lit(4).alias("page"), F.lit(0).alias("tbl"), F.array(*nl3).alias("rows")),
         F.struct(F.lit(5).alias("page"), F.lit(0).alias("tbl"),
@@ -255,7 +279,6 @@ def investment_grid(spark, sf_dir) -> DataFrame:
         *[F.sum(f"{m}_{k}").alias(f"{m}_{k}_t") for m in ("gross", "commission") for k in kinds])
     none = F.lit(None).cast("string")
     shift = F.col("doc") % 2 == 1  # a leading blank column on odd filers' forms
-    y = {"cc": F.col("fy"), "pc": F.col("fy") - 1}
 
     def block(k: str, tag: str, printed_yield: bool) -> list[Column]:
         inv, inc = F.col(f"gross_{k}_{tag}"), F.col(f"commission_{k}_{tag}")
@@ -267,13 +290,13 @@ def investment_grid(spark, sf_dir) -> DataFrame:
         plain = F.array(*lead, *[c for b in ks for c in b]).cast("array<string>")
         return F.when(shift, F.concat(F.array(none), plain)).otherwise(plain)
 
-    heads = [[F.concat(F.lit("Year to date (current year) upto December 31, "), y["cc"].cast("string")), none, none, none],
-             [F.concat(F.lit("Year to date (previous year) upto December 31, "), y["pc"].cast("string")), none, none, none]]
+    heads = [[F.concat(F.lit("Year to date (current year) upto "), closing_day("long", closes_in())), none, none, none],
+             [F.concat(F.lit("Year to date (previous year) upto "), closing_day("long", closes_in() - 1)), none, none, none]]
     rows = [_row(0, cells([F.lit("No."), F.lit("Category of Investment"), F.lit("Category Code")], heads))]
     for i, c in enumerate(INVESTMENT_CODES):
         rows.append(_row(1 + i, cells([F.lit(str(i + 1)), F.lit(f"Category {i}"), F.lit(f" {c.lower()} ")], [block(k, str(i), False) for k in kinds])))
     rows.append(_row(1 + len(INVESTMENT_CODES), cells([F.lit("TOTAL"), none, none], [block(k, "t", True) for k in kinds])))
-    return wide.select("doc", "fy", F.lit(3).alias("quarter"), F.lit(6).alias("page"), F.lit(0).alias("tbl"), F.inline(F.array(*rows)))
+    return wide.select("doc", "fy", filing_quarter().alias("quarter"), F.lit(6).alias("page"), F.lit(0).alias("tbl"), F.inline(F.array(*rows)))
 
 
 def small_forms(spark, sf_dir) -> DataFrame:
@@ -322,5 +345,5 @@ def small_forms(spark, sf_dir) -> DataFrame:
     pages = F.array(*[
         F.struct(F.lit(p).alias("page"), F.array(*rows).alias("rows"))
         for p, rows in ((7, assets), (8, offices), (9, grievance), (10, movement))])
-    return wide.select("doc", "fy", F.lit(3).alias("quarter"), F.inline(pages)).select(
+    return wide.select("doc", "fy", filing_quarter().alias("quarter"), F.inline(pages)).select(
         "doc", "fy", "quarter", "page", F.lit(0).alias("tbl"), F.inline("rows"))
