@@ -40,7 +40,7 @@ from .components import components
 WORDS = 5
 SHARE = 80  # percent
 FREQUENT = 8  # classes of one batch from which on a shingle counts as frequent
-BATCH = 4_000_000  # shingles that a task packs at once
+BATCH = 2_000_000  # shingles that a task packs at once
 BUCKET = 2_000_000  # shingles of a bucket, about
 GROUP = 4_000_000  # shared shingles compared in one task, about
 _HOT = np.uint16(65535)
