@@ -392,10 +392,14 @@ def labels_of(sets: DataFrame, share: int = SHARE, group: int = GROUP) -> DataFr
     drawn = first.select(F.col("cls").alias("a"), F.col("label").alias("b")).union(second.select("cls", "label"))
     found = components(drawn, "jaccard-heavy")
     at = written_table(heavy.select("cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce(F.col("component"), F.col("cls")).alias("label")), "jaccard-now")
+    # of each key that lies in several components: its other members, each with all, so a large component is not paired with itself
     key = lists.join(at, "cls")
-    one, two = (key.select("key", F.col("cls").alias(f"cls{i}"), F.col("size").alias(f"size{i}"), F.col("label").alias(f"label{i}")) for i in (1, 2))
-    apart = one.join(two, "key").where(
-        f"label1 <> label2 and cls1 < cls2 and 100 * least(size1, size2) >= {share} * greatest(size1, size2)").select("cls1", "cls2", "size1", "size2").distinct()
+    parts = key.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts"))
+    key = key.join(parts.where("parts > 1").drop("parts"), "key")
+    one, two = (key.select("key", "main", F.col("cls").alias(f"cls{i}"), F.col("size").alias(f"size{i}"), F.col("label").alias(f"label{i}")) for i in (1, 2))
+    apart = one.where("label1 <> main").join(two.drop("main"), "key").where(
+        f"label1 <> label2 and (label2 = main or cls1 < cls2) and 100 * least(size1, size2) >= {share} * greatest(size1, size2)")
+    apart = apart.select("cls1", "cls2", "size1", "size2").distinct()
     pairs = apart.join(sets.select(F.col("cls").alias("cls1"), F.col("keys").alias("keys1")), "cls1").join(
         sets.select(F.col("cls").alias("cls2"), F.col("keys").alias("keys2")), "cls2")
     last = pairs.where(_linked(share)("keys1", "keys2", "size1", "size2")).select(F.col("cls1").alias("a"), F.col("cls2").alias("b"))
