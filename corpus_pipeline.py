@@ -6,6 +6,8 @@ read again by the next. All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,23 @@ from peerlens.llm.queries import THRESHOLD
 from peerlens.session import ship_package, written_table
 from peerlens.sources.tables import read_table
 
+
+def shipped(stage):
+    """A stage whose Python workers have the package."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None  # a classifier, shingle sets and token ids are not SQL; tests/llm compares each stage with brute force
 
 
+@shipped
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier, learned on this stage's input, scores below the threshold."""
     stats = written_table(docs.select("doc_id", quality.statistics("text").alias("x")), "pipeline-statistics")
@@ -26,6 +41,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.where(F.col("score") >= THRESHOLD).select(*COLUMNS)
 
 
+@shipped
 def keep_one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of near duplicates the document with the smallest id; a document without an id stays."""
     found = jaccard_join.join_components(docs).where("doc_id = component_id").select("doc_id").distinct()
@@ -33,11 +49,13 @@ def keep_one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
+@shipped
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by the name of its kind; n_chars follows the text."""
     return pii.redact_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as its source's share asks: whole passes as copies, and the rest as its blocks of words.
 
@@ -48,6 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@shipped
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (little-endian, packed) and whether they decode to its bytes again."""
     ids = bpe.encode_documents(docs).withColumn("back", bpe.decode("ids"))
@@ -66,7 +85,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what a stage returns is written before the next reads it."""
-    ship_package(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
