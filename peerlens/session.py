@@ -26,9 +26,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pee
 _shipped: set[str] = set()
 
 
+ARROW_ROWS = 2000  # rows of an Arrow batch; whole texts are wide, and a worker holds a batch at a time
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application, so that they need no path of the driver's."""
-    context = spark.sparkContext
+    """Sends this package to the Python workers, once per application, so that they need no path of the driver's.
+
+    Lowers the rows of an Arrow batch, unless the session has a number of its own.
+    """
+    context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
