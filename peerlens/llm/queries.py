@@ -104,3 +104,35 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, mixing.n_words("text")).select("doc_id", "size", "source_size", "target", "taken", "passes")
+
+
+# Components in SQL: everything reachable from each node, smallest first.
+_REACH = """
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, c) AS (SELECT id, id FROM nodes UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b)"""
+
+ORACLES["op7_jaccard"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS sh
+  FROM w, unnest(range(1, CASE WHEN len(ws) = 0 THEN 1 WHEN len(ws) < 5 THEN 2 ELSE len(ws) - 3 END)) t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+nodes AS (SELECT doc_id AS id FROM documents),{_REACH}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN r ON id = doc_id GROUP BY ALL"""
+
+ORACLES["op2_embeddings"] = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+nodes AS (SELECT vec_id AS id FROM embeddings),{_REACH},
+k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
+FROM embeddings LEFT JOIN k ON a = vec_id JOIN r ON id = vec_id GROUP BY vec_id, n"""
