@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import growth
@@ -175,6 +175,12 @@ def best_ranked(df: DataFrame, by: Sequence[str], candidate: str, rank: str, val
     return df.where(valid).groupBy(*by).agg(F.min_by(candidate, rank).alias(candidate), F.min(rank).alias(rank))
 
 
+def first_n(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of each group in order, with their place; a task keeps n rows of a group before anything moves."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
 def regroup_by_form(specs: DataFrame, results: DataFrame, keys: Sequence[str], holders: DataFrame | None = None) -> DataFrame:
     """Every spec of every form for every holder with its result; what a holder has no result for counts as not found.
 

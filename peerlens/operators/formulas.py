@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import base_plus, ratio, sum_available
+from ..functions.numbers import base_plus, convert_units, ratio, sum_available
 from ..functions.periods import months_elapsed
 from .series import opening_closing_average
 
@@ -177,3 +177,12 @@ def signed_cession(gross: Column, ceded: Column, net: Column) -> Column:
     """Brackets on a ceded line: a deduction or a reversal, whichever reproduces the printed net."""
     as_deduction = F.abs(gross + ceded - net) < F.abs(gross - ceded - net)
     return F.when(gross.isNull() | net.isNull(), ceded).when(as_deduction, -ceded).otherwise(ceded)
+
+
+def to_targets(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, slide, metric1, metric2, cur, prior: each figure in every row of the report that shows it, in its unit.
+
+    values: keys, key, kind, cur, prior; targets: key, slide, metric1, metric2.  A figure without a target is left out.
+    """
+    unit = lambda c: convert_units(F.col(c), F.col("kind")).alias(c)
+    return values.join(targets, "key").select(*keys, "slide", "metric1", "metric2", unit("cur"), unit("prior"))

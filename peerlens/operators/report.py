@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import display_growth
+from ..functions.numbers import display_growth, growth
 from ..functions.periods import fy_end_label, trend_label
 from .series import cap_for, exact_sum
 
@@ -89,3 +89,23 @@ def in_reports(df: DataFrame, periods: Sequence[tuple[int, int]], fy: str = "fy"
 def statement(wide: DataFrame, keys: Sequence[str], lines: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Statement pivot: one column per line and period."""
     return wide.select(*keys, *[c.alias(n) for n, (c, _) in lines.items()], *[p.alias(f"{n}_prior") for n, (_, p) in lines.items()])
+
+
+def period_points(
+    rows: DataFrame, titles: DataFrame, periods: Sequence[str], peers: Sequence[str], order: str, entity: str = "company",
+) -> DataFrame:
+    """periods, title, entity, value: this period's point of every title of the history.
+
+    titles: title, slide, metric1, kind.  The first row by `order` of an entity counts.  `Peers` is the sum over the peers,
+    of both years before anything is derived from it.  kind: value as it is, annual scaled to a year, growth on last year.
+    """
+    quarter = F.col(periods[-1])
+    own = rows.join(titles, ["slide", "metric1"]).groupBy(*periods, "title", "kind", entity).agg(
+        F.min_by(F.struct("cur", "prior"), order).alias("_v")).select(*periods, "title", "kind", entity, "_v.cur", "_v.prior")
+    whole = lambda c: F.sum(F.col(c).cast("decimal(38,4)")).cast("double").alias(c)
+    summed = own.where(F.col(entity).isin(*peers)).groupBy(*periods, "title", "kind").agg(whole("cur"), whole("prior"))
+    both = own.unionByName(summed.withColumn(entity, F.lit("Peers")))
+    value = (
+        F.when(F.col("kind") == "growth", growth(F.col("cur"), F.col("prior")))
+        .when(F.col("kind") == "annual", F.col("cur") * (12 / (quarter * 3))).otherwise(F.col("cur")))
+    return both.withColumn("value", value).where(F.col("value").isNotNull()).select(*periods, "title", entity, "value")

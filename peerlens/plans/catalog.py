@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     queries_rollup,
     queries_series,
     queries_sheets,
+    queries_sources,
     queries_text,
 )
 from .registry import ORACLES, QUERIES

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import to_double
 from ..functions.periods import period_column, period_from_path
 from ..schemas import METRIC_ROW
 
@@ -21,6 +22,16 @@ def numbered_slides(df: DataFrame) -> DataFrame:
     return df.withColumn("slide", F.col("slide").cast("string").try_cast("int")).where(F.col("slide").isNotNull())
 
 
+def numeric_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Value columns as numbers: whatever is no plain number is null."""
+    return df.withColumns({c: to_double(F.trim(F.col(c).cast("string"))) for c in columns})
+
+
+def without_provenance(df: DataFrame, columns: Sequence[str] = ("source_tab", "source_link")) -> DataFrame:
+    """The rows without the columns that only say where they came from."""
+    return df.drop(*columns)
+
+
 def read_rows_csv(spark: SparkSession, path: str) -> DataFrame:
     """The same table from CSV, slide read as text so that other rows can be told apart."""
     schema = ", ".join(f"{f.name} {'string' if f.name == 'slide' else f.dataType.simpleString()}" for f in METRIC_ROW)
