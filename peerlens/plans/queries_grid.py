@@ -238,13 +238,19 @@ def claims_movement(spark, sf_dir):
     return items.claim_movement(lines, KEYS).drop("page", "tbl")
 
 
-@query("grid_tidy", FILINGS + """
-, g AS (SELECT DISTINCT doc, fy, segment AS grp FROM filed WHERE now UNION ALL SELECT DISTINCT doc, fy, 'Total' FROM filed WHERE now)
-SELECT doc % 5 AS layout, grp, 'cumulative' AS kind, count(*) * 7 AS figures FROM g WHERE doc % 5 <> 3 GROUP BY ALL""")
+TIDY_SQL = " UNION ALL ".join(
+    f"SELECT doc, fy, '{label}' AS label, grp, {fig(m, True)} AS c, {fig(m, False)} AS p, bool_or(now) AS n, bool_or(NOT now) AS l FROM g GROUP BY doc, fy, grp"
+    for label, m in render.GRID_ITEMS)
+
+
+@query("grid_tidy", FILINGS + f"""
+, g AS (SELECT *, segment AS grp FROM filed UNION ALL SELECT *, 'Total' FROM filed)
+, t AS ({TIDY_SQL})
+SELECT doc, fy, label, grp, CASE WHEN n THEN c END AS cur, CASE WHEN doc % 5 <> 3 OR l THEN p END AS prior FROM t WHERE n OR doc % 5 = 3""")
 def grid_tidy(spark, sf_dir):
-    rows = staged(render.statement_grid, spark, sf_dir).where(F.col("doc") % 5 != 3)
-    out = grid.tidy(rows, KEYS).where(F.col("label") != "Gross Direct Premium :")
-    return out.groupBy((F.col("doc") % 5).alias("layout"), "grp", "kind").agg(F.count("*").alias("figures"))
+    out = grid.tidy(staged(render.statement_grid, spark, sf_dir), KEYS).where(F.col("label") != "Gross Direct Premium :")
+    figure = lambda c: F.when(F.col(c).isNotNull(), printed_number(F.col(c)))
+    return out.select("doc", "fy", "label", "grp", figure("cur_text").alias("cur"), figure("prior_text").alias("prior"))
 
 
 @query("form_pages", FILINGS + """

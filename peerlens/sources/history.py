@@ -37,7 +37,7 @@ def read_history(rows: DataFrame, keys: Sequence[str], entity_of) -> DataFrame:
     year_cells = F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
     stop = F.array_position(F.transform(year_cells, lambda c: _blank(c)), True)
     years = F.when(stop > 0, F.slice(year_cells, 1, F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(year_cells)
-    heads = rows.where("_head").select(*keys, "r", "_block", F.transform(years, F.trim).alias("years"))
+    heads = rows.where("_head").select(*keys, "r", "_block", F.transform(years, lambda y: F.trim(y)).alias("years"))
     heads = heads.join(above, [*keys, "r"], "left").withColumn("title", F.coalesce("title", F.lit("Untitled")))
     heads = heads.withColumnRenamed("r", "_hr")
 
