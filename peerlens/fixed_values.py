@@ -88,6 +88,8 @@ AGEING_WORDS = ["less than 3", "3 month to 6", "3 months to 6", "6 month to 1",
 
 # fixed values: ratings and maturities of a portfolio
 RATINGS = ["Sovereign", "AAA rated", "AA or better", "Rated below AA but above A", "Rated below A"]
+MATURITIES = ["Up to 1 year", "More than 1 year and upto 3 years", "More than 3 years and upto 7 years", "More than 7 years and upto 10 years",
+              "Above 10 years"]
 
 
 def dimension_rows(groups: dict[str, list[str]]) -> list[tuple[str, str]]:

@@ -54,8 +54,8 @@ def management_ratio(v: Getter) -> Column:
 
 
 def manpower(v: Getter) -> Column:
-    """Staff cost without half of the in-house claims handling."""
-    part = _money(F.nullif(v("in_house_claims"), F.lit(0.0)))
+    """Staff cost without half of the in-house claims handling, which forms print with either sign."""
+    part = _money(F.abs(F.nullif(v("in_house_claims"), F.lit(0.0))))
     return F.coalesce(F.round(_money(v("manpower")) - F.lit(Decimal("0.5")) * part, 2).cast("double"), v("manpower"))
 
 

@@ -178,21 +178,25 @@ def rpt_17(spark, sf_dir):
 
 # portfolios: order lines by the supplier's nation and a property of the part or line
 RATINGS = fixed.RATINGS
-MATURITIES = ["Up to 1 year", "More than 1 year and upto 3 years", "More than 3 years and upto 7 years", "More than 7 years and upto 10 years", "Above 10 years"]
+MATURITIES = fixed.MATURITIES
 MATURITY_ENDS = [5, 15, 25, 40]
 BUCKETS = list(fixed.CODE_BUCKETS)
 BRANDS = [b for _, b in fixed.dimension_rows(fixed.CODE_BUCKETS)]
 
 
-def portfolio(spark, sf_dir, bucket):
+def portfolio(spark, sf_dir, bucket, of_line=False):
+    """Figures by entity and bucket; bucket: of the part, or of the line (its partkey) where no part is needed."""
     lines = read_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("okey"), F.col("l_suppkey").alias("suppkey"), F.col("l_partkey").alias("partkey"),
         line_measures()["value"].alias("v"))
     orders = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("okey"), fiscal_year("o_orderdate").alias("fy"), fiscal_quarter("o_orderdate").alias("q"))
-    part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), bucket.alias("bucket"))
+    if of_line:
+        lines = lines.withColumn("bucket", bucket)
+    else:
+        lines = lines.join(read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), bucket.alias("bucket")), "partkey")
     supplier = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_nationkey").alias("nationkey"))
-    rows = lines.join(part, "partkey").join(orders, "okey").join(supplier, "suppkey").join(entities(spark, sf_dir), "nationkey")
+    rows = lines.join(orders, "okey").join(supplier, "suppkey").join(entities(spark, sf_dir), "nationkey")
     sums = rows.groupBy("entity", "bucket", "fy", "q").agg(
         (F.sum(F.col("v").cast("decimal(19,0)")).cast("double") / UNIT).alias("cur"))
     return pair_periods(sums, ["entity", "bucket", "q"], ["cur"]).withColumnRenamed("cur_prior", "prior")
@@ -220,8 +224,8 @@ def rpt_28(spark, sf_dir):
 
 @query("rpt_29", stacked_sql(portfolio_sql(f"{RATINGS!r}[CAST(p_partkey % 5 AS INTEGER) + 1]"), "entity", "bucket"))
 def rpt_29(spark, sf_dir):
-    bucket = F.element_at(F.array(*[F.lit(b) for b in RATINGS]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return report.stacked(portfolio(spark, sf_dir, bucket), ["fy", "q"], "entity", "bucket")
+    bucket = F.element_at(F.array(*[F.lit(b) for b in RATINGS]), (F.col("partkey") % 5 + 1).cast("int"))
+    return report.stacked(portfolio(spark, sf_dir, bucket, of_line=True), ["fy", "q"], "entity", "bucket")
 
 
 @query("rpt_30", stacked_sql(portfolio_sql(MATURITY_SQL), "entity", "bucket"))

@@ -24,6 +24,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pee
 
 
 _shipped: set[str] = set()
+_written: dict[str, list[str]] = {}
 
 
 ARROW_ROWS = 2000  # rows of an Arrow batch; whole texts are wide, and a worker holds a batch at a time
@@ -72,4 +73,15 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/peerlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written_tables(spark: SparkSession) -> int:
+    """Removes what written_table has stored for this application, once no result that reads it is needed any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = hadoop.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)

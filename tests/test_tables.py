@@ -1,6 +1,7 @@
 """Fills, workbooks, snapshots, registry and rollups on small literal tables."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,14 @@ def test_changed_and_recompute(spark):
     d = spark.createDataFrame([(1, "a"), (2, "b")], "doc int, text string")
     store = docs.with_fingerprint(spark.createDataFrame([(1, "a"), (2, "B")], "doc int, text string"), "text")
     assert [r.doc for r in docs.changed(docs.with_fingerprint(d, "text"), store, "doc").collect()] == [2]
+
+
+def test_written_tables_are_dropped(spark):
+    from peerlens.session import drop_written_tables, written_table
+
+    drop_written_tables(spark)
+    kept = written_table(spark.range(5), "drop-test")
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 5 and os.path.isdir(path)
+    assert drop_written_tables(spark) == 1 and not os.path.exists(path)
+    assert drop_written_tables(spark) == 0
