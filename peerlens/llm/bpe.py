@@ -72,7 +72,7 @@ def tokenizer(vocabulary: str):
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _OTHER = re.compile(r" \s|\s |\A | \Z")  # a space that is no cut
-_KEPT = 400_000  # runs in each of two generations of kept ids
+_KEPT = 300_000  # runs in each of two generations of kept ids
 
 
 class _Runs:
