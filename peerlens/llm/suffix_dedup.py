@@ -33,7 +33,7 @@ from .arrow_text import by_bytes, inverse, mixed, powers, unpacked, utf8
 
 LENGTH = 400
 GRAM = 200
-SHARD = 4_000_000  # bytes of windows in a shard, about
+SHARD = 2_000_000  # bytes of windows in a shard, about
 PIECE = 1 << 19  # bytes of a text worked on at once
 _BASE = 0xD6E8FEB86659FD93
 _PLACE = np.uint64((1 << 20) - 1)
@@ -354,7 +354,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     wanted = several.groupBy("did").agg(F.collect_list(F.struct("key", "window", "n", "spot")).alias("wanted"))
     texts = docs.join(wanted, "did").select("did", "text", "wanted")
     windows = texts.mapInArrow(_fetched, "key long, window long, n long, did long, start long, data binary")
-    most = max(1, shard // (2 * length))  # windows of an anchor that one shard holds
+    most = max(1, shard // length)  # windows of one anchor that still go to one shard
     facts = several.agg(F.count("*").alias("n"), F.max("classes").alias("classes")).first()
     shards = max(int(facts.n * 2 * length / shard) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = "did long, start long, stop long"
