@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written_table
-from .arrow_text import unpacked
+from .arrow_text import mixed, unpacked
 from .components import components
 
 LIKE = 0.93
@@ -70,6 +70,28 @@ def _units(column: pa.Array, d: int, kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _names(home: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """64-bit names of the own cell (first) and the guest cells of each class, from the coordinates one by one."""
+    n, used = home.shape
+    names = np.zeros((n, 1 << used), np.uint64)
+    for guest in range(1 << used):
+        for k in range(used):
+            cell = home[:, k] + near[:, k] * ((guest >> k) & 1)
+            names[:, guest] = mixed(names[:, guest] + cell.astype(np.uint64))
+    return names
+
+
+def _first_of_equal(names: np.ndarray) -> np.ndarray:
+    """Marks each name of a row but for repeats, so that a class lies in a cell once even if two cells share a name."""
+    order = np.argsort(names, axis=1, kind="stable")
+    ranked = np.take_along_axis(names, order, 1)
+    first = np.ones(names.shape, bool)
+    first[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    out = np.empty_like(first)
+    np.put_along_axis(out, order, first, 1)
+    return out
+
+
 def _cells(like: float, blocks: int, kind: str):
     """Each class in its own cell and in those it is a guest of, for every block."""
     size = np.dtype(kind).itemsize
@@ -87,13 +109,11 @@ def _cells(like: float, blocks: int, kind: str):
                     at = turned[:, low : low + used] / side
                     home = np.floor(at).astype(np.int64)
                     near = np.where(at - home < 0.5, -1, 1)
+                    names = _names(home, near)
+                    once = _first_of_equal(names)
                     for guest in range(1 << used):
-                        step = np.array([(guest >> k) & 1 for k in range(used)], np.int64)
-                        cell = home + near * step
-                        name = np.zeros(len(rows), np.int64)
-                        for k in range(used):
-                            name = name * 4096 + cell[:, k] + 2048
-                        n, take = len(rows), pa.array(rows)
+                        kept = np.flatnonzero(once[:, guest])
+                        n, take, name = len(kept), pa.array(rows[kept]), names[kept, guest].view(np.int64)
                         yield pa.RecordBatch.from_arrays([
                             batch["label"].take(take), pa.array(np.full(n, d)), pa.array(np.full(n, b)), pa.array(name), pa.array(np.full(n, guest == 0)),
                             batch["cls"].take(take), batch["m"].take(take), data.take(take)],

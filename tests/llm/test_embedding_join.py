@@ -67,6 +67,25 @@ def test_grids_and_chunks(spark, vectors):
     check(spark, vectors, cell=20, chunk=60, blocks=4)
 
 
+def test_cells_of_seven_and_eight_dimensions(spark):
+    """Vectors of 16 components in two blocks of 8, so that the grid of a label takes 7 and 8 dimensions."""
+    ship_package(spark)
+    rng = np.random.default_rng(6)
+    bases = rng.normal(size=(6, 16))
+    rows = [((bases[k % 6] + rng.normal(size=16) * 0.2).astype(np.float32).tolist(), 1) for k in range(60)]
+    for grid in (7, 8):
+        check(spark, rows, blocks=2, cell=60 / 2.5 ** (grid - 0.5))
+
+
+def test_a_class_lies_in_a_cell_once():
+    home, near = np.zeros((3, 8), np.int64), np.ones((3, 8), np.int64)
+    names = ej._names(home, near)
+    assert len(np.unique(names)) == 256 and ej._first_of_equal(names).all()
+    names[1, 5] = names[1, 0]
+    once = ej._first_of_equal(names)
+    assert once[1, 0] and not once[1, 5] and once.sum() == 3 * 256 - 1
+
+
 def test_double_components(spark, vectors):
     ship_package(spark)
     check(spark, [(v, k) for v, k in vectors[:80]], kind="array<double>")
