@@ -43,10 +43,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @shipped
 def keep_one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near duplicates the document with the smallest id; a document without an id stays."""
-    found = jaccard_join.join_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    """Keeps of each component of near duplicates one document: that with the smallest id, one with an id before one without."""
+    rows = docs.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = jaccard_join.join_components(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = found.join(rows.select("row", "doc_id").distinct(), "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 @shipped

@@ -50,6 +50,19 @@ def test_one_of_each_group_stays(stages):
     assert sorted(r.doc_id for r in out[2].collect()) == sorted(want)
 
 
+def test_rows_without_an_id_of_their_own_take_part_in_the_choice(spark):
+    ship_package(spark)
+    long = " ".join(f"word{i}" for i in range(80))
+    rows = [(None, "no id here, twice " + long), (None, "no id here, twice " + long), (None, long), (7, long), (7, long + " more"), (8, "one two"), (None, "three four")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = [(r.doc_id, r.text) for r in cp.keep_one_of_a_group(spark, docs.repartition(3), "").collect()]
+    group = [t for i, t in found if "word5" in t]
+    assert len(group) == 1 and [i for i, t in found if "word5" in t] == [7]
+    assert sorted(t for _, t in found if "word5" not in t) == ["one two", "three four"]
+    twice = docs.where("doc_id is null")
+    assert len([t for t in cp.keep_one_of_a_group(spark, twice, "").collect() if "word5" in t.text]) == 1
+
+
 def test_personal_data_is_gone(stages):
     _, out = stages
     before, after = ({r.doc_id: r for r in d.collect()} for d in out[2:4])
