@@ -5,7 +5,7 @@ A page is cut into leaf blocks: runs of text under one block-level element. Each
 the blocks, trained by maximum likelihood on labelled pages, is decoded by Viterbi; blocks decoded as main are joined.
 
 Inside a block character references are decoded, white space becomes one space and `<br>` counts as white space.
-Scripts, styles, comments of the markup and the head are no text. A null or empty page, or one without main blocks, has
+Scripts, styles, comments of the markup and the head are no text; formulas and what stands in for an object are. A null or empty page, or one without main blocks, has
 the text "". Repeated pages give repeated results.
 """
 
@@ -27,10 +27,13 @@ from .arrow_text import by_bytes
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_NO_TEXT = frozenset("script style noscript template iframe svg math title textarea object canvas head".split())
+_NO_TEXT = frozenset("script style noscript iframe title textarea head".split())  # unclosed, they take the rest of the page
+_NOT_SHOWN = frozenset("svg canvas template annotation annotation-xml".split())  # unclosed, they are elements like others
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong "
-    "sub sup time tt u var wbr br input meta link hr area col embed param source track".split())
+    "sub sup time tt u var wbr br input meta link hr area col embed param source track svg canvas math mi mn mo ms mtext mspace mrow "
+    "mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts "
+    "mprescripts none mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split())
 _VOID = frozenset("img br input meta link hr area col embed param source track wbr base".split())
 _CLOSES = {  # an element's start ends these open ones above the nearest barrier
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -84,6 +87,19 @@ def _names(attributes: str) -> frozenset:
     return frozenset(out)
 
 
+def _end_of(page: str, tag: str, at: int) -> int | None:
+    """Where an element opened before `at` ends, others of its tag inside it counted; None if it is never closed."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return m.end()
+        elif not m[0].endswith("/>"):
+            depth += 1
+    return None
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks with text, in page order."""
     out: list[Block] = []
@@ -128,6 +144,9 @@ def blocks(page: str | None) -> list[Block]:
                     over = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
                     at = (over.end() if over[0][1] == "/" else over.start()) if over else at
             continue
+        if tag in _NOT_SHOWN and not ending and not (m[3] or "").endswith("/") and (over := _end_of(page, tag, at)) is not None:
+            at = over
+            continue
         if tag in _INLINE:
             if tag == "a":
                 anchors = 0 if ending else 1

@@ -30,6 +30,15 @@ def test_blocks():
     assert he.trained().text(None) == he.trained().text("") == ""
 
 
+def test_elements_that_are_no_raw_text():
+    said = lambda page: [b.text for b in he.blocks(page)]
+    for tag in ("svg", "math", "object", "canvas", "template"):
+        assert said(f"<p>One</p><{tag}><p>Two</p><p>Three</p>") == ["One", "Two", "Three"]
+    assert said("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then</p>") == ["If x=1 then"]
+    assert said("<p>One</p><object data=a><p>No film here</p></object><p>Two</p>") == ["One", "No film here", "Two"]
+    assert said("<p>One<svg><svg><text>no</text></svg><title>no</title></svg> two</p><canvas>no</canvas><template>no</template>") == ["One two"]
+
+
 def test_viterbi_equals_all_sequences():
     rng = np.random.default_rng(5)
     page = he.blocks("<p>One two.</p><div class=ad>Buy</div><ul><li>a<li>b</ul><p>Again, long text here.</p>")
