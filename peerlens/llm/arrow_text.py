@@ -101,6 +101,29 @@ def words(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tupl
     return np.concatenate(hashes), np.concatenate(rows)
 
 
+def segments(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray, most: int = SEGMENT):
+    """(start, stop) of stretches of about `most` bytes that end before a gap byte or where a text ends, so that no word is cut.
+
+    A word longer than that makes its stretch longer.
+    """
+    at = 0
+    while at < len(raw):
+        end = min(at + most, len(raw))
+        if end < len(raw):
+            cut = np.flatnonzero(gap[raw[at:end]])
+            inside = offsets[(offsets > at) & (offsets <= end)]
+            end = max(at + int(cut[-1]) if len(cut) else 0, int(inside[-1]) if len(inside) else 0)
+            while end <= at:  # the word goes on: look further, step by step
+                far = min(at + most, len(raw))
+                more = np.flatnonzero(gap[raw[at + 1 : far + 1]])
+                nxt = offsets[offsets > at]
+                if len(more) or far == len(raw) or nxt[0] <= far:
+                    end = min(at + 1 + int(more[0]) if len(more) else len(raw), int(nxt[0]))
+                most *= 2
+        yield at, end
+        at = end
+
+
 def rows_of(counts: np.ndarray) -> np.ndarray:
     """0 counts[0] times, 1 counts[1] times and so on."""
     return np.repeat(np.arange(len(counts)), counts)

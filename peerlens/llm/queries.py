@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, written_table
 from ..sources.tables import read_table
-from . import bpe, embedding_join, fingerprints, html_extract, jaccard_join, mixing, pii, pitman_yor, quality, suffix_dedup
+from . import bpe, embedding_join, fingerprints, html_extract, jaccard_join, mixing, pii, pitman_yor, quality, spelling, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,6 +106,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.n_words("text")).select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of every word."""
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 # Components in SQL: everything reachable from each node, smallest first.
 _REACH = """
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
@@ -136,3 +142,37 @@ nodes AS (SELECT vec_id AS id FROM embeddings),{_REACH},
 k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
 FROM embeddings LEFT JOIN k ON a = vec_id JOIN r ON id = vec_id GROUP BY vec_id, n"""
+
+# The checksum of a name, byte by byte from its table; runs shorter than a word need none.
+ORACLES["op11_spelling"] = r"""
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w
+  FROM documents),
+named AS (SELECT d, w, count(*) AS n, hex(encode(d || ':' || w)) AS x FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT w, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, (length(x) // 2)::BIGINT), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM named, crc),
+thinned AS (
+  SELECT n, CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM thinned WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM words)),
+near AS (
+  SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS best, max(n) AS best_n FROM pairs JOIN words ON word = b GROUP BY a),
+full_rows AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN near ON a = word),
+chain(word, link, step) AS (
+  SELECT word, word, 0 FROM full_rows UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN full_rows f ON f.word = c.link WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(link, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM full_rows JOIN ends USING (word)"""
