@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written_table
-from .arrow_text import by_bytes, segments, utf8
+from .arrow_text import by_bytes, mixed, powers, segments, utf8
 
 SHORTEST = 7  # code points of a word
 OFTEN = 2  # occurrences of a word
@@ -38,6 +38,7 @@ GROUPS = ("e", "n", "a", "r", "i", "t", "os", "hl", "dcq", "umpf", "gbvwykjxz")
 NODE = 1 << 21  # bytes of words, visitors included, of a node that one task searches
 LEAF = 128  # words of a node that are compared without going further down
 COUNTED = 1 << 20  # distinct words of a task that are held before they are passed on
+_ODD = 0x9E3779B97F4A7C15
 _MOST = 15  # counts above it are alike to the trie
 
 _group = np.full(256, len(GROUPS), np.uint8)
@@ -198,10 +199,11 @@ def _split(batches):
 
 def _hash(letters: np.ndarray) -> np.ndarray:
     """64-bit values of the rows; equal rows have equal ones."""
-    out = np.full(len(letters), 1469598103934665603, np.uint64)
-    for k in range(letters.shape[1]):
-        out = (out ^ letters[:, k]) * np.uint64(1099511628211)
-    return out ^ (out >> np.uint64(29))
+    out, some = np.zeros(len(letters), np.uint64), 1 << 16
+    for k in range(0, letters.shape[1], some):
+        part = letters[:, k : k + some]
+        out = mixed(out + (part.astype(np.uint64) + np.uint64(1)) @ powers(_ODD, some)[: part.shape[1]])
+    return out
 
 
 class _Node:

@@ -31,7 +31,10 @@ def one_apart(a, b):
         return sum(x != y for x, y in zip(a, b)) == 1
     if len(a) > len(b):
         a, b = b, a
-    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+    if len(b) != len(a) + 1:
+        return False
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return b[k + 1 :] == a[k:]
 
 
 def brute(rows):
