@@ -124,6 +124,16 @@ def segments(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray, most: int =
         at = end
 
 
+def strings(part: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The stretches start[i]:stop[i], in order and apart, as an array of strings."""
+    edge = np.zeros(len(part) + 1, np.int8)
+    edge[start] = 1
+    edge[stop] -= 1
+    raw = np.ascontiguousarray(part[np.cumsum(edge[:-1], dtype=np.int8) > 0])
+    offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
 def rows_of(counts: np.ndarray) -> np.ndarray:
     """0 counts[0] times, 1 counts[1] times and so on."""
     return np.repeat(np.arange(len(counts)), counts)

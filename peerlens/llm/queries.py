@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, written_table
 from ..sources.tables import read_table
-from . import bpe, embedding_join, fingerprints, html_extract, jaccard_join, mixing, pii, pitman_yor, quality, spelling, suffix_dedup
+from . import bpe, collocations, embedding_join, fingerprints, html_extract, jaccard_join, mixing, pii, pitman_yor, quality, spelling, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +112,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 # Components in SQL: everything reachable from each node, smallest first.
 _REACH = """
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
@@ -176,3 +182,25 @@ chain(word, link, step) AS (
   SELECT word, word, 0 FROM full_rows UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN full_rows f ON f.word = c.link WHERE f.form IS NOT NULL),
 ends AS (SELECT word, arg_max(link, step) AS root FROM chain GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM full_rows JOIN ends USING (word)"""
+
+ORACLES["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+f AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM w, unnest([1, 2, 3]) s(k), unnest(range(1, greatest(len(ws) - k + 2, 1))) t(i) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM f WHERE k > 1 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.k, c.phrase, c.a, cut_at, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM c, unnest(range(1, c.k)) t(cut_at) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1:cut_at], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[cut_at + 1:c.k], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1),
+longer AS (
+  SELECT lang, array_to_string(p[i:i + 1], ' ') AS phrase, max(a) AS most FROM c, unnest([1, 2]) t(i) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN longer USING (lang, phrase) WHERE k = 3 OR most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written_table
-from .arrow_text import by_bytes, mixed, powers, segments, utf8
+from .arrow_text import by_bytes, mixed, powers, segments, strings, utf8
 
 SHORTEST = 7  # code points of a word
 OFTEN = 2  # occurrences of a word
@@ -84,16 +84,6 @@ def _runs(part: np.ndarray, begins: np.ndarray, shortest: int):
     return start[kept], stop[kept], n[kept]
 
 
-def _strings(part: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
-    """The stretches as an array of strings."""
-    edge = np.zeros(len(part) + 1, np.int8)
-    edge[start] = 1
-    edge[stop] -= 1
-    raw = np.ascontiguousarray(part[np.cumsum(edge[:-1], dtype=np.int8) > 0])
-    offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-
-
 def _named(names: list[bytes], longest: int) -> np.ndarray:
     """crc32 of each name followed by 0 .. `longest` further bytes, but for what those bytes themselves add."""
     out = np.empty((longest + 1, len(names)), np.uint32)
@@ -131,7 +121,7 @@ def _counted(shortest: int, thin: int):
                     start, stop, n = _runs(part, begins, shortest)
                     if not len(start):
                         continue
-                    coded = _strings(part, start, stop).dictionary_encode()
+                    coded = strings(part, start, stop).dictionary_encode()
                     which, words = coded.indices.to_numpy(), coded.dictionary
                     own = np.array([zlib.crc32(w) for w in words.cast(pa.large_binary()).to_pylist()], np.uint32)
                     row, size_in_bytes = np.searchsorted(offsets, start + at, "right") - 1, stop - start
