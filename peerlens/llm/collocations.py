@@ -11,7 +11,9 @@ of its texts and sends them on; they are merged element by element. From the mer
 Stripes of very common prefixes have elements without end, so a stripe travels in segments: an element goes to the part that
 its whole phrase hashes to. A task thus gets a share of the elements, whatever the prefix, and every element meets all its
 counts there. Parts hold about `part` bytes of text. Only elements that occur often enough leave their part; a part of a
-frequent phrase is at least as frequent, so nothing else is needed.
+frequent phrase is at least as frequent, so nothing else is needed. For the same reason triples are counted in a second pass,
+and only where both their pairs are frequent: a bit for each frequent pair goes to all tasks, 16 MB however many there are
+(where a rare pair shares a frequent one's bit, its triples are counted too and found rare).
 
 A null text is empty, a null lang is `und`. Empty texts and tables give no rows. Repeated rows count as often as they occur.
 A text longer than a window is cut at a piece's end, a longer piece between words, with the last words told again as
@@ -32,8 +34,9 @@ LONGEST = 3  # words of a phrase
 OFTEN = 10  # occurrences of a candidate
 COVERED = 50  # per cent of a phrase's occurrences that lie in a longer candidate
 TOP = 2000
-WINDOW = 24 << 20  # bytes of text whose stripes are added up before they are sent
+WINDOW = 8 << 20  # bytes of text whose stripes are added up before they are sent
 PART = 4 << 20  # bytes of text whose stripes a task merges
+BITS, SLICE = 1 << 27, 1 << 16  # bits that mark frequent phrases, of which some rare ones share a bit; built in slices
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
@@ -81,21 +84,40 @@ def _summed(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key[first], np.add.reduceat(counts[order], first)
 
 
-def _elements(ids: np.ndarray, piece: np.ndarray, told: int, size: int, longest: int):
-    """For each length of phrase: its words as columns of ids, and counts; words are numbered below `size`."""
-    counts = np.bincount(ids[told:], minlength=size)
-    seen = np.flatnonzero(counts)
-    yield [seen], counts[seen]
-    code, columns = ids, [np.arange(size)]
-    for k in range(1, longest):
-        together = np.flatnonzero(piece[: len(ids) - k] == piece[k:]) if len(ids) > k else np.zeros(0, np.int64)
-        key, inverse = np.unique(code[together] * size + ids[together + k], return_inverse=True)
-        counts = np.bincount(inverse[together + k >= told], minlength=len(key))
-        columns = [c[key // size] for c in columns] + [key % size]
-        seen = np.flatnonzero(counts)
-        yield [c[seen] for c in columns], counts[seen]
-        code = np.full(len(ids), -1)
-        code[together] = inverse
+def _hit(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    at = names & np.uint64(len(bits) * 8 - 1)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def _named(columns: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """64-bit names of phrases from the numbers of their words."""
+    name = hashes[columns[0]]
+    for c in columns[1:]:
+        name = mixed(name * np.uint64(3) + hashes[c])
+    return name
+
+
+def _elements(ids: np.ndarray, piece: np.ndarray, told: int, hashes: np.ndarray, length: int, bits: np.ndarray | None):
+    """The phrases of a length: their words as columns of ids, and counts. `bits` marks the shorter ones that are frequent."""
+    size = len(hashes)
+    at = np.flatnonzero(piece[: max(len(ids) - length + 1, 0)] == piece[length - 1 :]) if length > 1 else np.arange(len(ids))
+    if bits is not None:
+        there = np.zeros(len(ids), bool)
+        start = np.flatnonzero(piece[: max(len(ids) - length + 2, 0)] == piece[length - 2 :])
+        there[start] = _hit(bits, _named([ids[start + k] for k in range(length - 1)], hashes))
+        at = at[there[at] & there[at + 1]]
+    at = at[at + length > told]
+    code, known = ids[at], []
+    for k in range(1, length):
+        values, code = np.unique(code * size + ids[at + k], return_inverse=True)
+        known.append(values)
+    counts = np.bincount(code, minlength=len(known[-1]) if known else size)
+    code = np.flatnonzero(counts)
+    counts, columns = counts[code], []
+    for values in reversed(known):
+        columns.append(values[code] % size)
+        code = values[code] // size
+    return [code, *reversed(columns)], counts
 
 
 def _word_hashes(dictionary: pa.Array) -> np.ndarray:
@@ -103,7 +125,7 @@ def _word_hashes(dictionary: pa.Array) -> np.ndarray:
     return words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), _BLANK)[0]
 
 
-def _packed(lang: str, raw: np.ndarray, told: int, parts: int, longest: int):
+def _packed(lang: str, raw: np.ndarray, told: int, parts: int, lengths: list[int], bits: np.ndarray | None):
     """One row per part: the stripes of a stretch of text, their words numbered within the row."""
     low = _LOWER[raw]
     gap = _BLANK[low] | _BREAK[low]
@@ -114,13 +136,10 @@ def _packed(lang: str, raw: np.ndarray, told: int, parts: int, longest: int):
     piece = np.cumsum(_BREAK[low])[start]
     coded = strings(low, start, stop).dictionary_encode()
     ids, dictionary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    named, size = _word_hashes(dictionary), len(dictionary)
-    levels = []
-    for columns, counts in _elements(ids, piece, told, size, longest):
-        home = named[columns[0]]
-        for c in columns[1:]:
-            home = mixed(home * np.uint64(3) + named[c])
-        home = (home % np.uint64(parts)).astype(np.int64)
+    hashes, size, levels = _word_hashes(dictionary), len(dictionary), []
+    for length in lengths:
+        columns, counts = _elements(ids, piece, told, hashes, length, bits)
+        home = (_named(columns, hashes) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         levels.append(([c[order] for c in columns], counts[order], np.searchsorted(home[order], np.arange(parts + 1))))
     mark, number = np.zeros(size, bool), np.zeros(size, np.int32)
@@ -146,30 +165,35 @@ def _packed(lang: str, raw: np.ndarray, told: int, parts: int, longest: int):
                 heads[1:] |= c[1:] != c[:-1]
             first = np.flatnonzero(heads)
             prefix = np.stack([number[c[first]] for c in columns[:-1]], 1).ravel() if len(columns) > 1 else np.zeros(0, np.int32)
-            lengths = np.diff(np.concatenate([first, [len(counts)]])).astype(np.int32)
-            row.append(np.concatenate([prefix, lengths]).astype(np.int32))
+            spans = np.diff(np.concatenate([first, [len(counts)]])).astype(np.int32)
+            row.append(np.concatenate([prefix, spans]).astype(np.int32))
             row.append(np.concatenate([number[columns[-1]], counts.astype(np.int32)]).astype(np.int32))
         rows.append(row)
         used_all.append(used)
+    if not rows:
+        return
     n = len(rows)
     out = [pa.array([r[0] for r in rows], pa.int64()), pa.array([lang] * n, pa.string())]
     taken = dictionary.take(pa.array(np.concatenate(used_all))).cast(pa.string())
     out.append(list_array(taken, np.array([len(u) for u in used_all])))
-    for k in range(1, 2 * longest + 1):
+    for k in range(1, 2 * len(lengths) + 1):
         out.append(binaries(np.concatenate([r[k] for r in rows]), np.array([len(r[k]) for r in rows])))
-    yield pa.RecordBatch.from_arrays(out, names=["part", "lang", "words", *[f"{x}{k}" for k in range(longest) for x in ("stripes", "elements")]])
+    yield pa.RecordBatch.from_arrays(out, names=["part", "lang", "words", *[f"{x}{k}" for k in lengths for x in ("stripes", "elements")]])
+
 
+def _mapped(parts: int, window: int, lengths: list[int], frequent=None):
+    """The stripes that hold phrases of these lengths; `frequent` is a broadcast bit for every frequent phrase one word shorter."""
 
-def _mapped(parts: int, window: int, longest: int):
     def run(batches):
+        bits = None if frequent is None else np.frombuffer(frequent.value, np.uint8)
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
 
         def flushed(lang):
             raw = np.frombuffer(b"\n".join(held.pop(lang)), np.uint8)
             del sizes[lang]
-            for at, end, told in stretches(raw, window, longest):
-                yield from _packed(lang, raw[at:end], told, parts, longest)
+            for at, end, told in stretches(raw, window, lengths[-1]):
+                yield from _packed(lang, raw[at:end], told, parts, lengths, bits)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
@@ -186,12 +210,12 @@ def _mapped(parts: int, window: int, longest: int):
     return run
 
 
-def _merged(often: int, longest: int):
+def _merged(often: int, lengths: list[int], longest: int):
     """The elements of a part that occur often enough, and for each language the number of words counted here."""
-    fields = pa.schema([("lang", pa.string()), *[(f"w{k + 1}", pa.string()) for k in range(longest)], ("f", pa.int64())])
+    fields = pa.schema([("lang", pa.string()), *[(f"w{k + 1}", pa.string()) for k in range(longest)], ("name", pa.int64()), ("f", pa.int64())])
 
     def run(rows: pa.Table) -> pa.Table:
-        out = []
+        out = [fields.empty_table()]
         langs = rows["lang"].combine_chunks().dictionary_encode()
         for which, lang in enumerate(langs.dictionary.to_pylist()):
             own = rows.take(pa.array(np.flatnonzero(langs.indices.to_numpy() == which)))
@@ -199,18 +223,19 @@ def _merged(often: int, longest: int):
             coded = lists.flatten().dictionary_encode()
             ids, dictionary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
             begins, size = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), len(dictionary)
-            for k in range(longest):
-                stripes, n_stripes = unpacked(own[f"stripes{k}"], np.int32)
-                elements, n_elements = unpacked(own[f"elements{k}"], np.int32)
-                columns, counts = [[] for _ in range(k + 1)], []
+            for length in lengths:
+                prefix = length - 1
+                stripes, n_stripes = unpacked(own[f"stripes{length}"], np.int32)
+                elements, n_elements = unpacked(own[f"elements{length}"], np.int32)
+                columns, counts = [[] for _ in range(length)], []
                 at_s = at_e = 0
                 for r, (s, e) in enumerate(zip(n_stripes.tolist(), n_elements.tolist())):
                     stripe, element = stripes[at_s : at_s + s], elements[at_e : at_e + e]
-                    at_s, at_e, heads = at_s + s, at_e + e, s // (k + 1)
-                    lengths = stripe[heads * k :]
-                    for j in range(k):
-                        columns[j].append(np.repeat(ids[begins[r] + stripe[: heads * k].reshape(heads, k)[:, j]], lengths))
-                    columns[k].append(ids[begins[r] + element[: e // 2]])
+                    at_s, at_e, heads = at_s + s, at_e + e, s // length
+                    spans = stripe[heads * prefix :]
+                    for j in range(prefix):
+                        columns[j].append(np.repeat(ids[begins[r] + stripe[: heads * prefix].reshape(heads, prefix)[:, j]], spans))
+                    columns[prefix].append(ids[begins[r] + element[: e // 2]])
                     counts.append(element[e // 2 :].astype(np.int64))
                 columns, counts = [np.concatenate(c) for c in columns], np.concatenate(counts)
                 key, shorter = columns[0], []
@@ -220,33 +245,61 @@ def _merged(often: int, longest: int):
                         shorter.append(known)
                     key = key * size + c
                 key, total = _summed(key, counts)
-                if k == 0:
-                    out.append(pa.table([[lang], *[pa.nulls(1, pa.string())] * longest, [int(total.sum())]], schema=fields))
+                if length == 1:
+                    out.append(pa.table([[lang], *[pa.nulls(1, pa.string())] * longest, pa.nulls(1, pa.int64()), [int(total.sum())]], schema=fields))
                 kept = np.flatnonzero(total >= often)
-                key, told = key[kept], []
-                for j in range(k, 0, -1):
-                    told.append(key % size)
+                key, columns = key[kept], []
+                for j in range(prefix, 0, -1):
+                    columns.append(key % size)
                     key = shorter.pop()[key // size] if j > 1 else key // size
-                told.append(key)
-                phrase = [dictionary.take(pa.array(c)).cast(pa.string()) for c in reversed(told)]
-                empty = [pa.nulls(len(kept), pa.string())] * (longest - k - 1)
-                out.append(pa.table([pa.array([lang] * len(kept), pa.string()), *phrase, *empty, total[kept]], schema=fields))
+                columns = [key, *reversed(columns)]
+                if not len(kept):
+                    continue
+                used, inverse = np.unique(np.concatenate(columns), return_inverse=True)
+                name = _named(np.split(inverse, length), _word_hashes(dictionary.take(pa.array(used))))
+                phrase = [dictionary.take(pa.array(c)) for c in columns]
+                empty = [pa.nulls(len(kept), pa.string())] * (longest - length)
+                out.append(pa.table([pa.array([lang] * len(kept), pa.string()), *phrase, *empty, name.view(np.int64), total[kept]], schema=fields))
         return pa.concat_tables(out)
 
     return run
 
 
+def _bits(rows: pa.Table) -> pa.Table:
+    """One slice of the bits, packed."""
+    out = np.zeros(SLICE, np.uint8)
+    out[rows["bit"].to_numpy()] = 1
+    return pa.table({"slice": rows["slice"][:1], "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+
+def _marked(names: DataFrame) -> bytes:
+    """BITS bits, one set for every name: of fixed size, however many names there are."""
+    at = F.col("name").bitwiseAND(F.lit(BITS - 1))
+    where = names.select(F.floor(at / SLICE).alias("slice"), F.pmod(at, F.lit(SLICE)).alias("bit")).distinct()
+    out = np.zeros((BITS // SLICE, SLICE // 8), np.uint8)
+    for row in where.groupBy("slice").applyInArrow(_bits, "slice long, bits binary").collect():
+        out[row.slice] = np.frombuffer(row.bits, np.uint8)
+    return out.tobytes()
+
+
 def phrase_counts(
     docs: DataFrame, text: str = "text", lang: str = "lang", often: int = OFTEN, longest: int = LONGEST, window: int = WINDOW, part: int = PART
 ) -> DataFrame:
     """lang, w1 .. w<longest>, f: phrases of that many words (the rest null) that occur often enough; without words, all words of the lang."""
-    told = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
-    size = told.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    binary = ", ".join(f"stripes{k} binary, elements{k} binary" for k in range(longest))
-    rows = told.mapInArrow(_mapped(max(-(-size // part), 1), window, longest), f"part long, lang string, words array<string>, {binary}")
+    docs = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts, out, frequent = max(-(-size // part), 1), None, None
     names = ", ".join(f"w{k + 1} string" for k in range(longest))
-    found = rows.groupBy("part").applyInArrow(_merged(often, longest), f"lang string, {names}, f long")
-    return found.groupBy("lang", *[f"w{k + 1}" for k in range(longest)]).agg(F.sum("f").alias("f"))
+    for lengths in ([1, 2], *[[k] for k in range(3, longest + 1)]):
+        binary = ", ".join(f"stripes{k} binary, elements{k} binary" for k in lengths)
+        rows = docs.mapInArrow(_mapped(parts, window, lengths, frequent), f"part long, lang string, words array<string>, {binary}")
+        found = rows.groupBy("part").applyInArrow(_merged(often, lengths, longest), f"lang string, {names}, name long, f long")
+        found = written_table(found, "phrase-stripes")
+        if lengths[-1] < longest:
+            last = found.where(F.col(f"w{lengths[-1]}").isNotNull())
+            frequent = docs.sparkSession.sparkContext.broadcast(_marked(last.select("name")))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("lang", *[f"w{k + 1}" for k in range(longest)]).agg(F.sum("f").alias("f"))
 
 
 def _scored(a: str, left: str, right: str):
