@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, written_table
 from ..sources.tables import read_table
-from . import bpe, collocations, embedding_join, fingerprints, html_extract, jaccard_join, mixing, pii, pitman_yor, quality, spelling, suffix_dedup
+from . import bpe, collocations, embedding_join, fingerprints, html_extract, jaccard_join, mixing, neighbours, pii, pitman_yor, quality, spelling, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +112,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found for every hundredth vector."""
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of every language."""
