@@ -11,9 +11,10 @@ of its texts and sends them on; they are merged element by element. From the mer
 Stripes of very common prefixes have elements without end, so a stripe travels in segments: an element goes to the part that
 its whole phrase hashes to. A task thus gets a share of the elements, whatever the prefix, and every element meets all its
 counts there. Parts hold about `part` bytes of text. Only elements that occur often enough leave their part; a part of a
-frequent phrase is at least as frequent, so nothing else is needed. For the same reason triples are counted in a second pass,
-and only where both their pairs are frequent: a bit for each frequent pair goes to all tasks, 16 MB however many there are
-(where a rare pair shares a frequent one's bit, its triples are counted too and found rare).
+frequent phrase is at least as frequent, so nothing else is needed. For the same reason each length has a pass of its own:
+pairs are counted only where both words are frequent, triples only where both pairs are. A bit for each frequent phrase goes
+to all tasks, 16 MB however many there are (where a rare one shares a frequent one's bit, what holds it is counted too and
+found rare). A language's best phrases are first picked within salted shares of them.
 
 A null text is empty, a null lang is `und`. Empty texts and tables give no rows. Repeated rows count as often as they occur.
 A text longer than a window is cut at a piece's end, a longer piece between words, with the last words told again as
@@ -34,8 +35,9 @@ LONGEST = 3  # words of a phrase
 OFTEN = 10  # occurrences of a candidate
 COVERED = 50  # per cent of a phrase's occurrences that lie in a longer candidate
 TOP = 2000
+SHARES = 32  # of a language's phrases, ranked apart before they are ranked together
 WINDOW = 8 << 20  # bytes of text whose stripes are added up before they are sent
-PART = 4 << 20  # bytes of text whose stripes a task merges
+PART = 8 << 20  # bytes of text whose stripes a task merges
 BITS, SLICE = 1 << 27, 1 << 16  # bits that mark frequent phrases, of which some rare ones share a bit; built in slices
 
 _BLANK = np.zeros(256, bool)
@@ -290,7 +292,7 @@ def phrase_counts(
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts, out, frequent = max(-(-size // part), 1), None, None
     names = ", ".join(f"w{k + 1} string" for k in range(longest))
-    for lengths in ([1, 2], *[[k] for k in range(3, longest + 1)]):
+    for lengths in [[k] for k in range(1, longest + 1)]:
         binary = ", ".join(f"stripes{k} binary, elements{k} binary" for k in lengths)
         rows = docs.mapInArrow(_mapped(parts, window, lengths, frequent), f"part long, lang string, words array<string>, {binary}")
         found = rows.groupBy("part").applyInArrow(_merged(often, lengths, longest), f"lang string, {names}, name long, f long")
@@ -332,6 +334,9 @@ def collocations(
     cuts = [F.struct(_scored("f", f"l{k}", f"r{k}").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in (1, 2)]
     threes = threes.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.col("f").alias("a"), F.least(*cuts).alias("cut"))
     best = twos.unionByName(threes.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    best_first = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("lang", share).orderBy(*best_first))).where(F.col("place") <= top)
+    order = Window.partitionBy("lang").orderBy(*best_first)
     ranked = best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
