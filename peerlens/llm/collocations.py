@@ -14,7 +14,7 @@ counts there. Parts hold about `part` bytes of text. Only elements that occur of
 frequent phrase is at least as frequent, so nothing else is needed. For the same reason each length has a pass of its own:
 pairs are counted only where both words are frequent, triples only where both pairs are. A bit for each frequent phrase goes
 to all tasks, 16 MB however many there are (where a rare one shares a frequent one's bit, what holds it is counted too and
-found rare). A language's best phrases are first picked within salted shares of them.
+found rare). A language's best phrases are first picked within SHARES salted shares, so at most SHARES * `top` meet.
 
 A null text is empty, a null lang is `und`. Empty texts and tables give no rows. Repeated rows count as often as they occur.
 A text longer than a window is cut at a piece's end, a longer piece between words, with the last words told again as
@@ -25,11 +25,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written_table
-from .arrow_text import binaries, list_array, mixed, strings, unpacked, words
+from .arrow_text import binaries, mixed, strings, unpacked, utf8, words
 
 LONGEST = 3  # words of a phrase
 OFTEN = 10  # occurrences of a candidate
@@ -122,6 +123,15 @@ def _elements(ids: np.ndarray, piece: np.ndarray, told: int, hashes: np.ndarray,
     return [code, *reversed(columns)], counts
 
 
+def _by_place(values: np.ndarray) -> np.ndarray:
+    """The first bytes of all values, then the second ones and so on: small numbers leave runs that compress to nothing."""
+    return np.ascontiguousarray(values.astype("<i4")).view(np.uint8).reshape(-1, 4).T.ravel()
+
+
+def _from_places(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+
+
 def _word_hashes(dictionary: pa.Array) -> np.ndarray:
     joined = b" ".join(dictionary.cast(pa.large_binary()).to_pylist())
     return words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), _BLANK)[0]
@@ -168,16 +178,17 @@ def _packed(lang: str, raw: np.ndarray, told: int, parts: int, lengths: list[int
             first = np.flatnonzero(heads)
             prefix = np.stack([number[c[first]] for c in columns[:-1]], 1).ravel() if len(columns) > 1 else np.zeros(0, np.int32)
             spans = np.diff(np.concatenate([first, [len(counts)]])).astype(np.int32)
-            row.append(np.concatenate([prefix, spans]).astype(np.int32))
-            row.append(np.concatenate([number[columns[-1]], counts.astype(np.int32)]).astype(np.int32))
+            row.append(_by_place(np.concatenate([prefix, spans])))
+            row.append(_by_place(np.concatenate([number[columns[-1]], counts])))
         rows.append(row)
         used_all.append(used)
     if not rows:
         return
     n = len(rows)
     out = [pa.array([r[0] for r in rows], pa.int64()), pa.array([lang] * n, pa.string())]
-    taken = dictionary.take(pa.array(np.concatenate(used_all))).cast(pa.string())
-    out.append(list_array(taken, np.array([len(u) for u in used_all])))
+    spaced = pc.binary_join_element_wise(dictionary, "", pa.scalar(" ", pa.large_string()))  # no word holds a space
+    raw, ends = utf8(spaced.take(pa.array(np.concatenate(used_all))))
+    out.append(binaries(raw, np.diff(ends[np.concatenate([[0], np.cumsum([len(u) for u in used_all])])])))
     for k in range(1, 2 * len(lengths) + 1):
         out.append(binaries(np.concatenate([r[k] for r in rows]), np.array([len(r[k]) for r in rows])))
     yield pa.RecordBatch.from_arrays(out, names=["part", "lang", "words", *[f"{x}{k}" for k in lengths for x in ("stripes", "elements")]])
@@ -221,24 +232,25 @@ def _merged(often: int, lengths: list[int], longest: int):
         langs = rows["lang"].combine_chunks().dictionary_encode()
         for which, lang in enumerate(langs.dictionary.to_pylist()):
             own = rows.take(pa.array(np.flatnonzero(langs.indices.to_numpy() == which)))
-            lists = own["words"].combine_chunks()
-            coded = lists.flatten().dictionary_encode()
+            raw, sizes = unpacked(own["words"], np.uint8)
+            stop = np.flatnonzero(raw == 0x20)
+            coded = strings(raw, np.concatenate([[0], stop[:-1] + 1]), stop).dictionary_encode()
             ids, dictionary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-            begins, size = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), len(dictionary)
+            begins, size = np.concatenate([[0], np.searchsorted(stop, np.cumsum(sizes))]), len(dictionary)
             for length in lengths:
                 prefix = length - 1
-                stripes, n_stripes = unpacked(own[f"stripes{length}"], np.int32)
-                elements, n_elements = unpacked(own[f"elements{length}"], np.int32)
+                stripes, n_stripes = unpacked(own[f"stripes{length}"], np.uint8)
+                elements, n_elements = unpacked(own[f"elements{length}"], np.uint8)
                 columns, counts = [[] for _ in range(length)], []
                 at_s = at_e = 0
                 for r, (s, e) in enumerate(zip(n_stripes.tolist(), n_elements.tolist())):
-                    stripe, element = stripes[at_s : at_s + s], elements[at_e : at_e + e]
-                    at_s, at_e, heads = at_s + s, at_e + e, s // length
+                    stripe, element = _from_places(stripes[at_s : at_s + s]), _from_places(elements[at_e : at_e + e])
+                    at_s, at_e, heads, half = at_s + s, at_e + e, len(stripe) // length, len(element) // 2
                     spans = stripe[heads * prefix :]
                     for j in range(prefix):
                         columns[j].append(np.repeat(ids[begins[r] + stripe[: heads * prefix].reshape(heads, prefix)[:, j]], spans))
-                    columns[prefix].append(ids[begins[r] + element[: e // 2]])
-                    counts.append(element[e // 2 :].astype(np.int64))
+                    columns[prefix].append(ids[begins[r] + element[:half]])
+                    counts.append(element[half:].astype(np.int64))
                 columns, counts = [np.concatenate(c) for c in columns], np.concatenate(counts)
                 key, shorter = columns[0], []
                 for j, c in enumerate(columns[1:]):
@@ -294,7 +306,7 @@ def phrase_counts(
     names = ", ".join(f"w{k + 1} string" for k in range(longest))
     for lengths in [[k] for k in range(1, longest + 1)]:
         binary = ", ".join(f"stripes{k} binary, elements{k} binary" for k in lengths)
-        rows = docs.mapInArrow(_mapped(parts, window, lengths, frequent), f"part long, lang string, words array<string>, {binary}")
+        rows = docs.mapInArrow(_mapped(parts, window, lengths, frequent), f"part long, lang string, words binary, {binary}")
         found = rows.groupBy("part").applyInArrow(_merged(often, lengths, longest), f"lang string, {names}, name long, f long")
         found = written_table(found, "phrase-stripes")
         if lengths[-1] < longest:
