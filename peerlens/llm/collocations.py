@@ -186,7 +186,7 @@ def _packed(lang: str, raw: np.ndarray, told: int, parts: int, lengths: list[int
         return
     n = len(rows)
     out = [pa.array([r[0] for r in rows], pa.int64()), pa.array([lang] * n, pa.string())]
-    spaced = pc.binary_join_element_wise(dictionary, "", pa.scalar(" ", pa.large_string()))  # no word holds a space
+    spaced = pc.binary_join_element_wise(dictionary, *[pa.scalar(x, pa.large_string()) for x in ("", " ")])  # no word holds a space
     raw, ends = utf8(spaced.take(pa.array(np.concatenate(used_all))))
     out.append(binaries(raw, np.diff(ends[np.concatenate([[0], np.cumsum([len(u) for u in used_all])])])))
     for k in range(1, 2 * len(lengths) + 1):
