@@ -86,6 +86,62 @@ CLAIM_STEP_WORDS = {
     "repudiated": ["repudiated during"], "end": ["o/s at end"]}
 AGEING_WORDS = ["less than 3", "3 month to 6", "3 months to 6", "6 month to 1", "6 months to 1", "1 year and above", "1 period and above"]
 
+# fixed values: line of the income statement -> schedule, label variants in order (a variant is a list of fragments)
+INCOME_LINES = {
+    "gross direct premium": ("NL-4", [["Gross Direct Premium"], ["Gross Direct"]]),
+    "reinsurance accepted": ("NL-4", [["Premium on reinsurance accepted"], ["reinsurance accepted"]]),
+    "net written premium": ("NL-4", [["Net Written Premium"], ["Net Written"]]),
+    "earned premium": ("NL-4", [["Net Earned Premium"], ["Total Premium Earned (Net)"], ["Premium Earned (Net)"], ["Net Earned"]]),
+    "claims": ("NL-1", [["Claims Incurred"]]),
+    "commission": ("NL-1", [["Commission"]]),
+    "opex": ("NL-1", [["Operating Expenses related to Insurance Business"]]),
+    "policyholders' interest": ("NL-1", [["Interest,", "Rent"]]),
+    "policyholders' sale": ("NL-1", [["sale", "investments"]]),
+    "gross commission": ("NL-6", [["Gross Commission"], ["Direct Commission"]]),
+    "commission and remuneration": ("NL-6", [["Commission & Remuneration"]]),
+    "rewards": ("NL-6", [["Rewards"]]),
+    "distribution fees": ("NL-6", [["Distribution fees"]]),
+    "accepted commission": ("NL-6", [["Commission on Re-insurance Accepted"], ["Re-insurance Accepted"], ["Reinsurance Accepted"]]),
+    "gst": ("NL-7", [["Goods and Service"]]),
+    "in house cost": ("NL-7", [["In House Claim Processing"]]),
+    "shareholders' interest": ("NL-2", [["Interest,", "Rent"]]),
+    "shareholders' profit on sale": ("NL-2", [["Profit on sale", "investments"], ["Profit", "sale/redemption", "investments"]]),
+    "shareholders' loss on sale": ("NL-2", [["Loss on sale", "investments"], ["Loss", "sale/redemption", "investments"]]),
+    "shareholders' amortization": ("NL-2", [["Amortization of Premium"]]),
+    "pbt": ("NL-2", [["Before Tax"]]),
+    "pat": ("NL-2", [["after tax"]]),
+    "total b": ("NL-2", [["TOTAL", "(B)"]]),
+    "ceo": ("NL-2", [["remuneration of MD"]]),
+}
+# fixed values: the same lines where a schedule is text without a grid
+INCOME_TEXT_LINES = {
+    "gross direct premium": ("NL-4", [["Gross Direct Premium"]]),
+    "reinsurance accepted": ("NL-4", [["reinsurance accepted"]]),
+    "net written premium": ("NL-4", [["Net Written Premium"]]),
+    "earned premium": ("NL-4", [["Earned Premium"]]),
+    "claims": ("NL-1", [["Claims Incurred"]]),
+    "commission": ("NL-1", [["Commission"]]),
+    "opex": ("NL-1", [["Operating Expenses related to Insurance Business"]]),
+    "policyholders' interest": ("NL-1", [["Interest, Dividend", "Gross"]]),
+    "policyholders' sale": ("NL-1", [["Profit / Loss on Sale"]]),
+    "gross commission": ("NL-6", [["Gross Commission"], ["Direct Commission"]]),
+    "accepted commission": ("NL-6", [["Commission on Re-insurance Accepted"], ["Re-insurance Accepted"], ["Reinsurance Accepted"]]),
+    "gst": ("NL-7", [["Goods and Service"]]),
+    "in house cost": ("NL-7", [["In House Claim Processing"]]),
+    "shareholders' interest": ("NL-2", [["Interest and Dividend"]]),
+    "shareholders' profit on sale": ("NL-2", [["Sale of Investments"]]),
+    "shareholders' amortization": ("NL-2", [["Amortis", "Premium"], ["Amortiz", "Premium"]]),
+    "pbt": ("NL-2", [["Before Tax"]]),
+    "pat": ("NL-2", [["after tax"]]),
+    "total b": ("NL-2", [["TOTAL", "(B)"]]),
+    "contribution": ("NL-2", [["Contribution to Policyholders"], ["towards excess", "management"], ["excess eom"], ["towards excess", "eom"]]),
+    "ceo": ("NL-2", [["remuneration of MD"]]),
+}
+INCOME_TEXT_EXCLUDED = {"pbt": ["Exceptional"]}
+COMMISSION_PARTS = ["commission and remuneration", "rewards", "distribution fees"]
+INVESTMENT_LINES = ["policyholders' interest", "policyholders' sale", "shareholders' interest", "shareholders' profit on sale",
+                    "shareholders' loss on sale", "shareholders' amortization"]
+
 # fixed values: ratings and maturities of a portfolio
 RATINGS = ["Sovereign", "AAA rated", "AA or better", "Rated below AA but above A", "Rated below A"]
 MATURITIES = ["Up to 1 year", "More than 1 year and upto 3 years", "More than 3 years and upto 7 years", "More than 7 years and upto 10 years",

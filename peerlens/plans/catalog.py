@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     queries_fill,
     queries_grid,
+    queries_income,
     queries_quality,
     queries_report,
     queries_rollup,
