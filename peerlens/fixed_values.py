@@ -84,6 +84,8 @@ ON_ROLL_WORDS = ["on roll", "on-roll", "onroll"]
 CLAIM_STEP_WORDS = {
     "start": ["o/s at the begin"], "reported": ["reported during"], "settled": ["settled during"],
     "repudiated": ["repudiated during"], "end": ["o/s at end"]}
+CLAIM_AMOUNT_WORDS = ["amount in", "amt of claim", "rs in lakh", "rs. in lakh", "rs.in lakh"]
+CLAIM_COUNT_WORDS = ["no of claims", "no. of claims", "no.of claims", "nos of claim", "no of claim"]
 AGEING_WORDS = ["less than 3", "3 month to 6", "3 months to 6", "6 month to 1", "6 months to 1", "1 year and above", "1 period and above"]
 
 # fixed values: line of the income statement -> schedule, label variants in order (a variant is a list of fragments)

@@ -55,13 +55,15 @@ def grid_lines(rows: DataFrame, by: Sequence[str], labels: Labels) -> DataFrame:
 def text_lines(pages: DataFrame, by: Sequence[str], labels: Labels, exclude: dict[str, Sequence[str]]) -> DataFrame:
     """The same from text pages with their columns (lines.period_columns): the first line of a page that a label fits."""
 
-    def found(item: str, form: str, n: int, fragments: Sequence[str]) -> Column:
+    def found(item: str, n: int, fragments: Sequence[str]) -> Column:
         line = F.get(F.filter("lines", lambda x: lines._holds(x, fragments, exclude.get(item, ()))), F.lit(0))
-        return F.struct(F.lit(item).alias("item"), F.lit(form).alias("of"), F.lit(n).alias("variant"), lines.after_label(line, fragments).alias("rest"))
+        return F.struct(F.lit(item).alias("item"), F.lit(n).alias("variant"), lines.after_label(line, fragments).alias("rest"))
 
-    labelled = F.array(*[found(i, form, n, v) for i, (form, variants) in labels.items() for n, v in enumerate(variants)])
-    mine = F.filter(labelled, lambda x: (x["of"] == F.col("form")) & x["rest"].isNotNull())
-    rows = pages.where(F.col("cur_n").isNotNull()).select(*by, "page", "cur_n", "prior_n", F.inline(mine))
+    mine = F.lit(None)
+    for form in dict.fromkeys(f for f, _ in labels.values()):  # a page is asked for the lines of its own schedule only
+        labelled = F.array(*[found(i, n, v) for i, (of, variants) in labels.items() if of == form for n, v in enumerate(variants)])
+        mine = F.when(F.col("form") == form, labelled).otherwise(mine)
+    rows = pages.where(F.col("cur_n").isNotNull()).select(*by, "page", "cur_n", "prior_n", F.inline(mine)).where(F.col("rest").isNotNull())
     rows = rows.withColumn("numbers", line_numbers(F.col("rest")))
     place = F.struct(F.col("page"), F.lit(0).alias("tbl"), F.lit(0).cast("bigint").alias("r"))
     at = lambda c: F.get("numbers", F.col(c))
@@ -108,18 +110,18 @@ def statement(found: DataFrame, by: Sequence[str]) -> DataFrame:
 
     A required figure that is missing leaves its sum empty; optional ones count as nothing.
     """
-    names = [*fixed.INCOME_LINES, "contribution", "other income"]
-    wide = found.groupBy(*by).agg(*[
-        F.max(F.when(F.col("item") == n, F.col(c))).cast("decimal(24,4)").alias(f"{n}|{c}") for n in names for c in ("cur", "prior")])
+    exact = [F.col(c).cast("decimal(24,4)").alias(c) for c in ("cur", "prior")]
+    # as many entries as the statement has lines
+    wide = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("item", F.struct(*exact)))).alias("_lines"))
 
     def of(c: str) -> list[tuple[str, Column]]:
-        v = lambda n: F.col(f"{n}|{c}")
+        v = lambda n, y=c: F.col("_lines")[n][y]
         parts = [v(n) for n in fixed.COMMISSION_PARTS]
-        no_gross = (F.coalesce("gross commission|cur", F.lit(0)) == 0) & (F.coalesce("gross commission|prior", F.lit(0)) == 0)
+        no_gross = (F.coalesce(v("gross commission", "cur"), F.lit(0)) == 0) & (F.coalesce(v("gross commission", "prior"), F.lit(0)) == 0)
         some = F.lit(False)
         for n in fixed.COMMISSION_PARTS:
             for y in ("cur", "prior"):
-                some = some | (F.coalesce(f"{n}|{y}", F.lit(0)) != 0)
+                some = some | (F.coalesce(v(n, y), F.lit(0)) != 0)
         gross = F.when(no_gross & some, F.coalesce(sum_exact(parts), v("gross commission"))).otherwise(v("gross commission"))
         beyond = v("total b") - F.coalesce(v("contribution"), F.lit(0))
         overheads = base_exact(v("commission") + v("opex"), beyond, -v("other income"))

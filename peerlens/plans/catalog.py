@@ -1,6 +1,7 @@
 """Loads every query module; importing it fills the registry."""
 
 from . import (  # noqa: F401
+    queries_claims,
     queries_fill,
     queries_grid,
     queries_income,

@@ -26,8 +26,8 @@ ITEMS = {
     "RI Accepted Commission": "ri_com_{t}", "GST": "gst_{t}", "In House Claim Processing Cost": "in_house_{t}", "PBT": "pbt_{t}", "PAT": "pat_{t}",
     "CEO Remuneration": "ceo_{t}",
     "Investment Income": "ph_int_{t} + ph_sale_{t} + sh_int_{t} + sh_profit_{t} + sh_amort_{t} - CASE WHEN doc % 3 = 2 THEN 0 ELSE sh_loss_{t} END",
-    "Other Income": "other_a_{t} + other_b_{t}", "Contribution to Policyholders": "con_1_{t} + ceo_{t} + con_3_{t}",
-    "Total Overheads": "commission_{t} + opex_{t} + total_b_{t} - (con_1_{t} + ceo_{t} + con_3_{t}) - (other_a_{t} + other_b_{t})",
+    "Other Income": "other_a_{t} + other_b_{t}", "Contribution to Policyholders": "CASE WHEN doc % 3 = 2 THEN contribution_{t} ELSE con_1_{t} + ceo_{t} + con_3_{t} END",
+    "Total Overheads": "commission_{t} + opex_{t} + total_b_{t} - CASE WHEN doc % 3 = 2 THEN contribution_{t} ELSE con_1_{t} + ceo_{t} + con_3_{t} END - (other_a_{t} + other_b_{t})",
 }
 
 

@@ -20,36 +20,25 @@ MEASURES = {
     "ceo": ("accepted", "flag = 'N'"), "con_3": ("accepted", "flag = 'R'"), "total_b": ("ceded", "status = 'O'"), "pbt": ("pbt", ""),
     "pat": ("value", "flag <> 'N'"), "com_a": ("commission", "flag <> 'R'"), "com_b": ("commission", "flag = 'R' AND status = 'O'"),
     "com_c": ("commission", "flag = 'R' AND status = 'F'"), "ri_com": ("accepted", "flag <> 'A'"), "gst": ("ceded", "flag <> 'R'"),
-    "in_house": ("claims", "flag = 'A'"),
+    "in_house": ("claims", "flag = 'A'"), "contribution": ("accepted", ""),
 }
 KINDS = ("cc", "cq", "pc", "pq")
 
 
 def base(spark, sf_dir) -> DataFrame:
-    """doc, fy and the figures of every measure."""
+    """doc, fy, measure, f, minus: the printed figures (cc, cq, pc, pq) of every measure, and the same with the sign changed."""
     extra = {f"m_{n}": F.when(F.expr(test or "true"), F.col(of)).otherwise(0) for n, (of, test) in MEASURES.items()}
-    found = render.figures(render.line_facts(spark, sf_dir, extra), [], [f"m_{n}" for n in MEASURES])
-    return found.withColumnsRenamed({f"m_{n}_{k}": f"{n}_{k}" for n in MEASURES for k in KINDS})
+    facts = render.line_facts(spark, sf_dir, extra).groupBy("doc", "fy", "q").agg(*[F.sum(f"m_{n}").alias(n) for n in MEASURES])
+    long = facts.select("doc", "fy", "q", F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("v")) for n in MEASURES])))
+    found = render.figures(long, ["measure"], ["v"])
+    values = F.array(*[F.col(f"v_{k}") for k in KINDS])
+    return found.select("doc", "fy", "measure", F.transform(values, lambda v: render.printed(v)).alias("f"), F.transform(values, lambda v: render.printed(-v)).alias("minus"))
 
 
 def is_text() -> Column:
     return F.col("doc") % 3 == 2
 
 
-def _figure(measure: str | None, k: str, minus: bool = False) -> Column:
-    if measure is None:
-        return F.lit("-")
-    parts = [F.col(f"{m}_{k}") for m in measure.split("+")]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return render.printed(-total if minus else total)
-
-
-def _blank_gross(k: str) -> Column:
-    return F.when(F.col("doc") % 7 == 0, F.lit("-")).otherwise(_figure("commission", k))
-
-
 NL4 = [("Gross Direct Premium", "gross"), ("Add: Premium on reinsurance accepted", "accepted"), ("Net Written Premium", "value"), ("Net Earned Premium", "earned")]
 NL1 = [("Claims Incurred (Net)", "claims"), ("Commission", "commission"), ("Operating Expenses related to Insurance Business", "opex"),
        ("Interest, Dividend & Rent - Gross", "ph_int"), ("Profit / Loss on sale / redemption of investments", "ph_sale")]
@@ -66,7 +55,7 @@ TEXT = {
              ("Interest, Dividend and Rent - (Gross)", "ph_int"), ("Profit / Loss on Sale of Investments", "ph_sale")],
     "NL-2": [("Interest and Dividend Income", "sh_int"), ("Profit and Loss on Sale of Investments", "sh_profit"), ("Amortisation of Premium", "sh_amort"),
              ("OTHER INCOME", None), ("Gain on exchange", "other_a"), ("Provisions written back", "other_b"), ("TOTAL (A)", "gross"),
-             ("Contribution to Policyholders Funds towards excess EoM", "con_1+ceo+con_3"), ("of which remuneration of MD and others", "ceo"),
+             ("Contribution to Policyholders Funds towards excess EoM", "contribution"), ("of which remuneration of MD and others", "ceo"),
              ("TOTAL (B)", "total_b"), ("Profit Before Tax Exceptional Items", "value"), ("Profit Before Tax", "pbt"), ("Profit after tax", "pat")],
     "NL-6": [("Direct Commission", "commission"), ("Reinsurance Accepted", "ri_com")],
     "NL-7": [("16 Goods and Service Tax", "gst"), ("17 In House Claim Processing Cost", "-in_house")],
@@ -74,12 +63,21 @@ TEXT = {
 FORMS = {"NL-4": (1, NL4), "NL-1": (2, NL1), "NL-2": (3, NL2), "NL-6": (4, NL6), "NL-7": (5, NL7)}
 
 
-def _cell(measure: str | None, k: str) -> Column:
-    if measure == "gross commission":
-        return _blank_gross(k)
-    if measure and measure.startswith("-"):
-        return _figure(measure[1:], k, True)
-    return _figure(measure, k)
+FIGURE, MINUS, DASH, HEAD, GROSS = range(5)  # what a line shows
+
+
+def _places(forms: dict[str, list]) -> Column:
+    """measure -> where it is printed: form, page, line, label, what; lines without a figure of their own come with `gross`."""
+    out: dict[str, list] = {m: [] for m in MEASURES}
+    for form, rows in forms.items():
+        page = FORMS[form][0]
+        out["gross"].append((form, page, 0, "Particulars", HEAD))
+        for n, (label, m) in enumerate(rows, 1):
+            what = DASH if m is None else GROSS if m == "gross commission" else MINUS if m.startswith("-") else FIGURE
+            out["commission" if what == GROSS else "gross" if m is None else m.lstrip("-")].append((form, page, n, label, what))
+    names = ("form", "page", "r", "label", "what")
+    entries = [(F.lit(m), F.array(*[F.struct(*[F.lit(x).alias(k) for x, k in zip(row, names)]) for row in rows])) for m, rows in out.items() if rows]
+    return F.create_map(*[x for e in entries for x in e])
 
 
 def _head(k: str) -> Column:
@@ -87,29 +85,28 @@ def _head(k: str) -> Column:
     return render.period_text(F.col("doc") % 5, k[1] == "c", year)
 
 
-def grids(base: DataFrame) -> DataFrame:
-    """doc, fy, quarter, form, page, tbl, r, cells of the filers that print grids."""
-    odd = F.col("doc") % 2 == 1
-
-    def arranged(of, kinds: str) -> Column:
-        pairs = [(of(f"{y}c"), of(f"{y}q")) for y in kinds]
-        cells = lambda order: F.array(*[p[i] for p in pairs for i in order])
-        return F.when(odd, cells((1, 0))).otherwise(cells((0, 1)))
-
-    def table(rows: list, kinds: str) -> Column:
-        out = [render._row(0, F.concat(F.array(F.lit("Particulars")), arranged(_head, kinds)))]
-        for n, (label, m) in enumerate(rows):
-            out.append(render._row(n + 1, F.concat(F.array(F.lit(label)), arranged(lambda k, m=m: _cell(m, k), kinds))))
-        return F.array(*out)
+def _shown(lines: DataFrame) -> Column:
+    """The four cells of a line."""
+    dashes = F.array_repeat(F.lit("-"), 4)
+    what = F.col("what")
+    return (
+        F.when(what == HEAD, F.array(*[_head(k) for k in KINDS])).when(what == MINUS, F.col("minus")).when(what == DASH, dashes)
+        .when((what == GROSS) & (F.col("doc") % 7 == 0) & ~is_text(), dashes).otherwise(F.col("f")))
 
-    def page(form: str, number: int, rows: Column) -> Column:
-        return F.struct(F.lit(form).alias("form"), F.lit(number).alias("page"), rows.alias("rows"))
 
-    whole = [page(form, number, table(rows, "cp")) for form, (number, rows) in FORMS.items() if form != "NL-7"]
-    split = F.col("doc") % 4 == 1
-    last = F.when(split, F.array(page("NL-7", 5, table(NL7, "c")), page("NL-7", 6, table(NL7, "p")))).otherwise(F.array(page("NL-7", 5, table(NL7, "cp"))))
-    pages = base.where(~is_text()).select("doc", "fy", render.filing_quarter().alias("quarter"), F.inline(F.concat(F.array(*whole), last)))
-    return pages.select("doc", "fy", "quarter", "form", "page", F.lit(0).alias("tbl"), F.inline("rows"))
+def grids(base: DataFrame) -> DataFrame:
+    """doc, fy, quarter, form, page, tbl, r, cells of the filers that print grids."""
+    lines = base.where(~is_text()).select("doc", "fy", "f", "minus", F.inline(F.element_at(_places({f: rows for f, (_, rows) in FORMS.items()}), F.col("measure"))))
+    lines = lines.withColumn("shown", _shown(lines))
+    ordered = lambda a, b: F.when(F.col("doc") % 2 == 1, F.array(F.col("shown")[b], F.col("shown")[a])).otherwise(F.array(F.col("shown")[a], F.col("shown")[b]))
+    now, last = ordered(0, 1), ordered(2, 3)
+    part = lambda offset, cells: F.struct(F.lit(offset).alias("offset"), cells.alias("figures"))
+    split = (F.col("form") == "NL-7") & (F.col("doc") % 4 == 1)
+    parts = F.when(split, F.array(part(0, now), part(1, last))).otherwise(F.array(part(0, F.concat(now, last))))
+    lines = lines.select("doc", "fy", "form", "page", F.col("r").cast("bigint").alias("r"), "label", F.inline(parts))
+    return lines.select(
+        "doc", "fy", render.filing_quarter().alias("quarter"), "form", (F.col("page") + F.col("offset")).alias("page"), F.lit(0).alias("tbl"), "r",
+        F.concat(F.array("label"), "figures").alias("cells"))
 
 
 def texts(base: DataFrame) -> DataFrame:
@@ -119,15 +116,13 @@ def texts(base: DataFrame) -> DataFrame:
     up, fo = "Upto the quarter", "For the quarter"
     labels = F.when(swap, F.lit(f"{up} {fo} {fo} {up}")).otherwise(F.lit(f"{up} {fo} {up} {fo}"))
     header = F.concat_ws("\n", labels, F.concat_ws(" ", cur, cur, prior, prior))
-
-    def line(label: str, m: str | None) -> Column:
-        if m is None:
-            return F.lit(label)
-        cc, cq, pc, pq = (_cell(m, k) for k in KINDS)
-        return F.concat_ws(" ", F.lit(label), cc, cq, F.when(swap, pq).otherwise(pc), F.when(swap, pc).otherwise(pq))
-
-    pages = F.array(*[
-        F.struct(F.lit(form).alias("form"), F.lit(FORMS[form][0]).alias("page"),
-                 F.concat_ws("\n", F.lit(f"FORM {form}"), header, *[line(label, m) for label, m in rows]).alias("text"))
-        for form, rows in TEXT.items()])
-    return base.select("doc", "fy", render.filing_quarter().alias("quarter"), F.inline(pages))
+    lines = base.select("doc", "fy", "f", "minus", F.inline(F.element_at(_places(TEXT), F.col("measure"))))
+    shown = _shown(lines)
+    figures = F.when(swap, F.concat(F.slice(shown, 1, 2), F.array(shown[3], shown[2]))).otherwise(shown)
+    line = (
+        F.when(F.col("what") == HEAD, F.concat_ws("\n", F.concat(F.lit("FORM "), F.col("form")), header))
+        .when(F.col("what") == DASH, F.col("label")).otherwise(F.concat_ws(" ", F.array("label"), figures)))
+    # as many lines as a schedule has
+    listed = F.sort_array(F.collect_list(F.struct("r", line.alias("line"))))
+    pages = lines.groupBy("doc", "fy", "form", "page").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("text"))
+    return pages.withColumn("quarter", render.filing_quarter())
