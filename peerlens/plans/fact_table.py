@@ -34,12 +34,12 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROWS_SQL = """
-, rows0 AS (
+, rows0 AS MATERIALIZED (
   SELECT 7 AS slide, 'Segments' AS category, entity AS company, 'Market share' AS metric1, segment AS metric2, fy, q,
          SUM(value) AS v FROM facts GROUP BY entity, segment, fy, q
   UNION ALL SELECT 8, 'Revenue', entity, 'Revenue Growth', NULL, fy, q, SUM(value) FROM facts GROUP BY entity, fy, q
   UNION ALL SELECT 12, 'Channels', entity, 'Channel share', channel, fy, q, SUM(value) FROM facts GROUP BY entity, channel, fy, q)
-, mrows AS (
+, mrows AS MATERIALIZED (
   SELECT a.slide, a.category, a.company, a.metric1, a.metric2, a.q, a.fy, CAST(a.v AS DOUBLE) AS cur, CAST(b.v AS DOUBLE) AS prior
   FROM rows0 a LEFT JOIN rows0 b ON a.slide = b.slide AND a.company = b.company AND a.metric1 = b.metric1
    AND a.metric2 IS NOT DISTINCT FROM b.metric2 AND a.q = b.q AND b.fy = a.fy - 1)"""

@@ -33,7 +33,7 @@ def staged(build, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Order lines with their dimensions, as every SQL counterpart below sees them.
 FACTS = """
-facts AS (
+facts AS MATERIALIZED (
   SELECT n_name AS entity, r_name AS grp, n_nationkey AS nationkey, c_mktsegment AS segment,
          o_orderpriority AS channel, o_orderkey AS okey, l_suppkey AS suppkey, l_partkey AS partkey,
          CAST(year(o_orderdate - INTERVAL 3 MONTH) AS INTEGER) AS fy,
