@@ -14,6 +14,13 @@ from pyspark.sql.types import StructType
 from ..operators.documents import changed, newest_versions, with_fingerprint
 
 
+PARTS = 16  # partitions of a store
+
+
+def part_of(doc: Column) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(PARTS)).cast("int")
+
+
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
@@ -25,18 +32,24 @@ def intake(stream: DataFrame, doc: str, text: str, verdict: Column, store: str,
     """New or changed documents that the gate lets in are added to the store, stamped with the number of their batch.
 
     verdict: STRUCT<ok, reason> of a row.  A replayed batch overwrites its own folder.  Of several versions in one batch
-    one is kept; what the newest stored version of a document already says adds nothing.  Only fingerprints of the store
-    are read.  refused: where documents that were not let in go, with their reason.
+    one is kept; what the newest stored version of a document already says adds nothing.  A batch is judged and hashed
+    once, into a table beside the checkpoint that everything below reads.  The store is partitioned by a hash of the
+    document: a batch reads fingerprints of those partitions only that its documents fall into.  refused: where documents
+    that were not let in go, with their reason.
     """
     spark = stream.sparkSession
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        judged = batch.withColumn("_v", verdict)
         here = _number(spark, store, checkpoint, batch_id)
-        known = _read_store(spark, store, stream.schema[doc].dataType.simpleString(), doc).where(F.col("batch") < here)
-        fresh = with_fingerprint(judged.where(F.col("_v.ok")).drop("_v"), text)
-        fresh = changed(newest_versions(fresh, doc, "size"), known, doc, "batch")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={here}")
+        judged = with_fingerprint(batch.withColumn("_v", verdict), text).withColumn("part", part_of(F.col(doc)))
+        judged.write.mode("overwrite").parquet(f"{checkpoint}/judged/batch={here}")
+        judged = spark.read.schema(judged.schema).parquet(f"{checkpoint}/judged/batch={here}")
+        fresh = newest_versions(judged.where(F.col("_v.ok")).drop("_v"), doc, "size")
+        parts = [r.part for r in judged.where(F.col("_v.ok")).select("part").distinct().collect()]  # PARTS at most
+        known = _read_store(spark, store, stream.schema[doc].dataType.simpleString(), doc)
+        known = known.where((F.col("batch") < here) & F.col("part").isin(parts))
+        fresh = changed(fresh, known, doc, "batch")
+        fresh.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={here}")
         if refused:
             judged.where(~F.col("_v.ok")).select(*batch.columns, "_v.reason").write.mode("overwrite").parquet(f"{refused}/batch={here}")
 
@@ -58,7 +71,7 @@ def _number(spark: SparkSession, store: str, checkpoint: str, batch_id: int) ->
 
 def _read_store(spark: SparkSession, path: str, doc_type: str, doc: str) -> DataFrame:
     """Fingerprints of the store; no rows where there is none yet."""
-    schema = f"{doc} {doc_type}, sha256 string, size int, batch long"
+    schema = f"{doc} {doc_type}, sha256 string, size int, batch long, part int"
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
@@ -68,8 +81,14 @@ def _read_store(spark: SparkSession, path: str, doc_type: str, doc: str) -> Data
 
 
 def newest_intake(spark: SparkSession, store: str, doc: str) -> DataFrame:
-    """The newest stored version of every document."""
-    return newest_versions(spark.read.parquet(store), doc, "batch").drop("batch")
+    """The newest stored version of every document; no rows where none has been let in yet."""
+    try:
+        stored = spark.read.parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        stored = _read_store(spark, store, "string", doc)
+    return newest_versions(stored, doc, "batch").drop("batch", "part")
 
 
 def fold_columns(progress: str, status: str, time: str, tie: str) -> list[Column]:

@@ -32,6 +32,27 @@ def test_intake_twice_and_changed(spark, tmp_path):
     assert run("c1") == [(1, "a"), (2, "b"), (2, "b"), (2, "b2")] and newest() == [(1, "a"), (2, "b")]
 
 
+def test_a_batch_reads_its_own_partitions(spark, tmp_path):
+    src, store = str(tmp_path / "in"), str(tmp_path / "store")
+    spark.createDataFrame([(k, "x") for k in range(200)], "doc int, text string").coalesce(1).write.parquet(src)
+    gate = F.struct((F.col("text") != "bad").alias("ok"), F.lit("bad text").alias("reason"))
+    stream = lambda: jobs.file_stream(spark, src, "*.parquet", spark.read.parquet(src).schema, 1)
+    jobs.intake(stream(), "doc", "text", gate, store, str(tmp_path / "c"))
+    stored = spark.read.parquet(store)
+    assert stored.where(F.col("part") != jobs.part_of(F.col("doc"))).isEmpty() and stored.select("part").distinct().count() == jobs.PARTS
+    known = jobs._read_store(spark, store, "int", "doc").where(F.col("part").isin([3, 5]))
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "part" in plan.split("PartitionFilters")[1][:80] and 0 < known.count() < 200
+
+
+def test_nothing_let_in(spark, tmp_path):
+    src, store = str(tmp_path / "in"), str(tmp_path / "store")
+    spark.createDataFrame([(1, "bad")], "doc int, text string").write.parquet(src)
+    gate = F.struct(F.lit(False).alias("ok"), F.lit("bad text").alias("reason"))
+    jobs.intake(jobs.file_stream(spark, src, "*.parquet", spark.read.parquet(src).schema), "doc", "text", gate, store, str(tmp_path / "c"))
+    assert jobs.newest_intake(spark, store, "doc").isEmpty()
+
+
 def test_progress_in_batches(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     src = str(tmp_path / "events")
