@@ -140,6 +140,7 @@ def _links(like: float, blocks: int, kind: str):
 
     def run(rows: pa.Table) -> pa.Table:
         d, b = rows["d"][0].as_py(), rows["block"][0].as_py()
+        rows = rows.sort_by("cls")  # a pair is taken once: from its smaller name, where that is at home
         names, home, m, part = rows["cls"].to_numpy(), rows["home"].to_numpy(zero_copy_only=False), rows["m"].to_numpy(), rows["part"].to_numpy()
         across = rows["low"][0].as_py() != rows["high"][0].as_py()
         unit = _units(rows["data"].combine_chunks(), d, kind)
@@ -147,16 +148,17 @@ def _links(like: float, blocks: int, kind: str):
         bounds = cuts(d, blocks)
         shares = (2 - 2 * like) * np.diff(bounds) / d + _SLACK
         x = turned[:, bounds[b] : bounds[b + 1]]
-        square = (x * x).sum(1)
+        square, ones = (x * x).sum(1)[:, None], np.ones((len(x), 1), np.float32)
+        left, right = np.hstack([-2 * x, square, ones]), np.hstack([x, ones, square]).T.copy()  # their product is the squared distance
+        at_home = np.flatnonzero(home)
         found = [np.zeros((0, 2), np.int64)]
-        for at in range(0, len(x), 512):
-            stop = min(at + 512, len(x))
-            near = square[at:stop, None] + square - 2 * (x[at:stop] @ x.T) <= shares[b]
-            near &= home[at:stop, None] & (names[at:stop, None] < names)
-            if across:
-                near &= part[at:stop, None] != part
-            p, q = np.nonzero(near)
-            p += at
+        for at in range(0, len(at_home), 256):
+            own = at_home[at : at + 256]
+            start = own[0] + 1  # all partners come later
+            p, q = np.divmod(np.flatnonzero(left[own] @ right[:, start:] <= shares[b]), max(len(x) - start, 1))
+            p, q = own[p], q + start
+            later = (names[p] < names[q]) & (part[p] != part[q] if across else True)
+            p, q = p[later], q[later]
             for k in range(0, len(p), 1 << 16):
                 i, j = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
                 for e in range(b):  # an earlier block has it
