@@ -4,8 +4,8 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 UTF-8 bytes; strings never cross texts and are judged on the input, not on what is left.
 
 1. Anchors. Of the GRAM-byte strings inside every LENGTH bytes the one of least hash (leftmost of equals) is an anchor:
-   equal strings of LENGTH bytes have the same anchor at the same place, and about one place in 101 is one. All strings
-   with an anchor in common lie in its window, from LENGTH - GRAM bytes before it to LENGTH bytes after its start.
+   equal strings of LENGTH bytes have the same anchor at the same place, and about one place in 101 is one. An anchor's
+   window holds the strings that have it and no others, so each string lies in one window, about 500 bytes long.
 2. Classes. Windows of one anchor that are equal as a whole are one class, counted before anything is moved. A class
    with several members repeats all over. Anchors that occur once need nothing more.
 3. Shards. One window of each class of an anchor with several classes, one of them of a single member, goes, with its bytes, to the shard of the anchor.
@@ -52,51 +52,48 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def _piece(raw: np.ndarray, offsets: np.ndarray, first: int, last: int, length: int, gram: int):
-    """Anchors of the strings that start in first..last - 1 of a run of texts: (row, place, key, window hash, left, right)."""
+    """Anchors at the bytes first..last - 1 of a run of texts: (row, place, key, window hash, left, right)."""
     w = length - gram + 1
-    low, high = max(0, first - w + 1), min(len(raw), last + w - 1 + length)
-    up, down = powers(_BASE, high - low + 1), powers(inverse(_BASE), high - low + 1)
-    sums = np.zeros(high - low + 1, np.uint64)
-    np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
-    begin, end = first - low, min(last + w - 1, len(raw) - gram + 1) - low
-    hashes = mixed((sums[begin + gram : end + gram] - sums[begin:end]) * down[begin:end])
+    low, stop = max(0, first - w + 1), min(last, len(raw) - length + 1)  # the strings that may have them start here
+    n, size = stop - low, stop - low + length - 1
+    up, down = powers(_BASE, size + 1), powers(inverse(_BASE), size + 1)
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum((raw[low : low + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
+    hashes = mixed((sums[gram:] - sums[:-gram]) * down[: size - gram + 1])
     least = _least((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64), w)
-    spread = np.zeros(last - first + 1, np.int64)  # strings that lie in one text
+    spread = np.zeros(n + 1, np.int64)  # strings that lie in one text
     sizes = np.diff(offsets)
-    from_, upto = np.clip(offsets[:-1] - first, 0, last - first), np.clip(offsets[1:] - length + 1 - first, 0, last - first)
+    from_, upto = np.clip(offsets[:-1] - low, 0, n), np.clip(offsets[1:] - length + 1 - low, 0, n)
     held = (sizes >= length) & (from_ < upto)
     np.add.at(spread, from_[held], 1)
     np.add.at(spread, upto[held], -1)
-    inside = np.cumsum(spread[:-1])[: len(least)] > 0
-    at = np.unique((least[inside] & _PLACE).astype(np.int64))
-    place = at + first
-    row = np.searchsorted(offsets, place, "right") - 1
-    left = np.minimum(place - offsets[row], w - 1)
-    right = np.minimum(offsets[row + 1] - place, length)
-    start, stop = place - left - low, place + right - low
-    window = mixed((sums[stop] - sums[start]) * down[start] + mixed(left.astype(np.uint64) * np.uint64(1 << 20) + right.astype(np.uint64)))
-    return row, place - offsets[row], hashes[at], window, left, right
+    starts = np.flatnonzero(np.cumsum(spread[:-1]) > 0)
+    anchor = (least[starts] & _PLACE).astype(np.int64)  # never falls from one string to the next
+    fresh = np.concatenate([[True], anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, bool)
+    at, begin, end = anchor[fresh], starts[fresh], starts[np.append(fresh[1:], True)] + length if len(anchor) else anchor
+    own = (at + low >= first) & (at + low < last)
+    at, begin, end = at[own], begin[own], end[own]
+    left, right = at - begin, end - at
+    window = mixed((sums[end] - sums[begin]) * down[begin] + mixed(left.astype(np.uint64) * np.uint64(1 << 20) + right.astype(np.uint64)))
+    row = np.searchsorted(offsets, at + low, "right") - 1
+    return row, at + low - offsets[row], hashes[at], window, left, right
 
 
 def anchors(texts: pa.Array, length: int = LENGTH, gram: int = GRAM):
     """Anchors of all strings of `length` bytes: arrays of row, place, key, window hash, left, right; one per row and place."""
     raw, offsets = utf8(texts)
-    parts = []
-    for first in range(0, len(raw) - length + 1, PIECE):
-        parts.append(_piece(raw, offsets, first, min(first + PIECE, len(raw) - length + 1), length, gram))
-    if not parts:
+    if len(raw) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    out = [np.concatenate(p) for p in zip(*parts)]
-    if len(parts) > 1:  # two pieces may find the same anchor
-        _, once = np.unique(np.stack([out[0], out[1]]), axis=1, return_index=True)
-        out = [x[once] for x in out]
-    return tuple(out)
+    places = len(raw) - gram + 1
+    parts = [_piece(raw, offsets, first, min(first + PIECE, places), length, gram) for first in range(0, places, PIECE)]
+    return tuple(np.concatenate(p) for p in zip(*parts))
 
 
-def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, rank of each) of windows laid end to end; ends[i] is where the window of byte i stops.
+def suffix_array(text: np.ndarray, ends: np.ndarray, enough: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, group of each) of windows laid end to end; ends[i] is where the window of byte i stops.
 
-    Windows are told apart by what follows them, so no two suffixes are equal.
+    Windows are told apart by what follows them, so no two suffixes are equal and a group is a suffix's rank. With
+    `enough`, suffixes that share so many bytes may stay in one group, in any order.
     """
     n = len(text)
     at, ends = np.arange(n, dtype=np.int32), ends.astype(np.int32)
@@ -128,7 +125,7 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
             sizes = np.diff(np.append(starts, len(where)))
             group[order[where]] = np.repeat(where[starts] + sizes - 1, sizes)
             where = where[np.repeat(sizes > 1, sizes)]
-        if not len(where):
+        if not len(where) or (enough is not None and h >= enough):
             return order, group
         who = order[where]
         follower, stop = who + h, ends[who]
@@ -141,18 +138,24 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         h *= 2
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, windows: np.ndarray) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, windows: np.ndarray, tied: np.ndarray | None = None, enough: int = 0) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in order, by Kasai's method along every window at once.
 
     windows: n + 1 offsets. A window's suffixes are taken in turn, each starting from one byte less than the last shared.
+    tied: suffixes known to share `enough` bytes, which are not compared; the one after them starts from none, since
+    their order says nothing about its own.
     """
     n = len(text)
     ends = np.repeat(windows[1:], np.diff(windows))
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, np.int64)
-    i, stop = windows[:-1].copy(), windows[1:]
-    h = np.zeros(len(i), np.int64)
+    i, stop, h = windows[:-1].copy(), windows[1:], np.zeros(len(windows) - 1, np.int64)
+    if tied is not None:
+        shared[tied] = enough
+        after = np.append(np.where(tied, n, np.arange(n)), n)
+        after = np.minimum.accumulate(after[::-1])[::-1]  # the next suffix that is not tied
+        i = after[i]
     live = np.flatnonzero(i < stop)
     while len(live):
         a = i[live]
@@ -165,6 +168,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, windows: np.ndarray) ->
         shared[i[done]] = h[done]
         i[done] += 1
         h[done] = np.maximum(h[done] - 1, 0)
+        if tied is not None:
+            ahead = after[i[done]]
+            h[done[ahead != i[done]]] = 0
+            i[done] = ahead
         live = live[i[live] < stop[live]]
     return shared
 
@@ -180,8 +187,10 @@ class Shard:
         self.windows = np.concatenate([[0], np.cumsum(sizes)])
         window = np.repeat(np.arange(len(sizes)), sizes)
         ends = self.windows[1:][window]
-        order, _ = suffix_array(text, ends)
-        shared = common_prefixes(text, order, self.windows)[order]
+        order, group = suffix_array(text, ends, length)
+        tied = np.zeros(len(text), bool)
+        tied[order[1:]] = group[order[1:]] == group[order[:-1]]
+        shared = common_prefixes(text, order, self.windows, tied, length)[order]
         long = ends[order] - order >= length
         run = np.cumsum(shared < length)
         self.order = order[long]
