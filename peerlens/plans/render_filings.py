@@ -1,6 +1,6 @@
-"""Filings rendered from order lines: one per supplier and fiscal year, closing with one of the four quarters.
+"""Filings rendered from order lines: one per supplier, fiscal year and quarter.
 
-Which quarter a supplier files for follows from its number; a filing holds the lines of its year up to that quarter.
+A filing holds the lines of its year up to its quarter, so every line is in at least one. Its number tells its quarter.
 
 The numbers are plain aggregates; what varies is how they are printed (five layouts by supplier number),
 so that reading a filing back must give the aggregates again, whatever its layout.
@@ -25,10 +25,26 @@ KEYS = ["doc", "fy", "page", "tbl"]
 
 
 def filing_quarter() -> Column:
-    """The quarter that a supplier files for."""
+    """The quarter that a filing closes with."""
     return (F.floor(F.col("doc") / 3) % 4 + 1).cast("int")
 
 
+def filing_number(supplier: Column, quarter: Column) -> Column:
+    """Number of a supplier's filings for a quarter; filing_quarter reads the quarter back."""
+    return (supplier - supplier % 3) * 4 + (quarter - 1) * 3 + supplier % 3
+
+
+def in_filings(quarters: DataFrame) -> DataFrame:
+    """Figures of suppliers by year and quarter (supplier, fy, q, ...) in all filings that hold them: doc, fy, q, _s, ...
+
+    A quarter counts for this year's filings from then on (_s 0) and, as last year's figures, for those of the next year (1).
+    """
+    out = quarters.withColumn("_closing", F.explode(F.sequence(F.col("q"), F.lit(4))))
+    out = out.withColumn("_s", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = out.withColumn("doc", filing_number(F.col("supplier"), F.col("_closing"))).withColumn("fy", F.col("fy") + F.col("_s"))
+    return out.drop("supplier", "_closing")
+
+
 def closes_in() -> Column:
     """Calendar year that this year's filing closes in."""
     return closing_year(F.col("fy"), filing_quarter())
@@ -47,7 +63,7 @@ def closing_day(style: str, year: Column) -> Column:
 
 
 def line_facts(spark, sf_dir, extra: dict[str, Column] | None = None) -> DataFrame:
-    """doc, fy, q, seg and other keys per order line, with the line's measures in units of 1e-4."""
+    """supplier, fy, q, seg and other keys per order line, with the line's measures in units of 1e-4."""
     m = line_measures()
     # claims of a travel line only would make one segment special: take open lines instead
     m["claims"] = F.when(F.col("l_linestatus") == "O", m["value"]).otherwise(0)
@@ -56,22 +72,21 @@ def line_facts(spark, sf_dir, extra: dict[str, Column] | None = None) -> DataFra
     m["pbt"] = m["value"] - 2 * m["claims"] - m["commission"]
     m["lines"] = F.lit(10_000).cast("bigint")
     lines = read_table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("okey"), F.col("l_suppkey").alias("doc"), F.col("l_returnflag").alias("flag"),
+        F.col("l_orderkey").alias("okey"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("status"), F.col("l_partkey").alias("partkey"), *[c.alias(n) for n, c in m.items()])
     orders = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("okey"), F.col("o_orderpriority").alias("channel"),
         fiscal_year("o_orderdate").alias("fy"), fiscal_quarter("o_orderdate").alias("q"))
-    out = lines.join(orders, "okey").where(F.col("q") <= filing_quarter())
+    out = lines.join(orders, "okey")
     return out.withColumns(extra) if extra else out
 
 
 def figures(facts: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
     """doc, fy, by + per measure m: m_cc, m_cq, m_pc, m_pq (cumulative / quarter of this and last year), two decimals.
 
-    A year's lines count for its own filing and, as last year's figures, for the next one.
+    facts: supplier, fy, q, by, measures. They are added up by quarter before they are copied into filings.
     """
-    yearly = facts.groupBy("doc", "fy", "q", *by).agg(*[F.sum(m).alias(m) for m in measures])
-    twice = yearly.withColumn("_s", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("fy", F.col("fy") + F.col("_s"))
+    twice = in_filings(facts.groupBy("supplier", "fy", "q", *by).agg(*[F.sum(m).alias(m) for m in measures]))
     cur, last = F.col("_s") == 0, F.col("q") == filing_quarter()
     tests = {"cc": cur, "cq": cur & last, "pc": ~cur, "pq": ~cur & last}
     total = lambda m, t: F.round(
@@ -108,11 +123,11 @@ def statement_grid(spark, sf_dir) -> DataFrame:
     measures = [m for _, m in GRID_ITEMS]
     seg = F.element_at(F.create_map(*[F.lit(x) for kv in SEGMENTS.items() for x in kv]), F.col("flag"))
     facts = line_facts(spark, sf_dir, {"seg": seg})
-    yearly = facts.groupBy("doc", "fy", "q", "seg").agg(*[F.sum(m).alias(m) for m in measures])
-    items = yearly.select("doc", "fy", "q", "seg", F.inline(F.array(*[
+    quarters = facts.groupBy("supplier", "fy", "q", "seg").agg(*[F.sum(m).alias(m) for m in measures])
+    items = quarters.select("supplier", "fy", "q", "seg", F.inline(F.array(*[
         F.struct(F.lit(n).alias("item_no"), F.lit(label).alias("label"), F.col(m).alias("v"))
         for n, (label, m) in enumerate(GRID_ITEMS)])))
-    twice = items.withColumn("_s", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("fy", F.col("fy") + F.col("_s"))
+    twice = in_filings(items)
     cur, last = F.col("_s") == 0, F.col("q") == filing_quarter()
     tests = {"cc": cur, "cq": cur & last, "pc": ~cur, "pq": ~cur & last}
 

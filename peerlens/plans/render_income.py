@@ -28,8 +28,8 @@ KINDS = ("cc", "cq", "pc", "pq")
 def base(spark, sf_dir) -> DataFrame:
     """doc, fy, measure, f, minus: the printed figures (cc, cq, pc, pq) of every measure, and the same with the sign changed."""
     extra = {f"m_{n}": F.when(F.expr(test or "true"), F.col(of)).otherwise(0) for n, (of, test) in MEASURES.items()}
-    facts = render.line_facts(spark, sf_dir, extra).groupBy("doc", "fy", "q").agg(*[F.sum(f"m_{n}").alias(n) for n in MEASURES])
-    long = facts.select("doc", "fy", "q", F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("v")) for n in MEASURES])))
+    facts = render.line_facts(spark, sf_dir, extra).groupBy("supplier", "fy", "q").agg(*[F.sum(f"m_{n}").alias(n) for n in MEASURES])
+    long = facts.select("supplier", "fy", "q", F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("v")) for n in MEASURES])))
     found = render.figures(long, ["measure"], ["v"])
     values = F.array(*[F.col(f"v_{k}") for k in KINDS])
     return found.select("doc", "fy", "measure", F.transform(values, lambda v: render.printed(v)).alias("f"), F.transform(values, lambda v: render.printed(-v)).alias("minus"))
