@@ -109,17 +109,22 @@ def row_fractions(spark, sf_dir):
 
 # states in the order of their numbers; the last name belongs to no zone
 STATES = [*fixed.ZONE_OF_STATE, "Offshore"]
-# the expected zones, written out once more so that the table above is checked and not repeated
-EXPECTED_ZONES = {
-    "North": "Rajasthan|Delhi|Punjab|Haryana|Chandigarh|Ladakh|Jammu & Kashmir|Himachal Pradesh|Uttarakhand|Uttar Pradesh",
-    "South": "Kerala|Tamil Nadu|Karnataka|Puducherry|Lakshadweep|Andaman and Nicobar Islands",
-    "East": "Assam|Arunachal Pradesh|Bihar|Jharkhand|Manipur|Meghalaya|Mizoram|Nagaland|Sikkim|Tripura|West Bengal",
-    "West": "Goa|Gujarat|Maharashtra|Daman & Diu|Dadra and Nagar Haveli",
-    "Central": "Andhra Pradesh|Chhattisgarh|Madhya Pradesh|Odisha|Telangana"}
+# fixed values: state and zone, written out once more so that the table above is checked and not repeated
+EXPECTED_ZONES = [
+    ("Delhi", "North"), ("Uttar Pradesh", "North"), ("Haryana", "North"), ("Punjab", "North"), ("Rajasthan", "North"),
+    ("Uttarakhand", "North"), ("Chandigarh", "North"), ("Himachal Pradesh", "North"), ("Jammu & Kashmir", "North"), ("Ladakh", "North"),
+    ("Karnataka", "South"), ("Tamil Nadu", "South"), ("Kerala", "South"), ("Puducherry", "South"),
+    ("Andaman and Nicobar Islands", "South"), ("Lakshadweep", "South"),
+    ("West Bengal", "East"), ("Bihar", "East"), ("Jharkhand", "East"), ("Assam", "East"), ("Tripura", "East"), ("Manipur", "East"),
+    ("Meghalaya", "East"), ("Arunachal Pradesh", "East"), ("Nagaland", "East"), ("Sikkim", "East"), ("Mizoram", "East"),
+    ("Maharashtra", "West"), ("Gujarat", "West"), ("Goa", "West"), ("Daman & Diu", "West"), ("Dadra and Nagar Haveli", "West"),
+    ("Telangana", "Central"), ("Madhya Pradesh", "Central"), ("Andhra Pradesh", "Central"), ("Odisha", "Central"),
+    ("Chhattisgarh", "Central"),
+]
 STATE_NO = "CASE WHEN segment IN ('BUILDING', 'MACHINERY') THEN nationkey + 13 ELSE nationkey END"
 STATE_SQL = (
     ", states(state_no, state) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(STATES)) + ")"
-    ", zones(state, zone) AS (VALUES " + ", ".join(f"('{s}', '{z}')" for z, names in EXPECTED_ZONES.items() for s in names.split("|")) + ")")
+    ", zones(state, zone) AS (VALUES " + ", ".join(f"('{s}', '{z}')" for s, z in EXPECTED_ZONES) + ")")
 IN_STATE = f"LEFT JOIN states ON state_no = {STATE_NO} LEFT JOIN zones USING (state)"
 
 

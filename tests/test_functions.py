@@ -149,3 +149,10 @@ def test_file_verdict(spark):
     v = lambda b, k, n=100: one(spark, docs.file_verdict(F.lit(b), F.lit(k), n))
     assert v(b"%PDF-1.7", "pdf") is None and v(b"PK\x03", "xlsx") is None
     assert v(b"<html>", "pdf") == "wrong kind of file" and v(b"%PDF" + b"x" * 200, "pdf") == "too large"
+
+
+def test_figures_are_rejoined_piece_by_piece(spark):
+    read = lambda t: one(spark, num.line_numbers(F.lit(t)))
+    assert read("Premium (1 ,234.50 ) 3 45.10 - 12 345.10") == [-1234.5, 345.1, 0, 12, 345.1]
+    assert read("1.5 12.30") == [1.5, 12.3]  # a digit after a point is no piece of its own
+    assert read("( 5 7 .25 )") == [-57.25] and read("") == [] and read(None) is None
