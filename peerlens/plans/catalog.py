@@ -11,6 +11,7 @@ from . import (  # noqa: F401
     queries_series,
     queries_sheets,
     queries_sources,
+    queries_tables,
     queries_text,
 )
 from .registry import ORACLES, QUERIES
