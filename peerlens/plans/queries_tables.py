@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import printed_number
-from ..operators import grid
+from ..operators import grid, items
 from . import render_plain as render
-from .queries_grid import FILINGS, KEYS, fig
+from .queries_grid import CODE_ROWS, CODE_SQL, FILINGS, KEYS, fig
 from .registry import query, staged
+from .render_filings import INVESTMENT_CODES
 
 GROUPS = {"Number": "lines", "Amount": "gross"}
 
@@ -44,3 +45,20 @@ def grid_issues(spark, sf_dir):
     return grid.table_issues({
         "cumulative columns": grid.anchor_reasons(page(12), KEYS), "closing dates": grid.snapshot_columns(page(13), KEYS),
         "channel blocks": grid.channel_columns(page(14), KEYS), "value columns": grid.resolve_every_table(page(15), KEYS)}, KEYS)
+
+
+CODE_NAME = "CASE partkey % 10 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(INVESTMENT_CODES)) + " END"
+
+
+@query("portfolio_reconciled", FILINGS + f"""
+, v AS (SELECT doc, fy, now, {CODE_NAME} AS code, {CODE_SQL} AS bucket, nullif(CAST(round(SUM(gross), 2) AS DECIMAL(18,2)), 0) AS value FROM filed GROUP BY ALL)
+, t AS (SELECT doc, fy, now, coalesce(SUM(value) FILTER (bucket IS NOT NULL), 0) AS known, coalesce(SUM(value) FILTER (bucket IS NULL), 0) AS unknown, SUM(value) AS total FROM v GROUP BY ALL)
+, p AS (SELECT doc, fy, now, CAST(known AS DECIMAL(18,2)) AS known, CAST(unknown AS DECIMAL(18,2)) AS unknown, CASE doc % 4 WHEN 0 THEN CAST(total AS DECIMAL(18,2))
+  WHEN 1 THEN CAST(round(CAST(total AS DECIMAL(18,2)) * CAST(1.004 AS DECIMAL(4,3)), 2) AS DECIMAL(18,2)) WHEN 2 THEN CAST(round(CAST(total AS DECIMAL(18,2)) * CAST(1.006 AS DECIMAL(4,3)), 2) AS DECIMAL(18,2)) END AS printed FROM t)
+SELECT doc, fy, CASE WHEN now THEN 'current' ELSE 'prior' END AS period, code, bucket, CAST(value AS DOUBLE) AS value, CAST(known AS DOUBLE) AS known,
+  CAST(unknown AS DOUBLE) AS unknown, CAST(printed AS DOUBLE) AS printed, CASE WHEN coalesce(printed, 0) = 0 THEN 'no total'
+  WHEN abs(known - printed) * 200 <= printed THEN 'agrees' WHEN abs(known + unknown - printed) * 200 <= printed THEN 'agrees with unknown codes' ELSE 'differs' END AS status
+FROM v JOIN p USING (doc, fy, now) WHERE value IS NOT NULL""")
+def portfolio_reconciled(spark, sf_dir):
+    buckets = spark.createDataFrame(CODE_ROWS, "code string, bucket string")
+    return items.portfolio_audit(staged(render.misprinted_portfolio, spark, sf_dir), KEYS, buckets).drop("page", "tbl")

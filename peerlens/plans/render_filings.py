@@ -283,8 +283,11 @@ def balance_grid(spark, sf_dir) -> DataFrame:
 INVESTMENT_CODES = ["CGSB", "HTDN", "ECDB", "ECAM", "EGMF", "CTRB", "ICCP", "OEPU", "ZZZZ", "EDCD"]
 
 
-def investment_grid(spark, sf_dir) -> DataFrame:
-    """Investments by category code: [investment, income, gross yield, net yield] for two year-to-date blocks."""
+def investment_grid(spark, sf_dir, misprint: Column | None = None) -> DataFrame:
+    """Investments by category code: [investment, income, gross yield, net yield] for two year-to-date blocks.
+
+    misprint: factor of the investments that the total row prints; null leaves them out.
+    """
     code = F.col("partkey") % len(INVESTMENT_CODES)
     base = figures(line_facts(spark, sf_dir, {"code": code}), ["code"], ["gross", "commission"])
     kinds = ("cc", "pc")
@@ -299,6 +302,8 @@ def investment_grid(spark, sf_dir) -> DataFrame:
         inv, inc = F.col(f"gross_{k}_{tag}"), F.col(f"commission_{k}_{tag}")
         pct = F.round(F.try_divide(inc.cast("double"), inv.cast("double")) * 100, 2)
         shown = F.when(F.col("doc") % 3 != 0, F.concat(pct.cast("string"), F.lit("%"))) if printed_yield else none
+        if misprint is not None and tag == "t":
+            inv = F.round(inv * misprint, 2)
         return [printed(inv), printed(inc), shown, none]
 
     def cells(lead: list[Column], ks: list[list[Column]]) -> Column:

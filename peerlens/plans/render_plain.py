@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .render_filings import SEGMENTS, _row, closes_in, figures, filing_quarter, line_facts, period_text, printed
+from .render_filings import SEGMENTS, _row, closes_in, figures, filing_quarter, investment_grid, line_facts, period_text, printed
 
 
 def _totals(spark, sf_dir, extra: list[str]) -> DataFrame:
@@ -79,3 +79,9 @@ def faulty_grid(spark, sf_dir) -> DataFrame:
             (15, F.when(fault == 0, F.array(*words)).otherwise(F.array(*grouped))))])
     return wide.select("doc", "fy", filing_quarter().alias("quarter"), F.inline(pages)).select(
         "doc", "fy", "quarter", "page", F.lit(0).alias("tbl"), F.inline("rows"))
+
+
+def misprinted_portfolio(spark, sf_dir) -> DataFrame:
+    """Investments by code with a total row that is right, 0.4 % or 0.6 % too high, or blank, by filing number."""
+    factor = F.element_at(F.array(*[F.lit(f).cast("decimal(4,3)") for f in ("1", "1.004", "1.006", None)]), (F.col("doc") % 4 + 1).cast("int"))
+    return investment_grid(spark, sf_dir, factor)
