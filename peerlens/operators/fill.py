@@ -215,3 +215,16 @@ def both_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a, b = left.select(key), right.select(key)
     return a.exceptAll(b).withColumn("only_in", F.lit("left")).unionByName(
         b.exceptAll(a).withColumn("only_in", F.lit("right")))
+
+
+def rate_across(top: DataFrame, bottom: DataFrame, spellings: DataFrame, by: Sequence[str], name: str, other: str) -> DataFrame:
+    """by, other, cur, prior, cur_rate, prior_rate: figures of one schedule over those of another that spells its rows differently.
+
+    top: by, name, cur, prior; bottom: by, other, cur, prior; spellings: name -> other.  Rows of several names for one
+    `other` are added up before they meet it; a rate over nothing is null.
+    """
+    by, money = list(by), lambda c: F.sum(F.col(c).cast("decimal(24,4)")).cast("double").alias(c)
+    named = top.join(spellings.select(name, other).distinct(), name).groupBy(*by, other).agg(money("cur"), money("prior"))
+    under = bottom.select(*by, other, F.col("cur").alias("_cur"), F.col("prior").alias("_prior"))
+    rate = lambda c: F.round(F.try_divide(F.col(c), F.col(f"_{c}")), 4).alias(f"{c}_rate")
+    return named.join(under, [*by, other]).select(*by, other, "cur", "prior", rate("cur"), rate("prior"))

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fixed
 from ..functions.numbers import printed_number
-from ..operators import grid, items
+from ..operators import fill, grid, items
+from ..sources import block_sheet, registry
+from ..sources.tables import read_table
 from . import render_plain as render
-from .queries_grid import CODE_ROWS, CODE_SQL, FILINGS, KEYS, fig
+from .queries_grid import BUCKET, CODE_ROWS, CODE_SQL, FILINGS, KEYS, fig
+from .queries_sheets import KEYS as SHEET_KEYS
+from .queries_sheets import SHEETS
 from .registry import query, staged
-from .render_filings import INVESTMENT_CODES
+from .render_filings import INVESTMENT_CODES, channel_grid
+from .render_sheets import block_sheets
 
 GROUPS = {"Number": "lines", "Amount": "gross"}
 
@@ -62,3 +68,45 @@ FROM v JOIN p USING (doc, fy, now) WHERE value IS NOT NULL""")
 def portfolio_reconciled(spark, sf_dir):
     buckets = spark.createDataFrame(CODE_ROWS, "code string, bucket string")
     return items.portfolio_audit(staged(render.misprinted_portfolio, spark, sf_dir), KEYS, buckets).drop("page", "tbl")
+
+
+PREMIUM_CHANNELS = [*fixed.CHANNEL_FRAGMENTS, "Others"]
+
+
+@query("channel_commission_rate", FILINGS + f"""
+, b AS (SELECT *, {BUCKET} AS bucket FROM filed)
+, names(bucket) AS (VALUES {", ".join(f"('{c}')" for c in PREMIUM_CHANNELS)})
+, s AS (SELECT d.doc, d.fy, n.bucket, {fig('commission', True)} AS cur, {fig('commission', False)} AS prior, {fig('gross', True)} AS c, {fig('gross', False)} AS p
+  FROM docs d CROSS JOIN names n LEFT JOIN b ON b.doc = d.doc AND b.fy = d.fy AND b.bucket = n.bucket GROUP BY d.doc, d.fy, n.bucket)
+SELECT doc, fy, bucket, cur, prior, round(cur / nullif(c, 0), 4) AS cur_rate, round(prior / nullif(p, 0), 4) AS prior_rate FROM s""")
+def channel_commission_rate(spark, sf_dir):
+    form = staged(channel_grid, spark, sf_dir)
+    premium = grid.channel_rows(form, KEYS, grid.channel_columns(form, KEYS), fixed.CHANNEL_FRAGMENTS).drop("page", "tbl")
+    schedule = staged(render.commission_grid, spark, sf_dir)
+    commission = grid.line_items(
+        grid.resolved_rows(schedule, KEYS, total=False), ["doc", "fy"], {c: [[c]] for c in render.COMMISSION_CHANNELS}, ["page", "tbl", "r"])
+    spellings = spark.createDataFrame(list(zip(render.COMMISSION_CHANNELS, PREMIUM_CHANNELS)), "item string, bucket string")
+    return fill.rate_across(commission, premium, spellings, ["doc", "fy"], "item", "bucket")
+
+
+@query("entity_grand_totals", SHEETS + """
+SELECT sheet, fy, q, 'Peer ' || n_nationkey AS entity, cur, prev AS prior FROM sheet JOIN nation ON label = n_name
+WHERE col = 'Grand Total' AND coalesce(cur, prev) IS NOT NULL""")
+def entity_grand_totals(spark, sf_dir):
+    sheet = block_sheet.read_block_sheet(staged(block_sheets, spark, sf_dir), SHEET_KEYS)
+    labels = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("Peer "), "n_nationkey").alias("entity"), F.col("n_name").alias("label"))
+    return block_sheet.entity_totals(sheet, labels, SHEET_KEYS)
+
+
+@query("short_keys", """
+SELECT s_name || ' & Allied' AS name, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN 'Another & ' || s_suppkey ELSE 'Short ' || s_suppkey END AS short_key,
+  CASE WHEN s_suppkey % 5 = 0 THEN replace(replace(lower(s_name || ' & Allied'), ' ', '-'), '&', 'and')
+    WHEN s_suppkey % 3 = 0 THEN 'another-and-' || s_suppkey ELSE 'short-' || s_suppkey END AS entity_slug FROM supplier""")
+def short_keys(spark, sf_dir):
+    # every third document is kept under two keys, every fifth source has none
+    named = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.concat("s_name", F.lit(" & Allied")).alias("name"))
+    file = F.concat(F.replace(F.split_part("name", F.lit(" &"), F.lit(1)), F.lit(" "), F.lit("_")), F.lit("_and_Allied.pdf"))
+    keys = F.array_compact(F.array(
+        F.concat(F.lit("Short "), "s_suppkey"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Another & "), "s_suppkey"))))
+    entities = named.where(F.col("s_suppkey") % 5 != 0).select(file.alias("file_name"), F.explode(keys).alias("short_key"))
+    return registry.short_keys(named.select("name"), entities)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .render_filings import SEGMENTS, _row, closes_in, figures, filing_quarter, investment_grid, line_facts, period_text, printed
+from .render_filings import (
+    SEGMENTS, _row, channel_of, closes_in, figures, filing_quarter, investment_grid, line_facts, period_text, printed)
 
 
 def _totals(spark, sf_dir, extra: list[str]) -> DataFrame:
@@ -85,3 +86,18 @@ def misprinted_portfolio(spark, sf_dir) -> DataFrame:
     """Investments by code with a total row that is right, 0.4 % or 0.6 % too high, or blank, by filing number."""
     factor = F.element_at(F.array(*[F.lit(f).cast("decimal(4,3)") for f in ("1", "1.004", "1.006", None)]), (F.col("doc") % 4 + 1).cast("int"))
     return investment_grid(spark, sf_dir, factor)
+
+
+# the commission schedule's own names of the channels, in the order of the channel form
+COMMISSION_CHANNELS = ["Agents (individual)", "Bancassurance", "Other corporate agencies", "Broking houses", "Direct selling", "Web portals"]
+
+
+def commission_grid(spark, sf_dir) -> DataFrame:
+    """The commission schedule: commission by channel for both years, channels under other names than in the channel form."""
+    base = figures(line_facts(spark, sf_dir, {"ch": channel_of()}), ["ch"], ["commission"])
+    wide = base.groupBy("doc", "fy").agg(*[
+        F.sum(F.when(F.col("ch") == n, F.col(f"commission_{k}"))).alias(f"{k}_{n}") for k in ("cc", "pc") for n in range(1, 7)])
+    head = [F.lit("Channels"), *[period_text(F.lit(0), True, y) for y in (closes_in(), closes_in() - 1)]]
+    rows = [_row(0, head), *[
+        _row(n, [F.lit(name), printed(F.col(f"cc_{n}")), printed(F.col(f"pc_{n}"))]) for n, name in enumerate(COMMISSION_CHANNELS, 1)]]
+    return wide.select("doc", "fy", filing_quarter().alias("quarter"), F.lit(16).alias("page"), F.lit(0).alias("tbl"), F.inline(F.array(*rows)))

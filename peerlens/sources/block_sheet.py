@@ -92,3 +92,13 @@ def lookup_columns(sheet: DataFrame, wanted: DataFrame, keys: Sequence[str], row
     asked = wanted.withColumn("_f", fold_label(F.col("name")))
     return asked.join(have, [*keys, "_f"], "left").select(
         *keys, "name", "cur", "prev", F.col("_hit").isNull().alias("missing"))
+
+
+def entity_totals(sheet: DataFrame, labels: DataFrame, keys: Sequence[str], column: str = "Grand Total") -> DataFrame:
+    """keys, entity, cur, prior: each entity's figure in a sheet's total column; without one it has no row.
+
+    labels: entity, label - how the sheet spells the entity.
+    """
+    total = sheet.where(fold_label(F.col("col")) == fold_label(F.lit(column))).where(F.coalesce("cur", "prev").isNotNull())
+    spelled = labels.select("entity", F.trim("label").alias("label")).distinct()
+    return total.join(spelled, "label").select(*keys, "entity", "cur", F.col("prev").alias("prior"))

@@ -37,3 +37,14 @@ def listed_files(spark: SparkSession, folder: str) -> DataFrame:
     """Names and sizes of the files of a folder; contents are not read."""
     files = spark.read.format("binaryFile").load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+
+
+def short_keys(sources: DataFrame, entities: DataFrame, name: str = "name") -> DataFrame:
+    """Sources with short_key and entity_slug: the two ways of naming an entity meet at the file its document is saved as.
+
+    entities: short_key, file_name.  Where two keys share a file the first in order counts; a source without a document of
+    its own has no short key, and its slug is made of its own name.
+    """
+    first = entities.groupBy(F.col("file_name").alias("_file")).agg(F.min("short_key").alias("short_key"))
+    met = sources.withColumn("_file", download_name(F.col(name))).join(first, "_file", "left").drop("_file")
+    return met.withColumn("entity_slug", slug(F.coalesce("short_key", name)))
